@@ -1,0 +1 @@
+"""Empty on purpose: every job of this engine is a finite batch run, so there is no stream to serve."""
