@@ -1,16 +1,26 @@
 """The stage graph: which function builds each stage table from which others, and how it is laid out.
 
-"loan" stages are bucketed on loan_id, "plain" stages are ordinary parquet, "lazy" stages are not written.
+"loan" stages are bucketed on loan_id, "plain" stages are ordinary parquet, "lazy" stages are not written,
+"text" stages are text files by vintage year.
 """
 
 from __future__ import annotations
 
-from lossloom.operators import mart, targets
-from lossloom.sources import panel
+from lossloom.operators import mart, silver, targets
+from lossloom.sources import panel, rawdemo, text
+from lossloom.sources.schemas import layout_for
+
+INGESTED_AT = "2001-09-01T00:00:00+00:00"
 
 BUILDERS: dict[str, tuple] = {
     "loans": (lambda t: panel.loans(t.spark, t.sf_dir), "loan"),
     "perf": (lambda t: panel.performance(t.spark, t.sf_dir, t("loans")), "loan"),
+    "raw_orig": (lambda t: rawdemo.origination_lines(t("loans")), "text"),
+    "raw_perf": (lambda t: rawdemo.performance_lines(t("perf"), t("loans")), "text"),
+    "bronze_orig": (lambda t: text.bronze(t("raw_orig"), layout_for("origination", 1995), INGESTED_AT), "plain"),
+    "bronze_perf": (lambda t: text.bronze(t("raw_perf"), layout_for("performance", 1995), INGESTED_AT), "plain"),
+    "silver_orig": (lambda t: silver.origination(t("bronze_orig")), "lazy"),
+    "silver_perf": (lambda t: silver.performance(t("bronze_perf")), "lazy"),
     "static": (lambda t: mart.loan_static(t("loans")), "lazy"),
     "mart": (lambda t: mart.loan_month(t("perf"), t("static")), "loan"),
     "analytical": (lambda t: mart.analytical(t("mart"), t("static")), "lazy"),

@@ -58,6 +58,9 @@ class Stages:
     def _written(self, name: str, df: DataFrame, layout: str) -> DataFrame:
         key = hashlib.md5(f"{self.sf_dir}|{self.cfg}".encode()).hexdigest()[:10]
         path = f"{shared_root(self.spark)}/lossloom/{self.spark.sparkContext.applicationId}/{key}/{name}"
+        if layout == "text":
+            df.write.mode("overwrite").partitionBy("vintage_year").text(path)
+            return self.spark.read.text(path)
         if layout == "plain":
             df.write.mode("overwrite").parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
