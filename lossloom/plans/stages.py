@@ -6,7 +6,8 @@
 
 from __future__ import annotations
 
-from lossloom.operators import mart, silver, targets
+from lossloom.operators import development, mart, silver, targets
+from lossloom.plans import demo
 from lossloom.sources import panel, rawdemo, text
 from lossloom.sources.schemas import layout_for
 
@@ -26,5 +27,8 @@ BUILDERS: dict[str, tuple] = {
     "analytical": (lambda t: mart.analytical(t("mart"), t("static")), "lazy"),
     "state": (lambda t: targets.row_state(t("mart"), t.cfg.default), "lazy"),
     "targets": (lambda t: targets.targets(t("state"), t.cfg.default), "loan"),
+    "dev": (lambda t: development.sample(t("targets"), t.cfg.development), "loan"),
+    "frame": (demo.frame, "loan"),
+    "scored": (demo.scored, "loan"),
     "events": (lambda t: targets.default_events(t("state"), t.cfg.default), "loan"),
 }
