@@ -145,7 +145,7 @@ class ECL:
 @dataclass(frozen=True)
 class Settings:
     default: DefaultDefinition = field(default_factory=DefaultDefinition)
-    development: Development = field(default_factory=Development)
+    development: Development = field(default_factory=lambda: Development(snapshot="monthly"))
     scorecard: Scorecard = field(default_factory=Scorecard)
     pd: PDFramework = field(default_factory=PDFramework)
     staging: Staging = field(default_factory=Staging)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossloom.operators import scorecard
+from lossloom.operators import pd_framework, scorecard
 from lossloom.operators.features import features_for
 
 FEATURES = features_for("behavioural_scoring")
@@ -32,3 +32,22 @@ def scored(t) -> DataFrame:
     s = s.withColumn("score", F.round(scorecard.points(F.col("predicted_pd_raw"), t.cfg.scorecard), 6))
     return s.select("loan_id", "as_of_date", "split", "observation_year", "vintage_year", "target", "sample_weight",
                     "predicted_pd_raw", "linear_predictor", "score")
+
+
+# Demo recalibration.
+CAL_INTERCEPT = 0.1
+CAL_SLOPE = 0.9
+
+
+def calibrated(t) -> DataFrame:
+    cal = pd_framework.Calibration("logistic", CAL_INTERCEPT, CAL_SLOPE)
+    return cal.apply(t("scored")).withColumn(pd_framework.PD, F.round(pd_framework.PD, 9))
+
+
+def predictions(t) -> DataFrame:
+    edges = pd_framework.boundary_edges(t("calibrated"), t.cfg.pd)
+    return t("calibrated").withColumn("rating", pd_framework.rating_of(pd_framework.PD, edges))
+
+
+def lifetime(t) -> DataFrame:
+    return pd_framework.lifetime_curves(pd_framework.event_foundation(t("preds"), t("targets")), t("preds"), t.cfg.pd)

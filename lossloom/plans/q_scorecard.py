@@ -22,12 +22,12 @@ IN_SPAN = "as_of_date BETWEEN DATE '1995-01-01' AND DATE '2000-08-01'"
 
 cte("x_window", f"SELECT *, {ELIGIBLE} AS ok, {SPLIT} AS split, year(as_of_date) AS observation_year FROM x_targets WHERE {IN_SPAN}")
 cte("x_dev", """
-SELECT loan_id, as_of_date, split, 'quarter_end' AS snapshot_frequency, 'behavioural' AS population,
+SELECT loan_id, as_of_date, split, 'monthly' AS snapshot_frequency, 'behavioural' AS population,
        ok AS development_eligible_12m, default_next_12m,
        ok AND (default_next_12m = 1 OR split <> 'EXCLUDED') AS sample_selected,
        CASE WHEN ok THEN 1e0 END AS sampling_probability, CASE WHEN ok THEN 1e0 END AS sample_weight,
        target_12m_observable, event_censored, event_type, observation_year
-FROM x_window WHERE month(as_of_date) IN (3, 6, 9, 12)""")
+FROM x_window""")
 cte("x_frame", """
 SELECT d.loan_id, d.as_of_date, d.split, d.observation_year, d.default_next_12m AS target, d.sample_weight,
        a.* EXCLUDE (loan_id, as_of_date, current_upb_to_original_upb),
@@ -58,13 +58,13 @@ def _(t):
 
 @query("ds02_temporal_split", f"SELECT loan_id, as_of_date, {SPLIT} AS split FROM x_targets WHERE {IN_SPAN}")
 def _(t):
-    cfg = replace(t.cfg.development, snapshot="monthly")
+    cfg = t.cfg.development
     return dev.snapshots(t("targets"), cfg).select("loan_id", "as_of_date", dev.split_of(cfg.windows).alias("split"))
 
 
 @query("ds03_eligibility", "SELECT loan_id, as_of_date, ok AS development_eligible_12m FROM x_window")
 def _(t):
-    cfg = replace(t.cfg.development, snapshot="monthly")
+    cfg = t.cfg.development
     return dev.eligible(dev.snapshots(t("targets"), cfg), cfg).select("loan_id", "as_of_date", "development_eligible_12m")
 
 
@@ -73,7 +73,7 @@ SELECT loan_id, as_of_date, split FROM (
   SELECT *, row_number() OVER (PARTITION BY loan_id ORDER BY as_of_date) AS r FROM x_window WHERE month(as_of_date) IN (3, 6, 9, 12))
 WHERE r = 1""")
 def _(t):
-    cfg = replace(t.cfg.development, population="application")
+    cfg = replace(t.cfg.development, population="application", snapshot="quarter_end")
     return dev.population(dev.eligible(dev.snapshots(t("targets"), cfg), cfg), cfg).select(
         "loan_id", "as_of_date", F.col("raw_split").alias("split"))
 
@@ -83,7 +83,7 @@ SELECT loan_id, as_of_date, CASE WHEN k = min(k) OVER (PARTITION BY loan_id) THE
 FROM (SELECT *, CASE split WHEN 'TRAIN' THEN 0 WHEN 'VALIDATION' THEN 1 WHEN 'OOT' THEN 2 END AS k
       FROM x_window WHERE month(as_of_date) IN (3, 6, 9, 12))""")
 def _(t):
-    return dev.sample(t("targets"), replace(t.cfg.development, loan_disjoint=True)).select("loan_id", "as_of_date", "split")
+    return dev.sample(t("targets"), replace(t.cfg.development, loan_disjoint=True, snapshot="quarter_end")).select("loan_id", "as_of_date", "split")
 
 
 @query("ds06_stratified_sampling", """
@@ -94,7 +94,8 @@ FROM (SELECT *, CASE WHEN coalesce(default_next_12m = 1, false) OR split = 'EXCL
                    ('0x' || substr(md5(loan_id || '|' || as_of_date || '|20260927'), 1, 8))::BIGINT / 4294967296e0 AS u
             FROM x_window WHERE month(as_of_date) IN (3, 6, 9, 12)))""", r6="sampling_probability sample_weight")
 def _(t):
-    cfg = replace(t.cfg.development, sampling="stratified_nondefault", nondefault_fraction=0.25, min_nondefaults_per_stratum=20)
+    cfg = replace(t.cfg.development, snapshot="quarter_end", sampling="stratified_nondefault", nondefault_fraction=0.25,
+                  min_nondefaults_per_stratum=20)
     return dev.sample(t("targets"), cfg).select("loan_id", "as_of_date", "split", "sample_selected", "sampling_probability",
                                                 "sample_weight")
 

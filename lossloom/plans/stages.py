@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from lossloom.operators import development, mart, silver, targets
+from lossloom.operators import development, mart, pd_framework, silver, targets
 from lossloom.plans import demo
 from lossloom.sources import panel, rawdemo, text
 from lossloom.sources.schemas import layout_for
@@ -30,5 +30,10 @@ BUILDERS: dict[str, tuple] = {
     "dev": (lambda t: development.sample(t("targets"), t.cfg.development), "loan"),
     "frame": (demo.frame, "loan"),
     "scored": (demo.scored, "loan"),
+    "calibrated": (demo.calibrated, "lazy"),
+    "preds": (demo.predictions, "loan"),
+    "portfolio_ttc": (lambda t: pd_framework.portfolio_ttc(t("preds"), t.cfg.pd), "plain"),
+    "rating_ttc": (lambda t: pd_framework.rating_ttc(t("preds"), t.cfg.pd), "plain"),
+    "lifetime": (demo.lifetime, "plain"),
     "events": (lambda t: targets.default_events(t("state"), t.cfg.default), "loan"),
 }
