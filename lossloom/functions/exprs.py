@@ -125,29 +125,33 @@ CDF_LIMIT = 7.07
 PPF_TAIL = 0.02425
 
 
-def norm_cdf(x: Column | str) -> Column:
-    """Standard normal distribution function."""
-    v = c(x)
+def with_norm_cdf(df: DataFrame, out: str, x: Column | str) -> DataFrame:
+    """Add the standard normal distribution function of ``x``.
+
+    The argument is projected first: the polynomials read it many times, and an inlined argument would be repeated in
+    the generated code each time.
+    """
+    df = df.withColumn("_x", c(x))
+    v = F.col("_x")
     a = F.abs(v)
     tail = F.exp(-a * a / 2) * horner(a, CDF_P) / horner(a, CDF_Q)
-    return (F.when(v.isNull(), F.lit(None).cast("double"))
-            .when(a >= CDF_LIMIT, F.when(v > 0, 1.0).otherwise(0.0))
-            .when(v > 0, 1 - tail).otherwise(tail))
-
-
-def norm_ppf(p: Column | str) -> Column:
-    """Standard normal quantile, for 0 < p < 1."""
-    v = c(p)
-    q = v - 0.5
-    r = q * q
+    df = df.withColumn("_tail", tail)
+    value = (F.when(v.isNull(), F.lit(None).cast("double"))
+             .when(a >= CDF_LIMIT, F.when(v > 0, 1.0).otherwise(0.0))
+             .when(v > 0, 1 - F.col("_tail")).otherwise(F.col("_tail")))
+    return df.withColumn(out, value).drop("_x", "_tail")
+
+
+def with_norm_ppf(df: DataFrame, out: str, p: Column | str) -> DataFrame:
+    """Add the standard normal quantile of ``p``, for 0 < p < 1."""
+    df = df.withColumn("_p", c(p))
+    v = F.col("_p")
+    df = df.withColumns({"_q": v - 0.5, "_r": (v - 0.5) * (v - 0.5), "_s": F.sqrt(-2 * F.ln(F.least(v, 1 - v)))})
+    q, r, s = F.col("_q"), F.col("_r"), F.col("_s")
+    tail = horner(s, PPF_C) / (horner(s, PPF_D) * s + 1)
     centre = horner(r, PPF_A) * q / (horner(r, PPF_B) * r + 1)
-
-    def tail(t: Column) -> Column:
-        return horner(t, PPF_C) / (horner(t, PPF_D) * t + 1)
-
-    low = F.sqrt(-2 * F.ln(F.when((v > 0) & (v < PPF_TAIL), v)))
-    high = F.sqrt(-2 * F.ln(F.when((v < 1) & (v > 1 - PPF_TAIL), 1 - v)))
-    return F.when(v < PPF_TAIL, tail(low)).when(v > 1 - PPF_TAIL, -tail(high)).otherwise(centre)
+    value = F.when(v < PPF_TAIL, tail).when(v > 1 - PPF_TAIL, -tail).otherwise(centre)
+    return df.withColumn(out, value).drop("_p", "_q", "_r", "_s")
 
 
 def logit(p: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossloom.operators import pd_framework, scorecard
+from lossloom.operators import macro, pd_framework, scorecard
 from lossloom.operators.features import features_for
 
 FEATURES = features_for("behavioural_scoring")
@@ -51,3 +51,50 @@ def predictions(t) -> DataFrame:
 
 def lifetime(t) -> DataFrame:
     return pd_framework.lifetime_curves(pd_framework.event_foundation(t("preds"), t("targets")), t("preds"), t.cfg.pd)
+
+
+# Demo macro models and asset correlation.
+RHO = 0.12
+FACTOR = macro.LinearModel(0.9, {"unemployment_rate": -0.03, "unemployment_rate_change": -0.05, "house_price_index_yoy": 0.02,
+                                 "real_gdp_yoy": 0.02, "mortgage_rate": -0.01, "mortgage_rate_change": -0.02})
+SATELLITE = macro.LinearModel(-1.0, {"unemployment_rate": 0.01, "unemployment_rate_change": 0.02, "house_price_index_yoy": -0.01,
+                                     "real_gdp_yoy": -0.01, "mortgage_rate": 0.005, "mortgage_rate_change": 0.01})
+
+
+def monthly_series(t) -> DataFrame:
+    """Four macro-like monthly series from the order book."""
+    o = t.raw("orders").where(F.col("o_orderdate").isNotNull())
+    m = o.groupBy(F.trunc("o_orderdate", "MM").alias("date")).agg(
+        (100 * F.avg((F.col("o_orderstatus") == "P").cast("int"))).alias("unemployment_rate"),
+        F.avg("o_totalprice").alias("house_price_index"), F.count(F.lit(1)).cast("double").alias("real_gdp"),
+        (100 * F.avg((F.col("o_orderpriority") == "1-URGENT").cast("int"))).alias("mortgage_rate"))
+    return m.unpivot(["date"], [c for c in m.columns if c != "date"], "series", "value")
+
+
+def macro_table(t) -> DataFrame:
+    cfg = macro.MacroConfig()
+    return macro.aligned(macro.quarterly(monthly_series(t), cfg.series),
+                         ["unemployment_rate", "house_price_index_yoy", "real_gdp_yoy", "mortgage_rate"], cfg.start)
+
+
+def history(t) -> DataFrame:
+    ttc = t("portfolio_ttc").select(F.col("portfolio_ttc_pd").alias("ttc_pd"))
+    return macro.historical_default_rate(t("preds")).crossJoin(ttc)  # one-row right side
+
+
+def macro_frame(t) -> DataFrame:
+    return macro.model_frame(history(t), t("macro"), RHO, macro.MacroConfig().epsilon)
+
+
+def macro_fits(t) -> DataFrame:
+    return macro.with_fits(macro_frame(t), FACTOR, SATELLITE, F.col("ttc_pd"), RHO)
+
+
+def scenario_pd(t, cfg: macro.MacroConfig | None = None) -> DataFrame:
+    paths = macro.scenario_paths(t("macro"), cfg or macro.MacroConfig())
+    return macro.scenario_pd(t("rating_ttc"), macro.scenario_factors(paths, FACTOR, SATELLITE), RHO)
+
+
+def macro_what_if(t, cfg: macro.MacroConfig) -> DataFrame:
+    """Weighted PD under other shocks with the same fitted models."""
+    return macro.weighted_pd(scenario_pd(t, cfg))

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from lossloom.operators import development, mart, pd_framework, silver, targets
+from lossloom.operators import development, macro, mart, pd_framework, silver, targets
 from lossloom.plans import demo
 from lossloom.sources import panel, rawdemo, text
 from lossloom.sources.schemas import layout_for
@@ -35,5 +35,8 @@ BUILDERS: dict[str, tuple] = {
     "portfolio_ttc": (lambda t: pd_framework.portfolio_ttc(t("preds"), t.cfg.pd), "plain"),
     "rating_ttc": (lambda t: pd_framework.rating_ttc(t("preds"), t.cfg.pd), "plain"),
     "lifetime": (demo.lifetime, "plain"),
+    "macro": (demo.macro_table, "plain"),
+    "scenario_pd": (demo.scenario_pd, "plain"),
+    "curves": (lambda t: macro.scenario_lifetime(t("lifetime"), t("scenario_pd")), "plain"),
     "events": (lambda t: targets.default_events(t("state"), t.cfg.default), "loan"),
 }
