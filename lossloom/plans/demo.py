@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossloom.operators import macro, pd_framework, scorecard
+from lossloom.operators import lgd, macro, pd_framework, scorecard
 from lossloom.operators.features import features_for
 
 FEATURES = features_for("behavioural_scoring")
@@ -98,3 +100,21 @@ def scenario_pd(t, cfg: macro.MacroConfig | None = None) -> DataFrame:
 def macro_what_if(t, cfg: macro.MacroConfig) -> DataFrame:
     """Weighted PD under other shocks with the same fitted models."""
     return macro.weighted_pd(scenario_pd(t, cfg))
+
+
+# Demo LGD components, in SQL both engines read, and the stress window of the downturn overlay.
+LGD_SQL = {
+    "p_raw": "1 / (1 + exp(-(0.8e0 + 0.01e0 * (original_ltv - 75) - 0.02e0 * coalesce(months_delinquent_to_date_at_default, 0))))",
+    "cure": "0.02e0 + 0.0005e0 * coalesce(estimated_loan_to_value_at_default, 70)",
+    "other": "0.3e0 + 0.002e0 * (original_ltv - 50)",
+}
+STRESS = (date(1998, 1, 1), date(1998, 12, 1))
+
+
+def lgd_scored(t) -> DataFrame:
+    df = t("episodes").withColumns({
+        "predicted_cure_probability_raw": F.round(F.expr(LGD_SQL["p_raw"]), 9), "predicted_cure_lgd": F.round(F.expr(LGD_SQL["cure"]), 9),
+        "predicted_non_cure_lgd": F.round(F.expr(LGD_SQL["other"]), 9)})
+    df = df.withColumn("predicted_cure_probability", F.round(lgd.recalibrated(F.col("predicted_cure_probability_raw"), 0.1, 0.9), 9))
+    df = lgd.combine(df)
+    return lgd.with_downturn(df, lgd.downturn_factors(df, "historical_stress", STRESS))

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from lossloom.operators import development, macro, mart, pd_framework, silver, targets
+from lossloom.operators import development, lgd, macro, mart, pd_framework, silver, targets
 from lossloom.plans import demo
 from lossloom.sources import panel, rawdemo, text
 from lossloom.sources.schemas import layout_for
@@ -39,4 +39,6 @@ BUILDERS: dict[str, tuple] = {
     "scenario_pd": (demo.scenario_pd, "plain"),
     "curves": (lambda t: macro.scenario_lifetime(t("lifetime"), t("scenario_pd")), "plain"),
     "events": (lambda t: targets.default_events(t("state"), t.cfg.default), "loan"),
+    "episodes": (lambda t: lgd.episodes(t("events"), t("mart"), t("static"), t("preds"), t.cfg.lgd), "loan"),
+    "lgd": (demo.lgd_scored, "loan"),
 }
