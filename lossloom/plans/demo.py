@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lossloom.operators import lgd, macro, pd_framework, scorecard
+from lossloom.operators import ead, lgd, macro, pd_framework, scenario, scorecard
 from lossloom.operators.features import features_for
 
 FEATURES = features_for("behavioural_scoring")
@@ -118,3 +118,18 @@ def lgd_scored(t) -> DataFrame:
     df = df.withColumn("predicted_cure_probability", F.round(lgd.recalibrated(F.col("predicted_cure_probability_raw"), 0.1, 0.9), 9))
     df = lgd.combine(df)
     return lgd.with_downturn(df, lgd.downturn_factors(df, "historical_stress", STRESS))
+
+
+# Demo exposure ratio and the severe what-if scenario.
+EAD_RATIO = "1.02e0 - 0.0005e0 * months_to_horizon"
+SEVERE = scenario.Scenario(
+    name="severe", unemployment=2.0, hpi=-10.0, gdp=-2.0, mortgage_rate=1.0, rho_override=0.15,
+    weights={"BASE": 0.4, "DOWNSIDE": 0.5, "UPSIDE": 0.1}, relative_pd=1.5, dpd=1, hold_stage2=3, downgrade_share=0.2, late_1m_share=0.1,
+    late_2m_share=0.05, default_share=0.03, lgd_method="downturn", overlay_points=5.0, ead_multiplier=1.05)
+
+
+def ead_scored(t) -> DataFrame:
+    o = ead.observations(t("analytical"), t("targets"), t("events"), t.cfg.ead)
+    o = ead.baselines(ead.with_targets(ead.with_rating(o, t("preds")), t.cfg.ead))
+    ratio = F.expr(EAD_RATIO.replace("months_to_horizon", "coalesce(months_to_horizon, 0)"))
+    return ead.with_ratio(o, ratio, t.cfg.ead)

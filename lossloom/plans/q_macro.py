@@ -247,7 +247,7 @@ def _(t):
 @query("ma14_weighted_lifetime", """
 SELECT * EXCLUDE (p), CASE WHEN p > 1e-6 THEN marginal_pd / p ELSE 0 END AS conditional_pd,
        CASE WHEN p > 1e-6 THEN marginal_pd / p ELSE 0 END AS hazard, 1 - cumulative_pd AS survival_probability
-FROM (SELECT *, coalesce(greatest(0, 1 - lag(cumulative_pd) OVER (PARTITION BY date, rating ORDER BY month)), 1) AS p
+FROM (SELECT *, greatest(0, coalesce(1 - lag(cumulative_pd) OVER (PARTITION BY date, rating ORDER BY month), 1)) AS p
       FROM (SELECT date, rating, month, sum(weighted_marginal_pd) AS marginal_pd, sum(weighted_cumulative_pd) AS cumulative_pd,
                    sum(scenario_weight) AS scenario_weight_sum FROM x_curves GROUP BY ALL))""", ints="month",
        r6=CURVE_R6 + " scenario_weight_sum")

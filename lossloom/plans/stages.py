@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from lossloom.operators import development, lgd, macro, mart, pd_framework, silver, targets
+from lossloom.operators import development, ecl, lgd, macro, mart, pd_framework, scenario, silver, staging, targets
 from lossloom.plans import demo
 from lossloom.sources import panel, rawdemo, text
 from lossloom.sources.schemas import layout_for
@@ -41,4 +41,9 @@ BUILDERS: dict[str, tuple] = {
     "events": (lambda t: targets.default_events(t("state"), t.cfg.default), "loan"),
     "episodes": (lambda t: lgd.episodes(t("events"), t("mart"), t("static"), t("preds"), t.cfg.lgd), "loan"),
     "lgd": (demo.lgd_scored, "loan"),
+    "staging": (lambda t: staging.allocate(staging.staging_base(t("preds"), t("mart"), t("static"), t("targets"), t("events")),
+                                           t.cfg.staging), "loan"),
+    "ead": (demo.ead_scored, "loan"),
+    "book": (lambda t: scenario.state(t("staging"), t("mart"), t("static"), t("lgd"), t.cfg.ecl), "loan"),
+    "ecl": (lambda t: ecl.run(t("staging"), t("mart"), t("static"), t("lgd"), t("curves"), t.cfg.ecl), "loan"),
 }

@@ -57,7 +57,7 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
         (15 + (k * 13) % 40).alias("original_debt_to_income_ratio"),
         ltv.alias("original_loan_to_value"),
         (ltv + (k % 4) * 5).alias("original_combined_loan_to_value"),
-        (100000 + F.col("c_acctbal") * 10).alias("original_upb"),
+        F.floor(100000 + F.col("c_acctbal") * 10).cast("double").alias("original_upb"),
         (F.lit(3.0) + (k % 40) / F.lit(10.0)).alias("original_interest_rate"),
         F.lit(TERM_MONTHS).cast("long").alias("original_loan_term"),
         (1 + k % 2).alias("number_of_borrowers"),
@@ -92,7 +92,11 @@ def performance(spark: SparkSession, sf_dir: str, loans: DataFrame) -> DataFrame
         code = F.when(k % 7 == i, F.lit(v)).otherwise(code)
 
     def scheduled(at):
-        return F.col("original_upb") * (F.lit(1.0) - (at - F.col("m0")) / F.lit(360.0))
+        """Whole-currency balance after linear repayment."""
+        return F.floor(F.col("original_upb") * (F.lit(1.0) - (at - F.col("m0")) / F.lit(360.0))).cast("double")
+
+    def part(share):
+        return F.when(loss_exit, F.floor(F.col("prior") * F.lit(share)).cast("double"))
 
     w = Window.partitionBy("loan_id").orderBy("m").rowsBetween(Window.unboundedPreceding, 0)
     df = base.select(
@@ -129,14 +133,14 @@ def performance(spark: SparkSession, sf_dir: str, loans: DataFrame) -> DataFrame
         F.lit(None).cast("date").alias("defect_settlement_date"),
         month_date("mi").alias("due_date_of_last_paid_installment"),
         F.when(loss_exit, -(k % 3) * F.lit(1000.0) + F.lit(0.0)).alias("mi_recoveries"),
-        F.when(loss_exit, (F.col("prior") * F.lit(-0.6)).cast("string")).alias("net_sale_proceeds"),
+        F.when(loss_exit, (-F.floor(F.col("prior") * F.lit(0.6))).cast("string")).alias("net_sale_proceeds"),
         F.when(loss_exit, F.lit(0.0)).alias("non_mi_recoveries"),
-        F.when(loss_exit, F.col("prior") * F.lit(0.05)).alias("total_expenses"),
-        F.when(loss_exit, F.col("prior") * F.lit(0.01)).alias("legal_costs"),
-        F.when(loss_exit, F.col("prior") * F.lit(0.02)).alias("maintenance_and_preservation_costs"),
-        F.when(loss_exit, F.col("prior") * F.lit(0.015)).alias("taxes_and_insurance"),
-        F.when(loss_exit, F.col("prior") * F.lit(0.005)).alias("miscellaneous_expenses"),
-        F.when(loss_exit, F.col("prior") * F.lit(0.4)).alias("actual_loss"),
+        part(0.05).alias("total_expenses"),
+        part(0.01).alias("legal_costs"),
+        part(0.02).alias("maintenance_and_preservation_costs"),
+        part(0.015).alias("taxes_and_insurance"),
+        part(0.005).alias("miscellaneous_expenses"),
+        part(0.4).alias("actual_loss"),
         F.when(F.col("was_modified"), F.lit(500.0)).alias("cumulative_modification_costs"),
         F.when(F.col("modification_flag") == "Y", F.lit(500.0)).alias("current_period_modification_costs"),
         F.lit(None).cast("double").alias("bankruptcy_cramdown_costs"),
@@ -145,5 +149,5 @@ def performance(spark: SparkSession, sf_dir: str, loans: DataFrame) -> DataFrame
         F.lit(None).cast("string").alias("mortgage_insurance_cancellation_indicator"),
         F.lit(None).cast("string").alias("servicer_name"),
         F.when(F.col("zb").isNotNull(), F.col("prior")).alias("zero_balance_removal_upb"),
-        F.when(loss_exit, F.col("prior") * F.lit(0.03)).alias("delinquent_accrued_interest"),
+        part(0.03).alias("delinquent_accrued_interest"),
     )

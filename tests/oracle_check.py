@@ -63,7 +63,9 @@ def main() -> int:
     from lossloom.session import build_session
 
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
-    names = [n for n in REGISTRY if not sys.argv[2:] or any(n.startswith(p) for p in sys.argv[2:])]
+    only_sql = "--sql" in sys.argv
+    prefixes = [a for a in sys.argv[2:] if a != "--sql"]
+    names = [n for n, q in REGISTRY.items() if (not prefixes or any(n.startswith(p) for p in prefixes)) and (q.sql or not only_sql)]
     spark = build_session("oracle-check")
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
