@@ -192,24 +192,30 @@ def mean_ratio(actual: Column, predicted: Column) -> Column:
     return F.coalesce(safe_div(F.avg(actual), F.avg(predicted)), F.lit(1.0))
 
 
-def segment_factors(eps: DataFrame, prediction: str, minimum: int = 50, pull: int = 100) -> DataFrame:
-    """Validation ratio per rating shrunk to the overall ratio, for ratings with enough rows; plus the overall row (null)."""
+def segment_factors(eps: DataFrame, prediction: str, minimum: int = 50, pull: int = 100, keys: Sequence[str] = ()) -> DataFrame:
+    """Validation ratio per rating shrunk to the overall ratio, for ratings with enough rows; plus the overall row (null).
+
+    ``keys`` gives separate calibrators, for instance one per candidate model.
+    """
     v = eps.where((F.col("split") == "VALIDATION") & F.col("resolved_flag") & ~F.col("cured_flag"))
     ratio = mean_ratio(F.col(TARGET), F.col(prediction))
-    whole = v.agg(ratio.alias("global_factor"))
-    seg = v.where(F.col("rating_at_default").isNotNull()).groupBy("rating_at_default").agg(
+    whole = v.groupBy(*keys).agg(ratio.alias("global_factor"))
+    seg = v.where(F.col("rating_at_default").isNotNull()).groupBy(*keys, "rating_at_default").agg(
         F.count(F.lit(1)).alias("rows"), ratio.alias("segment_factor")).where(F.col("rows") >= minimum)
     share = F.col("rows") / (F.col("rows") + pull)
-    seg = seg.crossJoin(whole).withColumn("factor", share * F.col("segment_factor") + (1 - share) * F.col("global_factor"))
-    return seg.select("rating_at_default", "factor").unionByName(
-        whole.select(F.lit(None).cast("string").alias("rating_at_default"), F.col("global_factor").alias("factor")))
+    seg = (seg.join(whole, list(keys)) if keys else seg.crossJoin(whole)).withColumn(
+        "factor", share * F.col("segment_factor") + (1 - share) * F.col("global_factor"))
+    return seg.select(*keys, "rating_at_default", "factor").unionByName(
+        whole.select(*keys, F.lit(None).cast("string").alias("rating_at_default"), F.col("global_factor").alias("factor")))
 
 
-def apply_segment_factors(eps: DataFrame, factors: DataFrame, prediction: str, out: str) -> DataFrame:
-    seg = F.broadcast(factors.where("rating_at_default IS NOT NULL").withColumnRenamed("factor", "_f"))  # one row per grade
-    whole = factors.where("rating_at_default IS NULL").select(F.col("factor").alias("_g"))
-    df = eps.join(seg, "rating_at_default", "left").crossJoin(whole)  # one-row right side
-    return df.withColumn(out, clip(F.col(prediction) * F.coalesce("_f", "_g"), 0.0, 1.0)).drop("_f", "_g")
+def apply_segment_factors(eps: DataFrame, factors: DataFrame, prediction: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Scale predictions by their rating's factor, else by the overall one (1 when there was no validation row)."""
+    seg = F.broadcast(factors.where("rating_at_default IS NOT NULL").withColumnRenamed("factor", "_f"))  # one row per grade and key
+    whole = factors.where("rating_at_default IS NULL").select(*keys, F.col("factor").alias("_g"))
+    df = eps.join(seg, [*keys, "rating_at_default"], "left")
+    df = df.join(F.broadcast(whole), list(keys), "left") if keys else df.crossJoin(whole)  # one row per key
+    return df.withColumn(out, clip(F.col(prediction) * F.coalesce("_f", "_g", F.lit(1.0)), 0.0, 1.0)).drop("_f", "_g")
 
 
 def combine(eps: DataFrame, cure_p: str = "predicted_cure_probability", cure_lgd: str = "predicted_cure_lgd",
@@ -228,21 +234,21 @@ def accuracy(actual: Column, predicted: Column) -> list[Column]:
     return [safe_div(F.avg(actual), F.avg(predicted)).alias("oe_ratio"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse")]
 
 
-def compare(df: DataFrame, model: str, prediction: str, where: Column) -> DataFrame:
+def compare(df: DataFrame, prediction: str, where: Column, keys: Sequence[str] = ("model",)) -> DataFrame:
+    """Accuracy per candidate and split of long predictions, one aggregate for all candidates."""
     y, p = F.col(TARGET), F.col(prediction)
-    return df.where(where).groupBy("split").agg(
-        F.lit(model).alias("model"), F.count(F.lit(1)).alias("rows"), F.avg(y).alias("realized_mean"),
-        F.avg(p).alias("predicted_mean"), *accuracy(y, p))
+    return df.where(where).groupBy(*keys, "split").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(y).alias("realized_mean"), F.avg(p).alias("predicted_mean"), *accuracy(y, p))
 
 
-def compare_cure(df: DataFrame, model: str, probability: str) -> DataFrame:
+def compare_cure(df: DataFrame, probability: str, keys: Sequence[str] = ("model",)) -> DataFrame:
     r = df.where("resolved_flag").withColumns({"_y": F.col("cured_flag").cast("int"), "_one": F.lit(1.0)})
     y, p = F.col("_y"), F.col(probability)
-    t = r.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.avg((p - y) * (p - y)).alias("brier"),
-                               F.avg(y).alias("observed_cure_rate"), F.avg(p).alias("predicted_cure_rate"))
-    auc = ranking_metrics(r, ["split"], probability, "_y", "_one").select("split", F.col("roc_auc").alias("auc"))
-    return t.join(auc, "split").select(F.lit(model).alias("model"), "*", (F.col("predicted_cure_rate") - F.col("observed_cure_rate"))
-                                       .alias("calibration_error"))
+    g = [*keys, "split"]
+    t = r.groupBy(*g).agg(F.count(F.lit(1)).alias("rows"), F.avg((p - y) * (p - y)).alias("brier"),
+                          F.avg(y).alias("observed_cure_rate"), F.avg(p).alias("predicted_cure_rate"))
+    auc = ranking_metrics(r, g, probability, "_y", "_one").select(*g, F.col("roc_auc").alias("auc"))
+    return t.join(auc, g).withColumn("calibration_error", F.col("predicted_cure_rate") - F.col("observed_cure_rate"))
 
 
 def combined_ranking(df: DataFrame, cures: dict[str, str], severities: dict[str, str], cure_lgd: str = "predicted_cure_lgd",

@@ -133,3 +133,13 @@ def ead_scored(t) -> DataFrame:
     o = ead.baselines(ead.with_targets(ead.with_rating(o, t("preds")), t.cfg.ead))
     ratio = F.expr(EAD_RATIO.replace("months_to_horizon", "coalesce(months_to_horizon, 0)"))
     return ead.with_ratio(o, ratio, t.cfg.ead)
+
+
+def macro_with_factor(t) -> DataFrame:
+    """Macro table with the systematic factor implied by history, where there is any."""
+    z = macro.with_systematic_factor(history(t), "systematic_factor", "observed_default_rate", "ttc_pd", F.lit(RHO), macro.MacroConfig().epsilon)
+    return t("macro").join(z.select("date", "systematic_factor"), "date", "left")
+
+
+def factor_paths(t) -> DataFrame:
+    return macro.scenario_factors(macro.scenario_paths(t("macro"), macro.MacroConfig()), FACTOR, SATELLITE)

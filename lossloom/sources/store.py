@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,14 @@ def shared_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/lossloom/{spark.sparkContext.applicationId}/cut/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 class Stages:
     """Named, lazily built stage tables for one input folder.
 
