@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from lossloom.plans.catalog import REGISTRY
@@ -29,11 +30,13 @@ def main() -> None:
         start = time.perf_counter()
         t(name)
         took[f"stage_{name}"] = round(time.perf_counter() - start, 3)
+        print(name, took[f"stage_{name}"], file=sys.stderr, flush=True)
     rows = t("mart").count()
     for name in QUERIES:
         start = time.perf_counter()
         REGISTRY[name].run(spark, SF_DIR).write.format("noop").mode("overwrite").save()
         took[name] = round(time.perf_counter() - start, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     total = round(sum(took.values()), 3)
     print(json.dumps({"metric": "total_wall_clock", "value": total, "unit": "sec", "queries": took, "sf": SF_DIR.rsplit("sf", 1)[-1],
                       "loan_months": rows, "mart_loan_months_per_sec": round(rows / took["stage_mart"])}))

@@ -21,6 +21,8 @@ def build_session(app: str = "lossloom", cores: int | None = None, memory: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.ansi.enabled", "true")
+        # Tables bucketed on the loan also serve joins on (loan, date) without a shuffle.
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )

@@ -46,6 +46,8 @@ class Stages:
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings | None = None,
                  builders: dict[str, tuple[Callable[[Stages], DataFrame], str]] | None = None, write: bool = True):
         self.spark = spark
+        # Stage tables are bucketed on the loan; let them serve joins on (loan, date) without a shuffle.
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.sf_dir = sf_dir.rstrip("/")
         self.cfg = settings or Settings()
         self.write = write
