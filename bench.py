@@ -14,11 +14,9 @@ from lossloom.sources.store import stages_for
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 # Stage builds, each from the stored stages before it, then reports over them.
 STAGES = ("loans", "perf", "mart", "targets", "events", "dev", "frame", "scored", "preds", "portfolio_ttc", "rating_ttc", "lifetime", "macro",
-          "scenario_pd", "curves", "episodes", "lgd", "ead", "staging", "book", "ecl")
-QUERIES = ("mt03_calendar_lags", "mt15_vintage_profile", "mt17_feature_distribution", "tg10_episode_entries", "tg13_target_observability", "ds07_split_profile",
-           "sc06_woe_iv", "sc11_binary_metrics", "sc15_decile_table", "sc17_score_psi", "pd02_calibration_metrics", "pd11_transitions",
-           "lg17_backtest_splits", "ea09_backtest_segments", "ea12_mean_profile", "si09_sensitivity_grid", "si11_stage_distribution",
-           "ec08_summary_stage", "ec10_downturn_sensitivity", "sl09_waterfall")
+          "scenario_pd", "curves", "episodes", "lgd", "staging", "book", "ecl")
+QUERIES = ("tg13_target_observability", "sc11_binary_metrics", "sc15_decile_table", "pd11_transitions", "lg17_backtest_splits", "si09_sensitivity_grid",
+           "ec08_summary_stage", "sl09_waterfall")
 
 
 def main() -> None:

@@ -7,7 +7,7 @@ length of the reporting history, whatever the size of the portfolio.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossloom.functions.exprs import count_if, flag, month_diff, month_index, ratio_if_positive, tagged_rows, unpivot
@@ -65,31 +65,38 @@ def panel_base(performance: DataFrame, static: DataFrame) -> DataFrame:
     return perf.withColumnsRenamed(MONTH_NAMES).join(attrs, ["loan_id", "vintage_year"], "left")
 
 
-def calendar_lags(df: DataFrame) -> DataFrame:
-    """Value exactly k calendar months earlier, null when that month was not reported."""
+def _lag_columns() -> dict[str, Column]:
     cols = {}
     for source, (prefix, months) in LAGS.items():
         for k in months:
             cols[f"{prefix}{k}"] = F.max(source).over(by_loan().rangeBetween(-k, -k))
-    return df.withColumns(cols)
+    return cols
 
 
-def reporting_gaps(df: DataFrame) -> DataFrame:
-    gap = F.coalesce(F.col("month_index") - F.lag("month_index").over(by_loan()) > 1, F.lit(False))
-    return (df.withColumn("_gap", gap)
-            .withColumn("has_reporting_gap_to_date", F.max("_gap").over(to_date())).drop("_gap"))
+def calendar_lags(df: DataFrame) -> DataFrame:
+    """Value exactly k calendar months earlier, null when that month was not reported."""
+    return df.withColumns(_lag_columns())
 
 
-def observation_counts(df: DataFrame) -> DataFrame:
-    first = F.min("month_index").over(Window.partitionBy("loan_id"))
-    return df.withColumns({
+def _count_columns() -> dict[str, Column]:
+    first = F.min("month_index").over(to_date())
+    return {
         "observed_months_to_date": F.row_number().over(by_loan()).cast("long"),
         "calendar_months_since_first_observation": F.col("month_index") - first + 1,
-    })
+    }
 
 
-def history(df: DataFrame) -> DataFrame:
-    """Cumulative delinquency, modification and assistance history, the current month included."""
+def observation_counts(df: DataFrame) -> DataFrame:
+    return df.withColumns(_count_columns())
+
+
+def reporting_gaps(df: DataFrame) -> DataFrame:
+    """A gap lies behind a row exactly when more calendar months than reported months have passed."""
+    seen = F.count(F.lit(1)).over(to_date())
+    return df.withColumn("has_reporting_gap_to_date", F.col("month_index") - F.min("month_index").over(to_date()) + 1 > seen)
+
+
+def _history_columns() -> dict[str, Column]:
     dq = F.col("delinquency_months")
     w = to_date()
 
@@ -97,24 +104,33 @@ def history(df: DataFrame) -> DataFrame:
         return F.sum(F.when(dq >= k, 1).otherwise(0)).over(w)
 
     assisted = F.col("borrower_assistance_status_code").isNotNull() | F.col("payment_deferral_flag").isNotNull()
-    return df.withColumns({
+    return {
         "max_delinquency_months_to_date": F.max(dq).over(w),
         "months_delinquent_to_date": F.sum(F.when(dq > 0, 1).otherwise(0)).over(w),
         **{f"months_{k}plus_delinquent_to_date": months_at(k) for k in (1, 2, 3)},
         "ever_modified_to_date": F.max(flag(F.col("modification_flag") == "Y")).over(w),
         "current_assistance_flag": assisted,
         "ever_assistance_to_date": F.max(assisted).over(w),
-    })
+    }
 
 
-def recency(df: DataFrame) -> DataFrame:
+def history(df: DataFrame) -> DataFrame:
+    """Cumulative delinquency, modification and assistance history, the current month included."""
+    return df.withColumns(_history_columns())
+
+
+def _recency_columns() -> dict[str, Column]:
     def since(cond):
         return F.col("month_index") - F.max(F.when(cond, F.col("month_index"))).over(to_date())
 
-    return df.withColumns({
+    return {
         "months_since_last_delinquency": since(F.col("delinquency_months") > 0),
         "months_since_last_modification": since(F.col("modification_flag") == "Y"),
-    })
+    }
+
+
+def recency(df: DataFrame) -> DataFrame:
+    return df.withColumns(_recency_columns())
 
 
 def delinquency_entries(df: DataFrame) -> DataFrame:
@@ -126,14 +142,18 @@ def delinquency_entries(df: DataFrame) -> DataFrame:
     })
 
 
-def trailing_windows(df: DataFrame) -> DataFrame:
+def _trailing_columns() -> dict[str, Column]:
     dq = F.col("delinquency_months")
     cols = {}
     for k in (3, 6, 12):
         w = by_loan().rangeBetween(-(k - 1), 0)
         cols[f"max_delinquency_last_{k}m"] = F.max(dq).over(w)
         cols[f"months_delinquent_last_{k}m"] = F.sum(F.when(dq > 0, 1).otherwise(0)).over(w)
-    return df.withColumns(cols)
+    return cols
+
+
+def trailing_windows(df: DataFrame) -> DataFrame:
+    return df.withColumns(_trailing_columns())
 
 
 def derived_ratios(df: DataFrame) -> DataFrame:
@@ -161,10 +181,16 @@ def tenure(df: DataFrame) -> DataFrame:
 
 
 def loan_month(performance: DataFrame, static: DataFrame) -> DataFrame:
-    """The complete loan-month mart."""
+    """The complete loan-month mart.
+
+    All features that read only source columns are computed by one window operator; the entry counter, which reads a
+    lag, takes a second one on the same order.
+    """
     df = panel_base(performance, static)
-    for step in (calendar_lags, reporting_gaps, observation_counts, history, recency, delinquency_entries,
-                 trailing_windows, derived_ratios, tenure):
+    gap = F.col("month_index") - F.min("month_index").over(to_date()) + 1 > F.count(F.lit(1)).over(to_date())
+    df = df.withColumns(_lag_columns() | _count_columns() | _history_columns() | _recency_columns() | _trailing_columns()
+                        | {"has_reporting_gap_to_date": gap})
+    for step in (delinquency_entries, derived_ratios, tenure):
         df = step(df)
     return df.drop("origination_date", "first_payment_date", "maturity_date", "original_upb", "original_interest_rate")
 
