@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lossloom.llm import bpe, exact_dedup, fingerprint, license_scan, source_mix
+from lossloom.llm import bpe, exact_dedup, fingerprint, license_scan, quality_cnn, source_mix, warc
 from lossloom.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_cnn.score(docs, quality_cnn.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.sample(table(spark, sf_dir, "documents")).drop("times")
 
@@ -68,6 +73,11 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_bpe, op4_fingerprint, op6_source_mix)}
+    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_bpe, op4_fingerprint, op5_quality_cnn, op6_source_mix, op7_warc)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_source_mix": OP6_SQL}
