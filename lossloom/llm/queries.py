@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lossloom.llm import bpe, exact_dedup, fingerprint, license_scan, quality_cnn, source_mix, warc
+from lossloom.llm import bpe, exact_dedup, fingerprint, kneser_ney, license_scan, quality_cnn, source_mix, warc
 from lossloom.llm.common import table
 
 
@@ -78,6 +78,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = kneser_ney.train(docs.where(~kneser_ney.held_out()))
+    return kneser_ney.score(docs, folder).withColumn("held_out", kneser_ney.held_out())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_bpe, op4_fingerprint, op5_quality_cnn, op6_source_mix, op7_warc)}
+    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_bpe, op4_fingerprint, op5_quality_cnn, op6_source_mix, op7_warc, op8_kneser_ney)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_source_mix": OP6_SQL}
