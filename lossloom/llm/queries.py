@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lossloom.llm import bpe, exact_dedup, fingerprint, kneser_ney, license_scan, quality_cnn, secret_scan, source_mix, warc
+from lossloom.llm import bpe, exact_dedup, fingerprint, jaccard_join, kneser_ney, license_scan, quality_cnn, secret_scan, source_mix, warc
 from lossloom.llm.common import table
 
 
@@ -89,6 +89,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(docs, secret_scan.ratio_table(secret_scan.labelled_samples(docs)))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_bpe, op4_fingerprint, op5_quality_cnn, op6_source_mix, op7_warc, op8_kneser_ney, op9_secret_scan)}
+    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_bpe, op4_fingerprint, op5_quality_cnn, op6_source_mix, op7_warc, op8_kneser_ney, op9_secret_scan, op10_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_source_mix": OP6_SQL}
