@@ -126,11 +126,9 @@ class EAD:
     validation_end: date = date(1998, 12, 1)
     oot_end: date = date(2000, 8, 1)
     include_exits: bool = True
-    max_exits: int | None = 10000
     lower: float = 0.0
     upper: float = 2.0
     max_months: int = 360
-    max_profiles: int | None = 5000
     mape_floor: float = 1000.0
 
 

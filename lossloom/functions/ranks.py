@@ -14,19 +14,44 @@ from pyspark.sql import functions as F
 
 from lossloom.functions.exprs import safe_div, uniform_hash
 
-RANGES = 64
-_CUTS = [i / RANGES for i in range(1, RANGES)]
+#: Most groups whose cut points and range offsets are sent to every task; more groups are joined by a shuffle.
+MAX_GROUPS = 10_000
+MOST_RANGES = 4096
+
+
+def ranges_of(df: DataFrame) -> int:
+    """Value ranges per group: four to a shuffle partition, so that they grow with the cluster the session is set up for."""
+    return min(MOST_RANGES, max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _matching(left: DataFrame, right: DataFrame, keys: Sequence[str], small: bool) -> DataFrame:
+    """Inner join on ``keys``, null equal to null; keeps the left columns and the right ones that are not keys."""
+    renamed = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
+    return left.join(F.broadcast(renamed) if small else renamed, on).drop(*[f"_r_{k}" for k in keys])
+
+
+def _in_ranges(df: DataFrame, groups: Sequence[str], value: str) -> tuple[DataFrame, bool]:
+    """Rows with ``_range``, and whether the groups are few enough for broadcasts. One row per group reaches the driver, MAX_GROUPS at most."""
+    n = ranges_of(df)
+    cuts = df.groupBy(*groups).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 32 * n).alias("_cuts"))
+    rows = cuts.limit(MAX_GROUPS + 1).collect()
+    small = len(rows) <= MAX_GROUPS
+    if small:
+        cuts = df.sparkSession.createDataFrame(rows, cuts.schema)
+    placed = _matching(df, cuts, groups, small)
+    below = F.size(F.filter("_cuts", lambda x: x < F.col(value)))
+    return placed.withColumn("_range", F.greatest(F.coalesce(below, F.lit(0)), F.lit(0))).drop("_cuts"), small
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """Add ``<s>_cum`` (ascending, inclusive) and ``<s>_all`` for each column in ``sums``.
+    """Add ``<s>_cum`` (ascending, inclusive, nulls first) and ``<s>_all`` for each column in ``sums``.
 
-    ``df`` must be unique on groups + order. The first order column must be numeric; it defines the ranges.
+    ``df`` must be unique on groups + order. The first order column must be numeric; it defines the ranges. Null groups are groups like any
+    other. Rows move once, to (groups, range): cut points and offsets have one row per group and per group and range, and are broadcast.
     """
     g = list(groups)
-    cuts = df.groupBy(*g).agg(F.percentile_approx(order[0], _CUTS, 2000).alias("_cuts"))
-    placed = df.join(cuts, g).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda x: x < F.col(order[0])))).drop("_cuts")
+    placed, small = _in_ranges(df, g, order[0])
     per_range = placed.groupBy(*g, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*g).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*g)
@@ -35,7 +60,7 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[str], s
         *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_t_{s}").over(whole).alias(f"{s}_all") for s in sums])
     inside = Window.partitionBy(*g, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(offsets, [*g, "_range"])
+    out = _matching(placed, offsets, [*g, "_range"], small)
     return out.select(
         *df.columns,
         *[(F.col(f"_o_{s}") + F.sum(s).over(inside)).alias(f"{s}_cum") for s in sums],
@@ -67,12 +92,12 @@ def global_rank(df: DataFrame, groups: Sequence[str], order: str, ties: Sequence
     of the table is still split over many tasks.
     """
     g = list(groups)
-    h = df.withColumn("_h", uniform_hash(*ties)).withColumn("_slot", F.floor(F.col("_h") * RANGES))
+    h = df.withColumn("_h", uniform_hash(*ties)).withColumn("_slot", F.floor(F.col("_h") * ranges_of(df)))
     cells = h.groupBy(*g, order, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     placed = running_totals(cells, g, [order, "_slot"], ["_n"]).select(
         *g, order, "_slot", (F.col("_n_cum") - F.col("_n")).alias("_before"), F.col("_n_all").alias("n"))
     w = Window.partitionBy(*g, order, "_slot").orderBy("_h", *ties)
-    return (h.join(placed, [*g, order, "_slot"])
+    return (_matching(h, placed, [*g, order, "_slot"], small=False)
             .withColumn("rn", F.col("_before") + F.row_number().over(w))
             .select(*df.columns, "rn", "n"))
 

@@ -55,17 +55,14 @@ def maturity_months(source: str = "remaining_months_to_maturity_source", contrac
 
 
 def chosen_targets(targets: DataFrame, cfg: EAD) -> DataFrame:
-    """Future defaults, plus the first exits by (date, loan) up to the configured number."""
+    """Future defaults and, unless the settings leave them out, all other future exits."""
     life = targets.where("eligible_for_lifetime_pd").select(
         "loan_id", "as_of_date", "event_default", "event_prepayment_or_exit", "event_type", "first_default_date",
         "future_first_non_default_exit_date", "future_first_non_default_exit_reason", "months_to_default_from_observation")
     out = life.where("event_default")
     if not cfg.include_exits:
         return out
-    exits = life.where("event_prepayment_or_exit")
-    if cfg.max_exits is not None:
-        exits = exits.orderBy("as_of_date", "loan_id").limit(cfg.max_exits)
-    return out.unionByName(exits)
+    return out.unionByName(life.where("event_prepayment_or_exit"))
 
 
 def observations(view: DataFrame, targets: DataFrame, events: DataFrame, cfg: EAD) -> DataFrame:
@@ -131,11 +128,10 @@ def baselines(obs: DataFrame) -> DataFrame:
             F.coalesce("months_to_default", F.lit(0)))})
 
 
-def profile_base(obs: DataFrame, cfg: EAD) -> DataFrame:
-    """Latest open row of each loan, the first ones by (date, loan) up to the configured number."""
+def profile_base(obs: DataFrame) -> DataFrame:
+    """Latest open row of each loan."""
     cols = ("vintage_year", "as_of_date", "current_actual_upb", "current_interest_rate", "remaining_months_to_maturity", "months_to_horizon")
-    last = obs.where("current_actual_upb > 0").groupBy("loan_id").agg(F.max_by(F.struct(*cols), "as_of_date").alias("x")).select("loan_id", "x.*")
-    return last if cfg.max_profiles is None else last.orderBy("as_of_date", "loan_id").limit(cfg.max_profiles)
+    return obs.where("current_actual_upb > 0").groupBy("loan_id").agg(F.max_by(F.struct(*cols), "as_of_date").alias("x")).select("loan_id", "x.*")
 
 
 def profiles(base: DataFrame, ratio: Column, cfg: EAD) -> DataFrame:

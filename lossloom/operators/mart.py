@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lossloom.functions.exprs import count_if, flag, month_diff, month_index, ratio_if_positive, tagged_rows, unpivot
 from lossloom.functions.ranks import exact_quantiles
+from lossloom.sources.schemas import layout_for
 
 STATIC_NAMES = {
     "origination_month": "origination_date",
@@ -27,7 +28,7 @@ MONTH_NAMES = {
     "delinquency_status_type": "delinquency_status_category",
     "current_loan_delinquency_status": "delinquency_status_raw",
 }
-LINEAGE = ("_source_year", "_source_zip", "_source_member", "_ingested_at", "_schema_version", "_silver_processed_at")
+LINEAGE = ("_source_year", "_source_zip", "_source_member", "_ingested_at", "_schema_version", "_silver_processed_at", "_source_row_number")
 LAGS = {
     "delinquency_months": ("delinquency_months_lag_", (1, 3, 6, 12)),
     "current_actual_upb": ("current_upb_lag_", (1, 3, 6, 12)),
@@ -48,9 +49,12 @@ def to_date() -> Window:
 
 
 def loan_static(origination: DataFrame) -> DataFrame:
-    """Origination attributes under their mart names."""
+    """Origination attributes (and their missing-value statuses) under their mart names; no lineage."""
     out = origination.withColumnsRenamed(STATIC_NAMES)
-    return out.withColumnRenamed("_source_year", "vintage_year") if "_source_year" in out.columns else out
+    if "_source_year" in out.columns:
+        out = out.withColumnRenamed("_source_year", "vintage_year")
+    fields = {STATIC_NAMES.get(n, n) for n in (*layout_for("origination", 2012).names, "origination_month")} | {"vintage_year"}
+    return out.select(*[c for c in out.columns if c in fields or c.endswith("_status")])
 
 
 def panel_base(performance: DataFrame, static: DataFrame) -> DataFrame:
@@ -103,7 +107,9 @@ def _history_columns() -> dict[str, Column]:
     def months_at(k: int):
         return F.sum(F.when(dq >= k, 1).otherwise(0)).over(w)
 
-    assisted = F.col("borrower_assistance_status_code").isNotNull() | F.col("payment_deferral_flag").isNotNull()
+    # Text deliveries leave an absent code blank rather than null.
+    given = [F.nullif(F.trim(F.col(c)), F.lit("")).isNotNull() for c in ("borrower_assistance_status_code", "payment_deferral_flag")]
+    assisted = given[0] | given[1]
     return {
         "max_delinquency_months_to_date": F.max(dq).over(w),
         "months_delinquent_to_date": F.sum(F.when(dq > 0, 1).otherwise(0)).over(w),

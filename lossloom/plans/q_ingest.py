@@ -8,7 +8,7 @@ from lossloom.operators import features, quality, silver, targets
 from lossloom.plans.registry import query
 from lossloom.plans.sqlchain import cte, mdiff
 from lossloom.sources import sinks, text
-from lossloom.sources.rawdemo import line_sql
+from lossloom.sources.rawdemo import HAS_PERFORMANCE, line_sql
 from lossloom.sources.schemas import layout_for
 from lossloom.sources.store import shared_root
 
@@ -16,7 +16,7 @@ ORIG, PERF = layout_for("origination", 1995), layout_for("performance", 1995)
 
 cte("x_raw_orig", f"SELECT {line_sql('origination')} AS value, l.vintage_year FROM x_loans l")
 cte("x_raw_perf", f"""
-SELECT {line_sql('performance')} AS value, l.vintage_year FROM x_perf p JOIN x_loans l ON l.loan_id = p.loan_id""")
+SELECT {line_sql('performance')} AS value, l.vintage_year FROM x_perf p JOIN x_loans l ON l.loan_id = p.loan_id WHERE {HAS_PERFORMANCE}""")
 for _name, _lay, _raw in (("x_bronze_orig", ORIG, "x_raw_orig"), ("x_bronze_perf", PERF, "x_raw_perf")):
     _cols = ", ".join(f"f[{i + 1}] AS {n}" if ty == "string" else
                       f"try_cast(f[{i + 1}] AS {ty.upper()}) AS {n}" for i, (n, ty) in enumerate(_lay.columns))
@@ -81,6 +81,18 @@ def _(t):
     return text.width_report(t("raw_perf"), PERF)
 
 
+@query("io02_quarantine", f"""
+SELECT 'origination' AS dataset, count(*) AS lines, count(*) FILTER (n = {len(ORIG.names)}) AS bronze_rows,
+       count(*) FILTER (n <> {len(ORIG.names)}) AS quarantined_rows, 0 AS unaccounted_rows FROM (SELECT len(string_split(value, '|')) AS n FROM x_raw_orig)
+UNION ALL SELECT 'performance', count(*), count(*) FILTER (n = {len(PERF.names)}), count(*) FILTER (n <> {len(PERF.names)}), 0
+FROM (SELECT len(string_split(value, '|')) AS n FROM x_raw_perf)""", ints="lines bronze_rows quarantined_rows unaccounted_rows")
+def _(t):
+    """Every line is either a Bronze row or in quarantine."""
+    parts = [text.reconciliation(t(f"raw_{k}"), t(f"bronze_{k}"), t(f"quarantine_{k}")).select(F.lit(d).alias("dataset"), "*")
+             for k, d in (("orig", "origination"), ("perf", "performance"))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("io03_layout_by_year", """
 SELECT vintage_year AS year, 'origination' AS dataset, 'v1' AS version, 31 AS columns, count(*) AS rows FROM x_raw_orig GROUP BY ALL
 UNION ALL SELECT vintage_year, 'performance', 'v1', 35, count(*) FROM x_raw_perf GROUP BY ALL""", ints="year columns")
@@ -131,12 +143,11 @@ def _(t):
         F.count(F.lit(1)).alias("rows"), F.sum("current_actual_upb").alias("upb"))
 
 
-@query("io07_parquet_scan", "SELECT year(o_orderdate) AS year, count(*) AS rows, count(DISTINCT o_custkey) AS loans FROM orders "
-       "WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY ALL", ints="year")
+@query("io07_parquet_scan", "SELECT year(o_orderdate) AS year, count(*) AS rows, count(DISTINCT o_custkey) AS loans FROM orders GROUP BY ALL", ints="year")
 def _(t):
     t.raw("orders").createOrReplaceTempView("lossloom_orders")
     return t.spark.sql("SELECT year(o_orderdate) AS year, count(*) AS rows, count(DISTINCT o_custkey) AS loans "
-                       "FROM lossloom_orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY year(o_orderdate)")
+                       "FROM lossloom_orders GROUP BY year(o_orderdate)")
 
 
 @query("io08_csv_report", """
@@ -329,11 +340,9 @@ def _(t):
 SELECT _source_year, loan_id, first_payment_date, maturity_date, origination_month, original_upb, seller_name, property_state,
        loan_purpose
 FROM x_silver_orig o
-WHERE NOT EXISTS (SELECT 1 FROM x_silver_perf p WHERE p._source_year = o._source_year AND p.loan_id = o.loan_id
-                  AND p.zero_balance_code IN ('02', '03', '09'))""", ints="_source_year", r6="original_upb")
+WHERE NOT EXISTS (SELECT 1 FROM x_silver_perf p WHERE p._source_year = o._source_year AND p.loan_id = o.loan_id)""", ints="_source_year", r6="original_upb")
 def _(t):
-    """The demo has performance for every loan, so the check is run against loans without a loss disposal row."""
-    return quality.without_performance(t("silver_orig"), t("silver_perf").where(F.col("zero_balance_code").isin("02", "03", "09")))
+    return quality.without_performance(t("silver_orig"), t("silver_perf"))
 
 
 @query("dq09_silver_summary", """

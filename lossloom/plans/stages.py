@@ -20,6 +20,8 @@ BUILDERS: dict[str, tuple] = {
     "raw_perf": (lambda t: rawdemo.performance_lines(t("perf"), t("loans")), "text"),
     "bronze_orig": (lambda t: text.bronze(t("raw_orig"), layout_for("origination", 1995), INGESTED_AT), "plain"),
     "bronze_perf": (lambda t: text.bronze(t("raw_perf"), layout_for("performance", 1995), INGESTED_AT), "plain"),
+    "quarantine_orig": (lambda t: text.malformed(t("raw_orig"), layout_for("origination", 1995)), "plain"),
+    "quarantine_perf": (lambda t: text.malformed(t("raw_perf"), layout_for("performance", 1995)), "plain"),
     "silver_orig": (lambda t: silver.origination(t("bronze_orig")), "lazy"),
     "silver_perf": (lambda t: silver.performance(t("bronze_perf")), "lazy"),
     "static": (lambda t: mart.loan_static(t("loans")), "lazy"),

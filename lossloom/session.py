@@ -4,25 +4,29 @@ from __future__ import annotations
 
 import os
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 
+#: Settings of a local session for tests and the bench; whatever the submit command or its defaults set stays.
+DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
 def build_session(app: str = "lossloom", cores: int | None = None, memory: str = "16g") -> SparkSession:
-    """Local session for tests and the bench; on a cluster the submit settings win."""
+    """The session; only settings that nobody has set are filled in."""
     cores = cores or int(os.environ.get("BENCH_CPUS", "8"))
-    return (
-        SparkSession.builder.master(f"local[{cores}]")
-        .appName(app)
-        .config("spark.driver.memory", memory)
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(cores))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.ansi.enabled", "true")
-        # Tables bucketed on the loan also serve joins on (loan, date) without a shuffle.
-        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
-    )
+    given = SparkConf()
+    wanted = DEFAULTS | {"spark.master": f"local[{cores}]", "spark.driver.memory": memory, "spark.sql.shuffle.partitions": str(cores)}
+    builder = SparkSession.builder.appName(app)
+    for key, value in wanted.items():
+        if not given.contains(key):
+            builder = builder.config(key, value)
+    return builder.getOrCreate()

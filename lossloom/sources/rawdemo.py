@@ -76,6 +76,10 @@ PERFORMANCE = {
 }
 
 
+#: Loans delivered with performance; the others are originations alone.
+HAS_PERFORMANCE = "l.loan_id % 59 <> 0"
+
+
 def line_sql(dataset: str) -> str:
     exprs = ORIGINATION if dataset == "origination" else PERFORMANCE
     names = layout_for(dataset, 1995).names
@@ -87,5 +91,5 @@ def origination_lines(loans: DataFrame) -> DataFrame:
 
 
 def performance_lines(perf: DataFrame, loans: DataFrame) -> DataFrame:
-    return (perf.alias("p").join(loans.alias("l"), F.col("p.loan_id") == F.col("l.loan_id"))
+    return (perf.alias("p").join(loans.alias("l"), F.col("p.loan_id") == F.col("l.loan_id")).where(HAS_PERFORMANCE)
             .select(F.expr(line_sql("performance")).alias("value"), "l.vintage_year"))

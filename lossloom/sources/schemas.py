@@ -4,26 +4,77 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Column names in file order. ":i" marks whole numbers, ":d" decimals, the rest is text.
-ORIGINATION_V1 = """
-credit_score:i first_payment_date first_time_homebuyer_flag maturity_date metropolitan_statistical_area
-mortgage_insurance_percentage:i number_of_units:i occupancy_status original_combined_loan_to_value:i
-original_debt_to_income_ratio:i original_upb:d original_loan_to_value:i original_interest_rate:d channel
-prepayment_penalty_mortgage_flag amortization_type property_state property_type postal_code loan_id loan_purpose
-original_loan_term:i number_of_borrowers:i seller_name super_conforming_flag pre_harp_loan_id
-special_eligibility_program harp_indicator property_valuation_method interest_only_indicator vantagescore_4:i
-"""
-PERFORMANCE_V1 = """
-loan_id period current_actual_upb:d current_loan_delinquency_status loan_age:i remaining_months_to_legal_maturity:i
-defect_settlement_date modification_flag zero_balance_code zero_balance_effective_date current_interest_rate:d
-current_non_interest_bearing_upb:d due_date_of_last_paid_installment mi_recoveries:d net_sale_proceeds
-non_mi_recoveries:d total_expenses:d legal_costs:d maintenance_and_preservation_costs:d taxes_and_insurance:d
-miscellaneous_expenses:d actual_loss:d cumulative_modification_costs:d interest_rate_step_indicator
-payment_deferral_flag estimated_loan_to_value:i zero_balance_removal_upb:d delinquent_accrued_interest:d
-delinquency_due_to_disaster borrower_assistance_status_code current_period_modification_costs:d
-current_interest_bearing_upb:d mortgage_insurance_cancellation_indicator servicer_name bankruptcy_cramdown_costs:d
-"""
-SPARK_TYPES = {"i": "bigint", "d": "double", "s": "string"}
+# Column names and types in file order.
+ORIGINATION_V1 = (
+    ("credit_score", "bigint"),
+    ("first_payment_date", "string"),
+    ("first_time_homebuyer_flag", "string"),
+    ("maturity_date", "string"),
+    ("metropolitan_statistical_area", "string"),
+    ("mortgage_insurance_percentage", "bigint"),
+    ("number_of_units", "bigint"),
+    ("occupancy_status", "string"),
+    ("original_combined_loan_to_value", "bigint"),
+    ("original_debt_to_income_ratio", "bigint"),
+    ("original_upb", "double"),
+    ("original_loan_to_value", "bigint"),
+    ("original_interest_rate", "double"),
+    ("channel", "string"),
+    ("prepayment_penalty_mortgage_flag", "string"),
+    ("amortization_type", "string"),
+    ("property_state", "string"),
+    ("property_type", "string"),
+    ("postal_code", "string"),
+    ("loan_id", "string"),
+    ("loan_purpose", "string"),
+    ("original_loan_term", "bigint"),
+    ("number_of_borrowers", "bigint"),
+    ("seller_name", "string"),
+    ("super_conforming_flag", "string"),
+    ("pre_harp_loan_id", "string"),
+    ("special_eligibility_program", "string"),
+    ("harp_indicator", "string"),
+    ("property_valuation_method", "string"),
+    ("interest_only_indicator", "string"),
+    ("vantagescore_4", "bigint"),
+)
+PERFORMANCE_V1 = (
+    ("loan_id", "string"),
+    ("period", "string"),
+    ("current_actual_upb", "double"),
+    ("current_loan_delinquency_status", "string"),
+    ("loan_age", "bigint"),
+    ("remaining_months_to_legal_maturity", "bigint"),
+    ("defect_settlement_date", "string"),
+    ("modification_flag", "string"),
+    ("zero_balance_code", "string"),
+    ("zero_balance_effective_date", "string"),
+    ("current_interest_rate", "double"),
+    ("current_non_interest_bearing_upb", "double"),
+    ("due_date_of_last_paid_installment", "string"),
+    ("mi_recoveries", "double"),
+    ("net_sale_proceeds", "string"),
+    ("non_mi_recoveries", "double"),
+    ("total_expenses", "double"),
+    ("legal_costs", "double"),
+    ("maintenance_and_preservation_costs", "double"),
+    ("taxes_and_insurance", "double"),
+    ("miscellaneous_expenses", "double"),
+    ("actual_loss", "double"),
+    ("cumulative_modification_costs", "double"),
+    ("interest_rate_step_indicator", "string"),
+    ("payment_deferral_flag", "string"),
+    ("estimated_loan_to_value", "bigint"),
+    ("zero_balance_removal_upb", "double"),
+    ("delinquent_accrued_interest", "double"),
+    ("delinquency_due_to_disaster", "string"),
+    ("borrower_assistance_status_code", "string"),
+    ("current_period_modification_costs", "double"),
+    ("current_interest_bearing_upb", "double"),
+    ("mortgage_insurance_cancellation_indicator", "string"),
+    ("servicer_name", "string"),
+    ("bankruptcy_cramdown_costs", "double"),
+)
 
 
 @dataclass(frozen=True)
@@ -38,12 +89,10 @@ class Layout:
         return [n for n, _ in self.columns]
 
 
-def layout(dataset: str, version: str, text: str) -> Layout:
-    parts = [c.partition(":") for c in text.split()]
-    names = [p[0] for p in parts]
-    if len(set(names)) != len(names):
+def layout(dataset: str, version: str, columns: tuple[tuple[str, str], ...]) -> Layout:
+    if len({n for n, _ in columns}) != len(columns):
         raise ValueError(f"{dataset} {version}: column names repeat")
-    return Layout(dataset, version, tuple((p[0], SPARK_TYPES[p[2] or "s"]) for p in parts))
+    return Layout(dataset, version, columns)
 
 
 @dataclass(frozen=True)
@@ -55,8 +104,8 @@ class LayoutPeriod:
 
 # The demo panel covers 1995-2001; the published layout starts in 2012.
 PERIODS = tuple(
-    LayoutPeriod(a, b, layout(name, "v1", text))
-    for name, text in (("origination", ORIGINATION_V1), ("performance", PERFORMANCE_V1))
+    LayoutPeriod(a, b, layout(name, "v1", columns))
+    for name, columns in (("origination", ORIGINATION_V1), ("performance", PERFORMANCE_V1))
     for a, b in ((1995, 2001), (2012, 2026)))
 
 

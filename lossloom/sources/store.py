@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,31 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def loan_co_location(spark: SparkSession) -> Iterator[None]:
+    """While a loan table is written, tables bucketed on the loan serve joins on (loan, date) without a shuffle.
+
+    A loan has at most one row per month, so partitioning such a join by the loan alone cannot skew; other plans of the session keep the
+    default, under which a join is dealt by all its keys.
+    """
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def write_by_loan(df: DataFrame, table: str, path: str) -> None:
+    """Bucketed and sorted by loan: one file per bucket, so that later windows and joins on the loan start from the files."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with loan_co_location(spark):
+        (df.repartition(buckets, "loan_id").write.mode("overwrite").format("parquet").option("path", path)
+         .bucketBy(buckets, "loan_id").sortBy("loan_id").saveAsTable(table))
+
+
 class Stages:
     """Named, lazily built stage tables for one input folder.
 
@@ -46,8 +72,6 @@ class Stages:
     def __init__(self, spark: SparkSession, sf_dir: str, settings: Settings | None = None,
                  builders: dict[str, tuple[Callable[[Stages], DataFrame], str]] | None = None, write: bool = True):
         self.spark = spark
-        # Stage tables are bucketed on the loan; let them serve joins on (loan, date) without a shuffle.
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
         self.sf_dir = sf_dir.rstrip("/")
         self.cfg = settings or Settings()
         self.write = write
@@ -76,10 +100,8 @@ class Stages:
             df.write.mode("overwrite").parquet(path)
             return self.spark.read.schema(df.schema).parquet(path)
         table = f"lossloom_{key}_{name}"
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        (df.write.mode("overwrite").format("parquet").option("path", path)
-         .bucketBy(buckets, "loan_id").saveAsTable(table))
+        write_by_loan(df, table, path)
         return self.spark.table(table)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lossloom.functions.exprs import count_if
 from lossloom.sources.schemas import Layout
+from lossloom.sources.store import cut_lineage
 
 
 def fields(lay: Layout):
@@ -34,14 +35,22 @@ def width_report(lines: DataFrame, lay: Layout) -> DataFrame:
 
 
 def malformed(lines: DataFrame, lay: Layout) -> DataFrame:
-    """Rows of the wrong width, for a quarantine table."""
-    return (filled(lines).withColumn("observed", F.size(fields(lay))).where(F.col("observed") != len(lay.columns))
-            .withColumn("expected", F.lit(len(lay.columns))))
+    """Rows of the wrong width with their file and row number: the quarantine table. Only these few rows are joined to the block table."""
+    wrong = (_placed(lines).withColumn("observed", F.size(fields(lay))).where(F.col("observed") != len(lay.columns))
+             .withColumn("expected", F.lit(len(lay.columns))))
+    return _numbered(wrong, lines)
+
+
+def reconciliation(lines: DataFrame, rows: DataFrame, quarantine: DataFrame) -> DataFrame:
+    """One row: lines in, rows out, lines quarantined, and what neither accounts for (0 when nothing is lost)."""
+    one = [df.agg(F.count(F.lit(1)).alias(n)) for df, n in ((filled(lines), "lines"), (rows, "bronze_rows"), (quarantine, "quarantined_rows"))]
+    return one[0].crossJoin(one[1]).crossJoin(one[2]).withColumn(
+        "unaccounted_rows", F.col("lines") - F.col("bronze_rows") - F.col("quarantined_rows"))
 
 
 def require_width(lines: DataFrame, lay: Layout) -> None:
     """Raise when any row has the wrong width, naming one; a single small aggregate decides."""
-    worst = malformed(with_row_numbers(lines), lay).agg(
+    worst = malformed(lines, lay).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("_source_member", "_source_row_number", "observed")).alias("at")).first()
     if worst["n"]:
         at = worst["at"]
@@ -49,22 +58,35 @@ def require_width(lines: DataFrame, lay: Layout) -> None:
                          f"row {at['_source_row_number']} has {at['observed']}")
 
 
-def with_row_numbers(lines: DataFrame) -> DataFrame:
-    """File path and 1-based row number inside the file.
+#: Splits of text files that one block table may list before it is joined by a shuffle instead of a broadcast.
+MAX_BLOCKS = 1_000_000
 
-    A file may be read as several splits. Rows are numbered inside each split (bounded by the split size) and shifted
-    by the rows of the splits before it, so no file passes through one task.
-    """
-    x = filled(lines).select(
+
+def _placed(lines: DataFrame) -> DataFrame:
+    """Filled lines with their file, split and a number that rises inside the split."""
+    return filled(lines).select(
         "*", F.col("_metadata.file_path").alias("_source_member"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"))
-    per_block = x.groupBy("_source_member", "_block").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _numbered(placed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Row numbers from the per-split table: its first number and the rows of the splits before it in the file."""
+    per_block = _placed(lines).groupBy("_source_member", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_source_member").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shift = per_block.select("_source_member", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    inside = Window.partitionBy("_source_member", "_block").orderBy("_at")
-    return (x.join(shift, ["_source_member", "_block"])
-            .withColumn("_source_row_number", (F.col("_shift") + F.row_number().over(inside)).cast("long"))
-            .drop("_block", "_at", "_shift"))
+    shift = cut_lineage(per_block.select("_source_member", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")),
+                        "text-blocks")
+    shift = F.broadcast(shift) if shift.count() <= MAX_BLOCKS else shift
+    return (placed.join(shift, ["_source_member", "_block"])
+            .withColumn("_source_row_number", (F.col("_at") + F.col("_shift")).cast("long")).drop("_block", "_at", "_shift"))
+
+
+def with_row_numbers(lines: DataFrame) -> DataFrame:
+    """File path and 1-based row number inside the file, without moving the text.
+
+    Inside a split the numbers of ``monotonically_increasing_id`` rise by one per line. A table with one row per split, broadcast when it has at
+    most MAX_BLOCKS rows, shifts them to positions in the file.
+    """
+    return _numbered(_placed(lines), lines)
 
 
 def safe_types(df: DataFrame, lay: Layout) -> DataFrame:
