@@ -40,17 +40,23 @@ class Job:
         return df
 
 
-def run_ingestion(job: Job, text_root: str, ingested_at: str, force: bool = False) -> Tables:
-    """Delimited text under text_root/<dataset>/vintage_year=YYYY to typed Bronze partitions; a bad row width fails the job."""
+def run_ingestion(job: Job, text_root: str, ingested_at: str, force: bool = False, quarantine: bool = False) -> Tables:
+    """Delimited text under text_root/<dataset>/vintage_year=YYYY to typed Bronze partitions.
+
+    A bad row width fails the job, or with ``quarantine`` goes to quarantine/<dataset>; either way no line is lost unseen.
+    """
     out = {}
     for dataset in ("origination", "performance"):
         lines = job.spark.read.text(f"{text_root}/{dataset}")
-        years = [r[0] for r in lines.select("vintage_year").distinct().collect()]  # partition folders
+        years = sinks.partition_years(job.spark, f"{text_root}/{dataset}")
         layouts = {layout_for(dataset, y) for y in years}
         if len(layouts) != 1:
             raise ValueError(f"{dataset}: read years of one layout at a time")
         lay = layouts.pop()
-        text.require_width(lines, lay)
+        if quarantine:
+            job.write(f"quarantine/{dataset}", text.malformed(lines, lay))
+        else:
+            text.require_width(lines, lay)
         path = f"{job.root}/bronze/{dataset}"
         sinks.write_partitions(text.bronze(lines, lay, ingested_at), path, "_source_year", force)
         out[dataset] = job.read(f"bronze/{dataset}")

@@ -101,7 +101,7 @@ def _(t):
     out = None
     for name, dataset in (("raw_orig", "origination"), ("raw_perf", "performance")):
         per_year = t(name).groupBy(F.col("vintage_year").alias("year")).agg(F.count(F.lit(1)).alias("rows"))
-        years = [r.vintage_year for r in t(name).select("vintage_year").distinct().collect()]
+        years = [r[0] for r in per_year.select("year").collect()]
         chosen = t.spark.createDataFrame(
             [(y, dataset, layout_for(dataset, y).version, len(layout_for(dataset, y).columns)) for y in years],
             "year int, dataset string, version string, columns int")

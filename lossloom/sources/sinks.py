@@ -19,6 +19,14 @@ def existing_years(spark: SparkSession, path: str, column: str = "vintage_year")
     return table.select(F.col(column).cast("long").alias(column)).distinct()
 
 
+def partition_years(spark: SparkSession, path: str, column: str = "vintage_year") -> list[int]:
+    """Years of the partition folders right under a path, from a listing: no file is read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)
+    names = [f.getPath().getName() for f in found if f.isDirectory()]
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{column}="))
+
+
 def missing_years(spark: SparkSession, path: str, wanted: DataFrame, column: str = "vintage_year") -> DataFrame:
     return wanted.select(F.col(column).cast("long").alias(column)).distinct().join(
         existing_years(spark, path, column), column, "left_anti")
@@ -38,7 +46,9 @@ def write_partitions(df: DataFrame, path: str, column: str = "vintage_year", for
     """
     if not force:
         df = df.join(existing_years(df.sparkSession, path, column), column, "left_anti")
-    (df.repartition(F.col(column), F.pmod(F.hash(*[c for c in df.columns if c != column][:1]), F.lit(64)))
+    # Every column but the partition takes part, so no sentinel or hot value gathers in one task; the slots follow the session.
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (df.repartition(F.col(column), F.pmod(F.xxhash64(*[c for c in df.columns if c != column]), F.lit(slots)))
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
      .partitionBy(column).parquet(path))
 
