@@ -8,36 +8,32 @@ from pyspark.sql import functions as F
 from lossloom.sources.store import cut_lineage
 
 
-def _directed(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every node hands the least of itself and its neighbours to its larger neighbours. Edges go from the larger node u to the smaller v."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """Every node hands its least neighbour (itself included) to its larger neighbours, or to those not larger than itself."""
-    both = _directed(edges)
-    if small:
-        both = both.where("v < u")
-    least = both.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m"))
-    joined = both.join(least, "u")
-    if small:
-        out = joined.select(F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(least.select("u", F.col("_m").alias("v")))
-    else:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v"))
-    return out.where("u <> v").distinct()
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Every node hands its least smaller neighbour to itself and to its other smaller neighbours."""
+    least = edges.groupBy("u").agg(F.min("v").alias("_m"))
+    others = edges.join(least, "u").where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
+    return others.unionByName(least.select("u", F.col("_m").alias("v")))
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(u, root) for every node that occurs in ``edges`` (u, v: bigint); the root is the least node of its component.
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is a root or the child of exactly one root."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    seen = ends.groupBy("x").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+    return seen.where("child > 1 OR (child = 1 AND root = 1)").isEmpty()
+
 
-    Stops when a round changes nothing, which is when every edge leads to a root. Each round is a stored table.
-    """
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(u, root) for every node that occurs in ``edges`` (u, v: bigint); the root is the least node of its component. Each round is a stored table."""
     edges = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    seen = None
-    while True:
-        edges = cut_lineage(_star(_star(edges, small=False), small=True), name)
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen:
-            break
-        seen = tuple(state)
+    while not _settled(edges):
+        edges = cut_lineage(_small_star(_large_star(edges)).distinct(), name)
     roots = edges.select("v").distinct().select(F.col("v").alias("u"), F.col("v").alias("root"))
     return edges.select("u", F.col("v").alias("root")).unionByName(roots)

@@ -4,8 +4,10 @@ A document is its set of five-word shingles. Documents with equal sets are one n
 tokens, so that two nodes share a token with the probability of their similarity. A run walks a tree: at every step a
 node follows each of its tokens with a chance of 1 / (threshold * TOKENS), drawn from a hash of path and token, so that nodes
 that share a followed token go on together. Paths of ``DEPTH`` steps are the first buckets; buckets above ``LIMIT`` nodes are
-split by further steps, small ones are compared pair by pair. Runs are repeated until a pair at the threshold meets with the target
-recall. Pairs whose token agreement is high enough are then verified on the whole shingle sets.
+split by further steps, small ones are compared pair by pair on their tokens. Runs are repeated until a pair at the threshold
+meets with the target recall. No pairs leave a bucket: it reports a spanning forest of the pairs whose tokens agree nearly
+enough, and the components of all forests are the candidate groups. Every group is verified on the whole shingle sets, in
+blocks so that each pair is checked exactly once; a block reports its link counts and a spanning forest of the links.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from lossloom.sources.store import cut_lineage
 
 NGRAM, THRESHOLD = 5, 0.8
 TOKENS = 128
-LIMIT = 256
+LIMIT = 4096
+#: Nodes of a candidate group whose shingle sets one task holds per side of a comparison.
+BLOCK = 256
 DEPTH, MAX_DEPTH = 2, 8
 RECALL = 0.999
-#: Token agreement from which a pair is verified: 4.5 standard deviations below the threshold.
+#: Token agreement from which a pair is a candidate: 4.5 standard deviations below the threshold.
 SLACK = 4.5
 
 _RNG = np.random.default_rng(977)
@@ -161,7 +165,7 @@ def buckets(nodes: DataFrame, runs: int, threshold: float, limit: int, depth: in
     A bucket that ``max_depth`` steps leave above the limit is cut into blocks of half the limit, and every two blocks form
     a bucket: nodes that no path can part are almost all similar to each other.
     """
-    found, level = [], cut_lineage(first_paths(nodes, runs, depth, threshold).distinct(), "paths")
+    found, level = [], cut_lineage(first_paths(nodes, runs, depth, threshold), "paths")
     while True:
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = cut_lineage(level.join(sizes, "path"), "buckets")
@@ -176,18 +180,32 @@ def buckets(nodes: DataFrame, runs: int, threshold: float, limit: int, depth: in
             found.append(large.select("path", "node", F.explode(pairs).alias("_b")).select(F.xxhash64("path", "_b.a", "_b.b").alias("path"), "node"))
             break
         depth += 1
-        level = cut_lineage(longer_paths(large, nodes, threshold).distinct(), "paths")
+        level = cut_lineage(longer_paths(large, nodes, threshold), "paths")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
 
 
-PAIRS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("home", T.LongType())])
+EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+
+
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least place in the connected component of each of n places, by spreading minima along the links."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    return label
 
 
 def candidates(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, home): node pairs of one bucket whose tokens agree nearly as often as the threshold asks; home is the bucket.
+    """(u, v): a spanning forest, per bucket, of the pairs whose tokens agree nearly as often as the threshold asks.
 
     Signatures travel as one byte per token. Rows come sorted by bucket; row i meets row i + 1, i + 2, ... of its bucket, all buckets at once.
     """
@@ -198,18 +216,31 @@ def candidates(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
             low = _array(batch.column(1), "<u4", TOKENS).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in low], pa.binary())], ["node", "low"])
 
-    def pairs_of(path: np.ndarray, node: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
-        out, lag = [], 1
+    def forest(path: np.ndarray, node: np.ndarray, low: np.ndarray) -> pa.RecordBatch:
+        label, lag = np.arange(len(path)), 1
         left = np.flatnonzero(path[:-1] == path[1:])
+        firsts, seconds, size = [], [], 0
         while len(left):
-            agree = np.concatenate([np.count_nonzero(low[left[i:i + 8192]] == low[left[i:i + 8192] + lag], axis=1) for i in range(0, len(left), 8192)])
-            hit = left[agree >= least]
-            out.append(np.stack([np.minimum(node[hit], node[hit + lag]), np.maximum(node[hit], node[hit + lag]), path[hit]]))
+            for i in range(0, len(left), 8192):
+                x = left[i:i + 8192]
+                hit = x[np.count_nonzero(low[x] == low[x + lag], axis=1) >= least]
+                new = hit[label[hit] != label[hit + lag]]
+                firsts.append(new)
+                seconds.append(new + lag)
+                size += len(new)
+            if size > 1 << 18 or lag % 16 == 0:  # what is connected by now need not be kept again
+                label = _labels(len(path), np.concatenate([np.arange(len(path)), *firsts]), np.concatenate([label, *seconds]))
+                firsts, seconds, size = [], [], 0
             lag += 1
             left = left[left + lag < len(path)]
             left = left[path[left] == path[left + lag]]
-        a, b, home = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(home)], PAIRS.names)
+        label = _labels(len(path), np.concatenate([np.arange(len(path)), *firsts]), np.concatenate([label, *seconds]))
+        # Each component hangs on its least node, so that the buckets of one group mostly name the same root.
+        root = np.full(len(path), np.iinfo(np.int64).max)
+        np.minimum.at(root, label, node)
+        root = root[label]
+        far = np.flatnonzero(root != node)
+        return pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(root[far])], EDGES.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -223,87 +254,105 @@ def candidates(members: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
                     path, node, low = (np.concatenate(x) for x in zip(*held, strict=True))
                     cut = int(np.searchsorted(path, path[-1]))  # the last bucket may go on
                     if cut:
-                        yield pairs_of(path[:cut], node[:cut], low[:cut])
+                        yield forest(path[:cut], node[:cut], low[:cut])
                     held, size = [(path[cut:], node[cut:], low[cut:])], len(path) - cut
         if held:
-            yield pairs_of(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     low = nodes.select("node", "sig").mapInArrow(bytes_of, "node bigint, low binary")
     rows = members.join(low, "node").select("path", "node", "low").repartition("path").sortWithinPartitions("path")
-    return rows.mapInArrow(run, PAIRS).groupBy("a", "b").agg(F.min("home").alias("home"))
+    return rows.mapInArrow(run, EDGES)
 
 
 LINKS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("n", T.LongType())])
+CELLS = 1 << 23
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections (exact), from products of 0/1 matrices over the values that occur twice or more."""
+    n = len(sets)
+    value = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
+    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    order = order[count[column[order]] > 1]
+    column, owner = column[order], owner[order]
+    column = np.cumsum(np.r_[False, column[1:] != column[:-1]]) if len(column) else column
+    out = np.zeros((n, n), np.int64)
+    width = max(1, CELLS // n)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        i, j = np.searchsorted(column, [lo, lo + width])
+        m = np.zeros((n, min(width, int(column[j - 1]) - lo + 1)), np.float32)
+        m[owner[i:j], column[i:j] - lo] = 1
+        out += np.rint(m @ m.T).astype(np.int64)
+    np.fill_diagonal(out, [len(x) for x in sets])
+    return out
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, threshold: float, n: int) -> DataFrame:
-    """Exact check on the shingle sets. Rows (u, v, n): with v, an edge of a spanning forest of the links of one home; without, n documents linked to u there.
+def verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, threshold: float, n: int, block: int) -> DataFrame:
+    """Exact check of each candidate group (u, root). Rows (u, v, n): with v, an edge of a spanning forest of links; without, n documents linked to u.
 
-    A node's text is sent once to every home in which it has a pair; pairs and sets meet there, one bucket at a time.
+    A group of more than ``block`` nodes is dealt into blocks by hash, and every two blocks (and every block with itself)
+    meet in one task, so that each pair is checked once. A node's set is sent to as many tasks as its group has blocks.
     """
-    needed = pairs.select("home", F.explode(F.array("a", "b")).alias("node")).distinct()
-    homes = needed.groupBy("node").agg(F.collect_set("home").alias("homes"))  # at most one per bucket of the node
-    wanted = homes.join(nodes.select("node", "rep", "size"), "node")
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    own = F.pmod(F.xxhash64("u"), blocks).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.struct(
+        F.xxhash64("root", F.least(i, F.col("_own")), F.greatest(i, F.col("_own"))).alias("home"), (i == F.col("_own")).alias("inner")))
+    placed = groups.join(sizes, "root").withColumn("_own", own).select(F.col("u").alias("node"), "_own", meets.alias("homes"))
+    wanted = placed.join(nodes.select("node", "rep", "size"), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in slices(batch, "text"):
                 value, at = shingles(raw, offsets, n)
                 good = node_of(value, at) == batch.column(0).to_numpy()[lo:hi]  # a second text under the same id is passed over
-                part = pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:3]],
+                part = pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:4]],
                                                    pa.array([value[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())],
-                                                  ["node", "size", "homes", "set"])
+                                                  ["node", "size", "own", "homes", "set"])
                 yield part.filter(pa.array(good))
 
-    texts = docs.select(F.col(id_col).alias("rep"), "text").join(wanted, "rep").select("node", "size", "homes", "text")
-    shipped = texts.mapInArrow(sets, "node bigint, size bigint, homes array<bigint>, set binary").select(
-        F.explode("homes").alias("home"), F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("size").alias("b"), "set")
-    asked = pairs.select("home", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("set"))
+    texts = docs.select(F.col(id_col).alias("rep"), "text").join(wanted, "rep").select("node", "size", F.col("_own").alias("own"), "homes", "text")
+    shipped = texts.mapInArrow(sets, "node bigint, size bigint, own int, homes array<struct<home: bigint, inner: boolean>>, set binary")
+    shipped = shipped.select(F.explode("homes").alias("h"), "node", "size", "own", "set").select("h.home", "h.inner", "node", "size", "own", "set")
+
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = list({r[2]: r for r in rows}.values())  # equal texts under one id give a node twice
+        if len(rows) < 2:
+            return
+        inner, node, size, own = rows[0][1], *(np.array([r[i] for r in rows]) for i in (2, 3, 4))
+        values = [np.frombuffer(r[5], np.uint64) for r in rows]
+        both, count = shared(values), np.array([len(v) for v in values])
+        good = both >= threshold * (count[:, None] + count[None, :] - both) - 1e-9
+        np.fill_diagonal(good, False)
+        if not inner:
+            good &= own[:, None] != own[None, :]
+        total = good @ size
+        a, b = np.nonzero(np.triu(good))
+        label = _labels(len(node), a, b)
+        far, some = np.flatnonzero(label != np.arange(len(node))), np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[node[far], node[some]]), pa.array([*node[label[far]].tolist(), *[None] * len(some)], pa.int64()),
+             pa.array([*[None] * len(far), *total[some].tolist()], pa.int64())], LINKS.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        home, held, sizes, parent, links = None, {}, {}, {}, {}
-
-        def root(x: int) -> int:
-            while parent.get(x, x) != x:
-                parent[x] = x = parent.get(parent[x], parent[x])
-            return x
-
-        def emit() -> pa.RecordBatch:
-            rows = [(x, root(x), None) for x in list(parent) if root(x) != x] + [(x, None, k) for x, k in links.items()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], LINKS.names)
-
+        held: list[tuple] = []
         for batch in batches:
-            for h, kind, a, b, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if h != home:
-                    if links:
-                        yield emit()
-                    home, held, sizes, parent, links = h, {}, {}, {}, {}
-                if not kind:
-                    held[a], sizes[a] = np.frombuffer(data, np.uint64), b
-                    continue
-                x, y = held.get(a), held.get(b)
-                if x is None or y is None:
-                    continue
-                if len(x) > len(y):
-                    x, y = y, x
-                if len(x) < threshold * len(y):
-                    continue
-                at = np.searchsorted(y, x)
-                both = int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x))
-                if both >= threshold * (len(x) + len(y) - both) - 1e-9:
-                    links[a] = links.get(a, 0) + sizes[b]
-                    links[b] = links.get(b, 0) + sizes[a]
-                    p, q = root(a), root(b)
-                    parent[max(p, q)] = parent[min(p, q)] = min(p, q)
-        if links:
-            yield emit()
-
-    rows = shipped.unionByName(asked).repartition("home").sortWithinPartitions("home", "kind")
-    return rows.mapInArrow(run, LINKS)
+            for lo in range(0, batch.num_rows, 256):
+                for row in zip(*[c.slice(lo, 256).to_pylist() for c in batch.columns], strict=True):
+                    if held and held[0][0] != row[0]:
+                        yield from links(held)
+                        held = []
+                    held.append(row)
+        if held:
+            yield from links(held)
+
+    return shipped.repartition("home").sortWithinPartitions("home").mapInArrow(run, LINKS)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, limit: int = LIMIT,
-         depth: int = DEPTH, max_depth: int = MAX_DEPTH) -> DataFrame:
+         depth: int = DEPTH, max_depth: int = MAX_DEPTH, block: int = BLOCK) -> DataFrame:
     """One row per input row: the id, class_id, n_links and class_size.
 
     n_links counts the other documents with a Jaccard similarity of at least ``threshold`` (equal shingle sets
@@ -316,8 +365,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD,
     nodes = cut_lineage(rows.groupBy("node").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig")), "jaccard-nodes")
     usable = nodes.where((F.col("node") != 0) & F.col("rep").isNotNull())
     members = buckets(usable, runs_for(recall), threshold, limit, depth, max_depth)
-    pairs = cut_lineage(candidates(members, usable, threshold), "jaccard-pairs")
-    links = cut_lineage(verified(pairs, usable, docs, id_col, threshold, n), "jaccard-links")
+    groups = cut_lineage(components(candidates(members, usable, threshold), "jaccard-candidates"), "jaccard-groups")
+    links = cut_lineage(verified(groups, usable, docs, id_col, threshold, n, block), "jaccard-links")
     roots = components(links.where("v is not null").select("u", "v"), "jaccard-components")
     counts = links.where("v is null").groupBy("u").agg(F.sum("n").alias("_linked"))
     known = (nodes.drop("sig").join(roots.withColumnRenamed("u", "node"), "node", "left").join(counts.withColumnRenamed("u", "node"), "node", "left")

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from llm_cases import EDGE
@@ -73,7 +74,16 @@ def test_large_buckets_lose_nothing(docs, limit, max_depth):
     rng = random.Random(7)
     seed = " ".join(f"w{rng.randrange(500)}" for _ in range(150))
     rows = [(i, edited(rng, seed, i % 5)) for i in range(70)]
-    same(J.join(docs(rows), limit=limit, max_depth=max_depth).collect(), brute(rows))
+    same(J.join(docs(rows), limit=limit, max_depth=max_depth, block=9).collect(), brute(rows))
+
+
+def test_intersections_match_brute_force(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(20)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    for cells in (1 << 23, 100):
+        monkeypatch.setattr(J, "CELLS", cells)
+        assert J.shared(sets).tolist() == want
 
 
 def test_no_rows(docs):
