@@ -459,17 +459,18 @@ def actual_loss_reconciliation(eps: DataFrame) -> DataFrame:
 
 
 # Cash-flow component, kind and treatment.
+# The audited components and their types. How each enters the target is told in our own words.
 COMPONENTS = {
-    "zero_balance_removal_upb": ("TERMINAL_VALUE", "exposure basis for loss reconciliation"),
-    "ead_at_default": ("POINT_IN_TIME", "fallback exposure for unresolved or missing terminal UPB"),
-    "net_sale_proceeds": ("TERMINAL_VALUE", "signed recovery credit"),
-    "mi_recoveries": ("TERMINAL_VALUE", "signed recovery credit"),
-    "non_mi_recoveries": ("TERMINAL_VALUE", "signed recovery credit"),
-    "total_expenses": ("TERMINAL_VALUE", "signed/positive expense"),
-    "delinquent_accrued_interest": ("TERMINAL_VALUE", "interest owed at terminal event"),
-    "bankruptcy_cramdown_costs": ("TERMINAL_VALUE", "additional economic cost"),
-    "cumulative_modification_costs": ("CUMULATIVE", "latest valid cumulative value only"),
-    "actual_loss": ("VALIDATION_ONLY", "not used as a predictor or target input"),
+    "zero_balance_removal_upb": ("TERMINAL_VALUE", "balance that the realised loss is measured against"),
+    "ead_at_default": ("POINT_IN_TIME", "stands in where no terminal balance is known"),
+    "net_sale_proceeds": ("TERMINAL_VALUE", "lowers the loss, sign as delivered"),
+    "mi_recoveries": ("TERMINAL_VALUE", "lowers the loss, sign as delivered"),
+    "non_mi_recoveries": ("TERMINAL_VALUE", "lowers the loss, sign as delivered"),
+    "total_expenses": ("TERMINAL_VALUE", "raises the loss"),
+    "delinquent_accrued_interest": ("TERMINAL_VALUE", "unpaid interest at the exit"),
+    "bankruptcy_cramdown_costs": ("TERMINAL_VALUE", "raises the economic loss only"),
+    "cumulative_modification_costs": ("CUMULATIVE", "last running total, never summed over months"),
+    "actual_loss": ("VALIDATION_ONLY", "compared with the result, not an input of it"),
 }
 
 
