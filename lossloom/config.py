@@ -75,16 +75,12 @@ class Scorecard:
     pdo: float = 50.0
     base_odds: float = 20.0
     bands: int = 10
-    cutoff: float = 0.05
-    deciles: int = 10
 
 
 @dataclass(frozen=True)
 class PDFramework:
     calibration: str = "logistic"  # or "none", "isotonic"
     grades: int = 5
-    min_population: int = 50
-    min_defaults: int = 5
     anchor: tuple[date, date] = (date(1995, 1, 1), date(1997, 12, 1))
     max_months: int = 360
     hazard_smoothing: float = 0.5

@@ -63,10 +63,6 @@ def count_if(cond: Column) -> Column:
     return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("long")
 
 
-def sum_if(cond: Column, value: Column | str) -> Column:
-    return F.sum(F.when(cond, c(value)).otherwise(F.lit(0.0)))
-
-
 def wavg(value: Column | str, weight: Column | str) -> Column:
     return safe_div(F.sum(c(value) * c(weight)), F.sum(c(weight)))
 

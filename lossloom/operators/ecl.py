@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lossloom.config import ECL
 from lossloom.functions.exprs import clip, count_if, safe_div, tagged_rows
 from lossloom.operators.ead import maturity_months
+from lossloom.sources.store import cut_lineage
 
 LGD_COLUMNS = {"base": "lgd_base", "downturn": "lgd_downturn"}
 
@@ -50,15 +51,19 @@ def scenario_weights(curves: DataFrame) -> dict[str, float]:
     return weights
 
 
-def with_lgd(pop: DataFrame, episodes: DataFrame, out: str = "lgd", method: str = "base") -> DataFrame:
-    """LGD of the active episode, else the rating mean, else the portfolio mean, clipped to 0..1."""
-    col = LGD_COLUMNS[method]
-    own = episodes.select("loan_id", "default_episode_id", F.col(col).alias("_own"))
-    grade = F.broadcast(episodes.where("rating_at_default IS NOT NULL").groupBy(F.col("rating_at_default").alias("rating"))
-                        .agg(F.avg(col).alias("_grade")))  # one row per grade
-    whole = episodes.agg(F.avg(col).alias("_all"))
+def with_lgds(pop: DataFrame, episodes: DataFrame, methods: Mapping[str, str]) -> DataFrame:
+    """One LGD column per name: that of the active episode, else the rating mean, else the portfolio mean, clipped to 0..1.
+
+    All columns come from one join to the episodes and one pair of aggregates over them.
+    """
+    cols = {out: LGD_COLUMNS[m] for out, m in methods.items()}
+    own = episodes.select("loan_id", "default_episode_id", *[F.col(c).alias(f"_own_{o}") for o, c in cols.items()])
+    grade = (episodes.where("rating_at_default IS NOT NULL").groupBy(F.col("rating_at_default").alias("rating"))
+             .agg(*[F.avg(c).alias(f"_grade_{o}") for o, c in cols.items()]))
+    whole = episodes.agg(*[F.avg(c).alias(f"_all_{o}") for o, c in cols.items()])
     df = pop.join(own, ["loan_id", "default_episode_id"], "left").join(grade, "rating", "left").crossJoin(whole)  # one-row right side
-    return df.withColumn(out, clip(F.coalesce("_own", "_grade", "_all"), 0.0, 1.0)).drop("_own", "_grade", "_all")
+    return df.withColumns({o: clip(F.coalesce(f"_own_{o}", f"_grade_{o}", f"_all_{o}"), 0.0, 1.0) for o in cols}).drop(
+        *[f"_{k}_{o}" for o in cols for k in ("own", "grade", "all")])
 
 
 def loss_rate() -> Column:
@@ -68,7 +73,7 @@ def loss_rate() -> Column:
 def curve_sums(curves: DataFrame, loans: DataFrame, scenarios: Sequence[str], cfg: ECL) -> DataFrame:
     """Running sums of marginal PD, discounted marginal PD and month x marginal PD per rating, rate and month.
 
-    Rows grow with the distinct rates of the book, not with its loans; every window covers one curve.
+    Rows grow with the distinct rates of the book, not with its loans; every window covers one curve. Stored, since several joins read it.
     """
     aggs = [F.sum(F.when(F.col("scenario") == s, F.col("marginal_pd")).otherwise(0.0)).alias(f"p_{s}") for s in scenarios]
     wide = curves.where(F.col("month").between(1, cfg.max_months)).groupBy("rating", "month").agg(*aggs)
@@ -80,16 +85,34 @@ def curve_sums(curves: DataFrame, loans: DataFrame, scenarios: Sequence[str], cf
         p = F.col(f"p_{s}")
         cols += [F.sum(p).over(w).alias(f"c_{s}"), F.sum(p * F.pow(1 + F.col("_r"), -F.col("month"))).over(w).alias(f"d_{s}"),
                  F.sum(p * F.col("month")).over(w).alias(f"m_{s}")]
-    return t.select("rating", "_r", F.col("month").cast("long").alias("_h"), *cols)
+    return cut_lineage(t.select("rating", "_r", F.col("month").cast("long").alias("_h"), *cols), "curve-sums")
+
+
+#: Most rows of the curve table that are broadcast; a larger one is joined on salted keys, since few (rating, rate, horizon) hold many loans.
+MAX_CURVE_ROWS = 500_000
+CURVE_SALTS = 32
+
+
+def _on_curve(df: DataFrame, sums: DataFrame) -> DataFrame:
+    """Left join of loans (_g, _r, _h) to the stored curve table."""
+    sums = sums.withColumnRenamed("rating", "_g")
+    if sums.count() <= MAX_CURVE_ROWS:
+        return df.join(F.broadcast(sums), ["_g", "_r", "_h"], "left")
+    salted = sums.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(CURVE_SALTS - 1))))
+    return (df.withColumn("_s", F.pmod(F.xxhash64("loan_id"), F.lit(CURVE_SALTS)).cast("int"))
+            .join(salted, ["_g", "_r", "_h", "_s"], "left").drop("_s"))
 
 
 def with_unit_loss(loans: DataFrame, sums: DataFrame, scenarios: Sequence[str], cfg: ECL, rating: str = "rating", stage: str = "stage",
-                   prefix: str = "unit_") -> DataFrame:
-    """Add the loss per unit of EAD x LGD of each scenario for stages 1 and 2; 0 for other stages or without a curve."""
+                   prefix: str = "unit_", curve: str = "") -> DataFrame:
+    """Add the loss per unit of EAD x LGD of each scenario for stages 1 and 2; 0 for other stages or without a curve.
+
+    ``curve`` precedes the scenario names in the curve table.
+    """
     n = F.greatest(F.col("remaining_months_to_maturity"), F.lit(0))
     h = F.when(F.col(stage) == 1, F.least(n, F.lit(cfg.stage1_months))).when(F.col(stage) == 2, F.least(n, F.lit(cfg.max_months))).otherwise(0)
     df = loans.withColumns({"_r": loss_rate(), "_h": h.cast("long"), "_g": F.col(rating)})
-    df = df.join(sums.withColumnRenamed("rating", "_g"), ["_g", "_r", "_h"], "left")
+    df = _on_curve(df, sums.select("rating", "_r", "_h", *[F.col(f"{k}_{curve}{s}").alias(f"{k}_{s}") for s in scenarios for k in "cdm"]))
     grown = F.pow(1 + F.col("_r"), n.cast("double"))
     out = {}
     for s in scenarios:
@@ -134,7 +157,7 @@ def score(state: DataFrame, curves: DataFrame, cfg: ECL, lgds: Mapping[str, str]
 def run(staging: DataFrame, month: DataFrame, static: DataFrame, episodes: DataFrame, curves: DataFrame, cfg: ECL) -> DataFrame:
     """Loan-level losses on the reporting date under the base LGD, with the downturn total alongside."""
     pop = population(staging, month, static, cfg)
-    state = with_lgd(with_lgd(pop, episodes, "lgd", cfg.lgd_method), episodes, "lgd_downturn", "downturn")
+    state = with_lgds(pop, episodes, {"lgd": cfg.lgd_method, "lgd_downturn": "downturn"})
     chosen = selected_curves(curves, cfg.reporting_date)
     df = score(state, chosen, cfg, {"ecl_weighted_downturn": "lgd_downturn"})
     anchor = curve_date(curves, cfg.reporting_date).withColumnRenamed("date", "pd_scenario_anchor_date")

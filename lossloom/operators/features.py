@@ -45,14 +45,6 @@ def features_for(use: str, *, include_restricted: bool = False) -> list[str]:
     return [f.name for f in REGISTRY if use in f.uses and (include_restricted or f.leakage in SAFE)]
 
 
-def features_by_availability(availability: str) -> list[str]:
-    return [f.name for f in REGISTRY if f.availability == availability]
-
-
-def counts_by(attribute: str) -> dict[str, int]:
-    return dict(Counter(getattr(f, attribute) for f in REGISTRY))
-
-
 def usable_population(view: DataFrame, use: str) -> DataFrame:
     """How well each field allowed for a use is filled in the analytical view, one aggregate for all."""
     known = {f.name: f for f in REGISTRY}

@@ -49,7 +49,7 @@ class Scenario:
 def state(staging: DataFrame, month: DataFrame, static: DataFrame, episodes: DataFrame, cfg: ECL) -> DataFrame:
     """Reporting-date book with both LGDs and the starting values kept beside the working ones."""
     pop = ecl.population(staging, month, static, cfg)
-    df = ecl.with_lgd(ecl.with_lgd(pop, episodes, "lgd", cfg.lgd_method), episodes, "lgd_downturn", "downturn")
+    df = ecl.with_lgds(pop, episodes, {"lgd": cfg.lgd_method, "lgd_downturn": "downturn"})
     return df.withColumns({"base_stage": F.col("stage"), "base_rating": F.col("rating"), "base_ead": F.col("ead"), "base_lgd": F.col("lgd"),
                            "lgd_base": F.col("lgd")})
 
@@ -170,10 +170,12 @@ def waterfall(st: DataFrame, curves: DataFrame, s: Scenario, cfg: ECL, base_rho:
     w0, w1 = ecl.scenario_weights(curves), ecl.scenario_weights(shocked)
     names = list(w0)
     df = staging_controls(portfolio_shock(st, s), s)
-    before, after = ecl.curve_sums(curves, st, names, cfg), ecl.curve_sums(shocked, st, names, cfg)
-    df = ecl.with_unit_loss(df, before, names, cfg, "base_rating", "base_stage", "b_")
-    df = ecl.with_unit_loss(df, after, names, cfg, "rating", "base_stage", "p_")
-    df = ecl.with_unit_loss(df, after, names, cfg, "rating", "stage", "s_")
+    # One curve table: the shocked curves stand beside the others under marked names.
+    both = curves.unionByName(shocked.withColumn("scenario", F.concat(F.lit("shocked_"), "scenario")))
+    sums = ecl.curve_sums(both, st, [*names, *[f"shocked_{n}" for n in names]], cfg)
+    df = ecl.with_unit_loss(df, sums, names, cfg, "base_rating", "base_stage", "b_")
+    df = ecl.with_unit_loss(df, sums, names, cfg, "rating", "base_stage", "p_", "shocked_")
+    df = ecl.with_unit_loss(df, sums, names, cfg, "rating", "stage", "s_", "shocked_")
 
     def total(prefix: str, weights, ead: Column, lgd: Column, stage: str) -> Column:
         return F.sum(ecl.weighted({n: ecl.loss(F.col(f"{prefix}{n}"), ead, lgd, F.col(stage)) for n in names}, weights))
