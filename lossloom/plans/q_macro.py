@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from lossloom.functions.exprs import quarter_end
+from lossloom.functions.exprs import clip, logit, quarter_end
 from lossloom.operators import macro
 from lossloom.plans import demo
 from lossloom.plans.q_pd import CURVE_R6, bisect_sql, survival_sql
@@ -200,6 +200,35 @@ def _(t):
     return coefficient_rows(t, "macro_satellite", macro.fit_satellite(demo.macro_frame(t), CFG.ridge_strength))
 
 
+def optimality_sql(features, columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS quarters, {columns} FROM x_fits" for f in features)
+
+
+@query("ma07_optimality", optimality_sql(macro.FEATURES, "true AS sign_kept, true AS optimal"))
+def _(t):
+    """Karush-Kuhn-Tucker conditions: a used feature is uncorrelated with the residual, an unused one could only help with the wrong sign."""
+    f, m = demo.macro_frame(t), macro.fit_factor_model(demo.macro_frame(t))
+    r = F.col("systematic_factor") - m.apply()
+    one = f.agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(r, F.col(c)).alias(f"g_{c}") for c in macro.FEATURES], *[F.stddev_pop(c).alias(f"s_{c}") for c in macro.FEATURES]).first()
+    rows = []
+    for c, b in m.coefs.items():
+        sign = -1.0 if c in macro.WEAKENING else 1.0
+        slope = sign * one[f"g_{c}"] / (one[f"s_{c}"] or 1.0)
+        rows.append((c, one["n"], sign * b >= 0, abs(slope) < 1e-6 if b else slope < 1e-6))
+    return t.spark.createDataFrame(rows, "feature string, quarters long, sign_kept boolean, optimal boolean")
+
+
+@query("ma08_optimality", optimality_sql(("INTERCEPT", *macro.FEATURES), "true AS optimal"))
+def _(t):
+    """Ridge normal equations: the residual sum is 0, and times a feature it is the penalty times the coefficient."""
+    f, m = demo.macro_frame(t), macro.fit_satellite(demo.macro_frame(t), CFG.ridge_strength)
+    r = logit(clip("observed_default_rate", 1e-6, 1 - 1e-6)) - m.apply()
+    one = f.agg(F.count(F.lit(1)).alias("n"), F.sum(r).alias("e"), *[F.sum(r * F.col(c)).alias(f"g_{c}") for c in macro.FEATURES]).first()
+    rows = [("INTERCEPT", one["n"], abs(one["e"]) < 1e-6 * one["n"])]
+    rows += [(c, one["n"], abs(one[f"g_{c}"] - b / CFG.ridge_strength) < 1e-6 * max(1.0, abs(one[f"g_{c}"]))) for c, b in m.coefs.items()]
+    return t.spark.createDataFrame(rows, "feature string, quarters long, optimal boolean")
+
+
 @query("ma09_variance_inflation")
 def _(t):
     v = macro.variance_inflation(demo.macro_frame(t))

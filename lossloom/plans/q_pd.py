@@ -95,6 +95,21 @@ def _(t):
     return out
 
 
+@query("pd01_score_equations", " UNION ALL ".join(
+    f"SELECT '{m}' AS method, sum(sample_weight) AS weight, sum(sample_weight * target) AS bads, true AS balanced FROM x_scored WHERE split = 'VALIDATION'"
+    for m in ("logistic", "isotonic")), r6="weight bads")
+def _(t):
+    """Either calibration reproduces the weighted number of bads of the rows it was fitted on."""
+    out = None
+    for method in ("logistic", "isotonic"):
+        p = pdf.fit_calibration(t("scored"), replace(t.cfg.pd, calibration=method)).apply(t("scored")).where("split = 'VALIDATION'")
+        part = p.agg(F.lit(method).alias("method"), F.sum("sample_weight").alias("weight"), F.sum(F.col("sample_weight") * F.col("target")).alias("bads"),
+                     F.sum(F.col("sample_weight") * F.col(pdf.PD)).alias("_p"))
+        part = part.select("method", "weight", "bads", (F.abs(F.col("_p") - F.col("bads")) < 1e-4 * F.col("weight")).alias("balanced"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def ece_sql(pd: str) -> str:
     return f"""
 SELECT split, sum(abs(y - p)) / sum(w) AS ece FROM (

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from lossloom.functions.exprs import clip, expit, logit
 from lossloom.operators import development as dev
 from lossloom.operators import metrics, scorecard
 from lossloom.plans import demo
@@ -225,6 +226,33 @@ def _(t):
     return scorecard.bin_table(t.spark, fitted(t), t.cfg.scorecard.suspicious_iv)
 
 
+def recount_sql(flags: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS rows, sum(CASE WHEN target = 1 THEN sample_weight ELSE 0 END) AS events, {flags} "
+                              "FROM x_frame WHERE split = 'TRAIN'" for f in FEATURES)
+
+
+def recounted(t, bins, **checks):
+    """What merging must keep and reach: every TRAIN row in one bin, and the stated property of the numeric bins."""
+    rows = [(f, sum(b.rows for b in bins[f]), float(sum(b.events for b in bins[f])), *[bool(c([b for b in bins[f] if b.label != scorecard.MISSING])) for c in checks.values()])
+            for f in FEATURES]
+    return t.spark.createDataFrame(rows, "feature string, rows long, events double, " + ", ".join(f"{n} boolean" for n in checks))
+
+
+@query("sc03_bins_recount", recount_sql("true AS large_enough"), r6="events")
+def _(t):
+    floor = max(1, int(train(t).count() * 0.08))
+    return recounted(t, fitted(t, min_bin_pct=0.08, monotonic=False), large_enough=lambda bs: len(bs) == 1 or all(b.rows >= floor for b in bs))
+
+
+@query("sc04_bins_recount", recount_sql("true AS monotone"), r6="events")
+def _(t):
+    def monotone(bs):
+        rates = [b.bad_rate for b in bs]
+        return len(bs) <= 2 or rates in (sorted(rates), sorted(rates, reverse=True))
+
+    return recounted(t, fitted(t), monotone=monotone)
+
+
 CAT_SQL = " UNION ALL ".join(
     f"SELECT '{f}' AS feature, coalesce({f}, '__MISSING__') AS category, count(*) AS rows, "
     f"sum(CASE WHEN target = 1 THEN sample_weight ELSE 0 END) AS events, "
@@ -278,6 +306,37 @@ def _(t):
     return scorecard.coefficient_table(t.spark, a, b)
 
 
+def balance_table(df, groups, pd, features=None, penalty=None):
+    """First-order conditions of a weighted logistic fit: the weighted residuals times each regressor, less the penalty, must vanish."""
+    terms = {"INTERCEPT": F.lit(1.0), **{f: F.col(f) for f in features or ()}}
+    r = F.col("sample_weight") * (F.col("target") - pd)
+    sums = df.groupBy(*groups).agg(F.sum("sample_weight").alias("weight"), *[F.sum(r * x).alias(f"_{n}") for n, x in terms.items()])
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("parameter"), (F.abs(F.col(f"_{n}") - F.lit(float((penalty or {}).get(n, 0.0)))) < 1e-4 * F.col("weight")).alias("balanced"))
+                               for n in terms]))
+    return sums.select(*groups, "weight", rows.alias("p")).select(*groups, "weight", "p.*")
+
+
+@query("sc08_score_equations", " UNION ALL ".join(
+    f"SELECT '{p}' AS parameter, sum(sample_weight) AS weight, true AS balanced FROM x_frame WHERE split = 'TRAIN'"
+    for p in ("INTERCEPT", *[f"{f}_woe" for f in (*FEATURES, *CATEGORIES)])), r6="weight")
+def _(t):
+    _, woe, a, b = fitted_model(t)
+    pd = 1 / (1 + F.exp(-scorecard.linear_predictor(a, b)))
+    return balance_table(woe.where("split = 'TRAIN'"), [], pd, list(b), b)
+
+
+@query("sc13_score_equations", """
+SELECT split, 'INTERCEPT' AS parameter, sum(sample_weight) AS weight, true AS balanced FROM x_scored GROUP BY ALL""", r6="weight")
+def _(t):
+    """The calibration line of each split reproduces its weighted number of bads."""
+    a, b = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for s in dev.SPLITS:
+        i, k = scorecard.calibration_line(t("scored").where(F.col("split") == s), "predicted_pd_raw", "target", "sample_weight")
+        a, b = F.when(F.col("split") == s, F.lit(i)).otherwise(a), F.when(F.col("split") == s, F.lit(k)).otherwise(b)
+    x = clip("predicted_pd_raw", 1e-6, 1 - 1e-6)
+    return balance_table(t("scored"), ["split"], expit(a + b * logit(x)))
+
+
 @query("sc09_scores", "SELECT loan_id, as_of_date, linear_predictor, predicted_pd_raw, score FROM x_scored",
        r6="linear_predictor predicted_pd_raw score")
 def _(t):
