@@ -114,6 +114,9 @@ class LGD:
     cure_fallback_lgd: float = 0.0
     lower: float = 0.0
     upper: float = 1.5
+    downturn_method: str = "historical_stress"  # or "quantile", "none"
+    downturn_window: tuple[date, date] = (date(1998, 1, 1), date(1998, 12, 1))
+    downturn_quantile: float = 0.75
 
 
 @dataclass(frozen=True)

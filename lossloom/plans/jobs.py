@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossloom.config import Settings
-from lossloom.operators import (development, ead, ecl, lgd, lgd_overlay, macro, mart, pd_framework, quality, scenario, scorecard, silver,
+from lossloom.operators import (development, ead, ecl, lgd, lgd_overlay, macro, mart, metrics, pd_framework, quality, scenario, scorecard, silver,
                                 staging, targets)
 from lossloom.operators.features import features_for
 from lossloom.operators.ml_pipeline import with_prediction
@@ -39,6 +39,10 @@ class Job:
         sinks.write_report(df, f"{self.root}/reports/{name}")
         return df
 
+    def reports(self, tables: dict[str, DataFrame]) -> None:
+        for name, df in tables.items():
+            self.report(name, df)
+
 
 def run_ingestion(job: Job, text_root: str, ingested_at: str, force: bool = False, quarantine: bool = False) -> Tables:
     """Delimited text under text_root/<dataset>/vintage_year=YYYY to typed Bronze partitions.
@@ -117,6 +121,11 @@ def run_scorecard(job: Job) -> Tables:
     scored = job.write("scored_rows", scorecard.with_bands(scored, job.cfg.scorecard))
     job.write("bin_table", scorecard.bin_table(job.spark, bins, job.cfg.scorecard.suspicious_iv))
     job.write("coefficients", scorecard.coefficient_table(job.spark, a, dict(zip(names, b))))
+    pd = "predicted_pd_raw"
+    job.reports({"scorecard_metrics": metrics.binary_metrics(scored, ["split"], pd), "scorecard_deciles": metrics.decile_table(scored),
+                 "scorecard_roc": metrics.roc_curve(scored, ["split"]), "scorecard_calibration": metrics.calibration_curve(scored),
+                 "scorecard_lift": metrics.lift_table(scored), "scorecard_psi": metrics.psi_table(scored, ["score", *features]),
+                 "scorecard_yearly": metrics.yearly(scored), "scorecard_bands": metrics.band_summary(scored)})
     return {"scored_rows": scored}
 
 
@@ -128,7 +137,14 @@ def run_pd_framework(job: Job) -> Tables:
     found = pd_framework.event_foundation(preds, job.read("pd_12m_targets"))
     out = {"portfolio_ttc": pd_framework.portfolio_ttc(preds, job.cfg.pd), "rating_ttc": pd_framework.rating_ttc(preds, job.cfg.pd),
            "lifetime_curves": pd_framework.lifetime_curves(found, preds, job.cfg.pd)}
-    return {"pd_predictions": preds} | {k: job.write(k, v) for k, v in out.items()}
+    written = {k: job.write(k, v) for k, v in out.items()}
+    one, twelve = (pd_framework.transitions(preds, m) for m in (1, 12))
+    job.reports({"pd_calibration_metrics": pd_framework.calibration_metrics(preds), "pd_rating_summary": pd_framework.rating_summary(preds),
+                 "pd_pit_ttc": pd_framework.pit_ttc(preds, written["portfolio_ttc"]), "pd_hazards": pd_framework.empirical_hazards(found, job.cfg.pd),
+                 "pd_transitions_1m": one, "pd_transitions_12m": twelve, "pd_transition_summary": pd_framework.transition_summary(twelve),
+                 "pd_backtest": pd_framework.backtest(preds), "pd_backtest_splits": pd_framework.backtest_splits(preds),
+                 "pd_calibration_curve": pd_framework.calibration_curve(preds)})
+    return {"pd_predictions": preds} | written
 
 
 def run_forward_looking(job: Job, series: DataFrame, cfg: macro.MacroConfig) -> Tables:
@@ -152,23 +168,38 @@ def simulate_macro_scenario(table: DataFrame, rating_ttc: DataFrame, factor: mac
 
 
 def run_lgd_framework(job: Job) -> Tables:
-    """Episodes, the best cure, severity and cure-severity candidates on VALIDATION, combined LGD and downturn overlay."""
+    """Episodes, all candidates, the pair of cure and severity model that ranks first on VALIDATION, combined LGD and downturn overlay."""
     from lossloom.plans import lgd_models
+    cfg = job.cfg.lgd
     eps = job.write("lgd_episodes_raw", lgd.episodes(job.read("default_events"), job.read("loan_month"), job.read("loan_static"),
-                                                     job.read("pd_predictions"), job.cfg.lgd))
-    cure, _ = lgd_models.cure_challengers(eps)
+                                                     job.read("pd_predictions"), cfg))
+    cure, cure_p_table = lgd_models.cure_challengers(eps)
     severity, sev_table = lgd_models.severity_challengers(eps)
     cure_lgd, cure_table = lgd_models.cure_lgd_candidates(eps)
     key = ["loan_id", "default_episode_id"]
-    best_cure = cure_table.where("selected").select("model").distinct()
-    best_sev = sev_table.where("split = 'VALIDATION'").orderBy(F.asc_nulls_last("mae"), "model").limit(1).select("model")
-    df = eps.join(cure.select(*key, F.col("raw_linear_recency").alias("predicted_cure_probability_raw"),
-                              F.col("p_linear_recency").alias("predicted_cure_probability")), key)
-    df = df.join(cure_lgd.join(best_cure, "model").select(*key, F.col("p").alias("predicted_cure_lgd")), key)
-    df = df.join(severity.join(best_sev, "model").select(*key, F.col("p").alias("predicted_non_cure_lgd")), key)
-    scored = lgd.combine(df)
-    stress = job.cfg.development.windows.validation
-    return {"lgd_episodes": job.write("lgd_episodes", lgd.with_downturn(scored, lgd.downturn_factors(scored, "historical_stress", stress)))}
+    cures = {c.removeprefix("p_"): c for c in cure.columns if c.startswith("p_")}
+    names = sorted(r[0] for r in sev_table.select("model").distinct().collect())  # one row per candidate
+    severities = {n: f"s_{i}" for i, n in enumerate(names)}
+    wide = severity.groupBy(*key).agg(*[F.max(F.when(F.col("model") == n, F.col("p"))).alias(c) for n, c in severities.items()])
+    best_cure_lgd = cure_table.where("selected").select("model").distinct()  # one row
+    df = eps.join(cure.select(*key, *[c for c in cure.columns if c.startswith(("p_", "raw_"))]), key).join(wide, key)
+    df = job.write("lgd_candidates", df.join(cure_lgd.join(best_cure_lgd, "model").select(*key, F.col("p").alias("predicted_cure_lgd")), key))
+    ranks = None
+    for name, column in cures.items():  # one aggregate per cure candidate keeps the plan small
+        part = lgd.combined_ranking(df, {name: column}, severities).drop("selection_rank")
+        ranks = part if ranks is None else ranks.unionByName(part)
+    ranks = job.write("lgd_selection", ranks)
+    criteria = ("validation_abs_oe_error", "validation_cure_abs_calibration_error", "validation_non_cure_abs_oe_error", "validation_mae", "validation_rmse")
+    best = ranks.orderBy(*[F.asc_nulls_last(c) for c in criteria], "cure_model", "severity_model").first()
+    scored = lgd.combine(df.withColumns({
+        "predicted_cure_probability_raw": F.col(f"raw_{best['cure_model']}"), "predicted_cure_probability": F.col(cures[best["cure_model"]]),
+        "predicted_non_cure_lgd": F.col(severities[best["severity_model"]])}).drop(*cures.values(), *severities.values()))
+    out = job.write("lgd_episodes", lgd.with_downturn(scored, lgd.downturn_factors(scored, cfg.downturn_method, cfg.downturn_window, cfg.downturn_quantile)))
+    job.reports({"lgd_cure_candidates": cure_p_table, "lgd_severity_candidates": sev_table, "lgd_cure_lgd_candidates": cure_table, "lgd_model_metrics": lgd.model_metrics(out),
+                 "lgd_backtest_splits": lgd.backtest_splits(out), "lgd_decomposition": lgd.decomposition(out), "lgd_recovery_timing": lgd.recovery_timing(out),
+                 "lgd_resolutions": lgd.resolution_distribution(out), "lgd_loss_reconciliation": lgd.actual_loss_reconciliation(out),
+                 "lgd_component_audit": lgd.component_audit(out), "lgd_distribution": lgd.distribution(out), "lgd_population": lgd.population_summary(out)})
+    return {"lgd_episodes": out, "lgd_selection": ranks}
 
 
 def run_lgd_forward_looking(job: Job, macro_with_factor: DataFrame, cfg: lgd_overlay.OverlayConfig) -> Tables:
@@ -187,15 +218,21 @@ def run_ead_framework(job: Job) -> Tables:
     obs = job.write("ead_observations", ead.baselines(ead.with_targets(ead.with_rating(obs, job.read("pd_predictions")), job.cfg.ead)))
     pipe, model = ead.fit_ratio_model(obs)
     scored = ead.with_ratio(with_prediction(model, pipe.transform(obs), "_ratio"), F.col("_ratio"), job.cfg.ead)
-    return {"ead_scored": job.write("ead_scored", scored.drop("features", "_ratio"))}
+    scored = job.write("ead_scored", scored.drop("features", "_ratio"))
+    job.reports({"ead_backtest_splits": ead.backtest_splits(scored, job.cfg.ead), "ead_backtest_segments": ead.backtest_segments(scored, job.cfg.ead),
+                 "ead_ratio_distribution": ead.ratio_distribution(scored), "ead_population": ead.population_summary(scored),
+                 "ead_target_reconciliation": ead.target_reconciliation(scored)})
+    return {"ead_scored": scored}
 
 
 def run_staging(job: Job) -> Tables:
     base = staging.staging_base(job.read("pd_predictions"), job.read("loan_month"), job.read("loan_static"), job.read("pd_12m_targets"),
                                 job.read("default_events"))
     staged = job.write("staging", staging.allocate(base, job.cfg.staging))
-    job.report("stage_distribution", staging.distribution(staged))
-    job.report("threshold_sensitivity", staging.sensitivity(staged, job.cfg.staging))
+    job.reports({"stage_distribution": staging.distribution(staged), "stage_by_year_rating": staging.distribution_by_year_rating(staged),
+                 "threshold_sensitivity": staging.sensitivity(staged, job.cfg.staging), "triggers": staging.trigger_distribution(staged),
+                 "trigger_exclusivity": staging.trigger_exclusivity(staged), "stage3_audit": staging.stage3_audit(staged),
+                 "pd_changes": staging.pd_change_distribution(staged), "reference_lags": staging.reference_lag(staged), "stage_migrations": staging.migrations(staged)})
     return {"staging": staged}
 
 

@@ -44,6 +44,11 @@ def test_text_to_exposure(run, spark):
     assert jobs.run_development_sample_build(job)["development"].count() > 0
     jobs.run_scorecard(job)
     jobs.run_pd_framework(job)
+    lgd = jobs.run_lgd_framework(job)
+    assert lgd["lgd_selection"].count() > 10 and lgd["lgd_episodes"].where("lgd_downturn < lgd_base OR lgd_base IS NULL").count() == 0
+    jobs.run_staging(job)
+    for name in ("scorecard_roc", "scorecard_psi", "pd_transitions_12m", "pd_backtest", "lgd_model_metrics", "lgd_component_audit", "stage_migrations"):
+        assert spark.read.option("header", True).csv(f"{job.root}/reports/{name}").count() > 0
     scored = jobs.run_ead_framework(job)["ead_scored"]
     assert scored.where("predicted_ead_empirical_model IS NULL").count() == 0
     life = job.read("pd_12m_targets").where("eligible_for_lifetime_pd AND (event_default OR event_prepayment_or_exit)")
