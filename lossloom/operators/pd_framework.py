@@ -51,9 +51,11 @@ def fit_calibration(scored: DataFrame, cfg: PDFramework, raw: str = "predicted_p
         return Calibration("logistic", a, max(b, 0.0), b < 0)
     if cfg.calibration != "isotonic":
         raise ValueError(f"unknown calibration: {cfg.calibration}")
-    data = VectorAssembler(inputCols=["_p"], outputCol="_iso").transform(
-        fit.withColumn("_y", F.col("target").cast("double")))
-    model = IsotonicRegression(featuresCol="_iso", labelCol="_y", weightCol="sample_weight", predictionCol=PD).fit(data)
+    # One row per distinct score gives the same fit as all rows, so what is pooled grows with the scores and not with the portfolio.
+    w = F.col("sample_weight").cast("double")
+    cells = fit.groupBy("_p").agg((F.sum(w * F.col("target")) / F.sum(w)).alias("_y"), F.sum(w).alias("_w"))
+    data = VectorAssembler(inputCols=["_p"], outputCol="_iso").transform(cells)
+    model = IsotonicRegression(featuresCol="_iso", labelCol="_y", weightCol="_w", predictionCol=PD).fit(data)
     return Calibration("isotonic", model=model)
 
 

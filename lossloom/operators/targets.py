@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossloom.config import DefaultDefinition
-from lossloom.functions.exprs import code_map, count_if, flag, month_diff, safe_div, tagged_rows
+from lossloom.functions.exprs import code_map, count_if, flag, month_diff, safe_div
 from lossloom.operators.mart import by_loan, to_date
 
 STATE_COLUMNS = ("loan_id", "vintage_year", "as_of_date", "month_index", "delinquency_months", "delinquency_status_raw",

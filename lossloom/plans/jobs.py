@@ -18,6 +18,7 @@ from lossloom.operators.features import features_for
 from lossloom.operators.ml_pipeline import with_prediction
 from lossloom.sources import sinks, text
 from lossloom.sources.schemas import layout_for
+from lossloom.sources.store import clear_cuts
 
 Tables = dict[str, DataFrame]
 
@@ -28,6 +29,13 @@ class Job:
     def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None):
         self.spark, self.root, self.cfg = spark, root.rstrip("/"), settings or Settings()
 
+    def __enter__(self) -> Job:
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Everything a job returns is stored under ``root``, so its intermediate tables can go."""
+        clear_cuts(self.spark)
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lossloom.operators import mart, targets
 from lossloom.plans.registry import query
-from lossloom.plans.sqlchain import mdiff, mi
 
 KEY = ("loan_id", "as_of_date")
 STATIC_R6 = "original_upb original_interest_rate"

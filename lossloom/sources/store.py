@@ -36,6 +36,12 @@ def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete the intermediate tables that ``cut_lineage`` wrote for this application; call it when no result still reads them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/lossloom/{spark.sparkContext.applicationId}/cut")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def loan_co_location(spark: SparkSession) -> Iterator[None]:
     """While a loan table is written, tables bucketed on the loan serve joins on (loan, date) without a shuffle.
