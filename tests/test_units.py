@@ -253,7 +253,7 @@ def test_text_ingest(spark, tmp_path):
     folder = tmp_path / "vintage_year=2026"
     folder.mkdir()
     (folder / "a.txt").write_text("A|1|x\n\nB||y\nC|zz|\n")
-    lay = schemas.layout("t", "v1", "id n:i note")
+    lay = schemas.layout("t", "v1", (("id", "string"), ("n", "bigint"), ("note", "string")))
     rows = text.bronze(spark.read.text(str(tmp_path)), lay, "now").orderBy("_source_row_number").collect()
     assert [(r.id, r.n, r.note, r._source_row_number, r._source_year) for r in rows] == [("A", 1, "x", 1, 2026), ("B", None, "y", 2, 2026), ("C", None, "", 3, 2026)]
     (folder / "b.txt").write_text("D|1\n")
