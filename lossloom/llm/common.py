@@ -38,6 +38,21 @@ def crc_mod(column: str, k: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % k, F.lit(-1))
 
 
+def hash_of(column: str, salt: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{salt}:"), F.coalesce(F.col(column).cast("string"), F.lit("null"))).cast("binary"))
+
+
+def smallest_hashes(df: DataFrame, column: str, salt: str, n: int, ties: tuple[str, ...] = ()) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hash of ``column``: a repeatable sample.
+
+    A threshold on the hash that lets about 4 n rows pass comes first, so that the rows that meet in one task to be
+    ordered do not grow with the number of partitions.
+    """
+    least = min(1.0, (4 * n + 100) / max(df.count(), 1)) * (1 << 32)
+    h = hash_of(column, salt)
+    return df.where(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") < F.lit(int(least))).orderBy(h, *ties).limit(n)
+
+
 def join_sized(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
     """Inner join of ``rows`` to ``groups`` (one row per key with its row count in ``size``) that no hot key can skew.
 

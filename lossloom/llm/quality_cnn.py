@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lossloom.llm.common import crc_mod, slices
+from lossloom.llm.common import crc_mod, hash_of, slices, smallest_hashes
 
 FILTERS, WIDTH, CHUNK = 24, 8, 512
 #: Labelled rows per class that a fit uses at most, those with the smallest hash of the id: the bound of the training sample.
@@ -129,12 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", per_class:
     score of the only class's side, or 0.5 without any.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    order = F.md5(F.concat(F.lit("cnn:"), F.col(id_col).cast("string")).cast("binary"))
     ids = usable.groupBy(F.col(id_col).alias("_id")).agg(F.max("quality").cast("int").alias("_y"))
-    one = [ids.where(F.col("_y") == y).orderBy(F.md5(F.concat(F.lit("cnn:"), F.col("_id").cast("string")).cast("binary"))).limit(per_class) for y in (0, 1)]
+    one = [smallest_hashes(ids.where(F.col("_y") == y), "_id", "cnn", per_class) for y in (0, 1)]
     picked = one[0].unionByName(one[1])  # at most 2 * per_class rows, which bounds the broadcast and what is collected
     rows = (docs.select(F.col(id_col), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), F.col(id_col) == F.col("_id"))
-            .groupBy("_id").agg(F.max("text").alias("text"), F.max("_y").alias("_y"), F.first(order).alias("_o")).orderBy("_o").collect())
+            .groupBy("_id").agg(F.max("text").alias("text"), F.max("_y").alias("_y")).orderBy(hash_of("_id", "cnn")).collect())
     net = ByteCNN()
     y = np.array([r["_y"] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:

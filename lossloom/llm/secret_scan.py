@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lossloom.llm.common import text_of
+from lossloom.llm.common import smallest_hashes, text_of
 
 # The base patterns. Only the keywords ignore case, of ASCII letters.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,8 +37,7 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", n_docs: int = SAMP
     Words that hold a base match or a digit are not used as ordinary ones. The random strings are hex in either case, base64 and
     base64 for URLs of SHA-512 digests, which are uniform by construction.
     """
-    by_hash = F.md5(F.concat(F.lit("markov:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    picked = docs.select(id_col, text_of().alias("text")).orderBy(by_hash, "text").limit(n_docs)
+    picked = smallest_hashes(docs.select(id_col, text_of().alias("text")), id_col, "markov", n_docs, ("text",))
     words = picked.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]{4,}"), 0)).alias("sample"))
     words = words.where(~F.col("sample").rlike("AKIA[A-Z0-9]{4}")).withColumn("random", F.lit(False))
     digest = F.sha2(F.concat(F.lit("random:"), F.col("id").cast("string")).cast("binary"), 512)
