@@ -20,14 +20,14 @@ SMALL_DIR = os.environ.get("BENCH_SMALL_DIR", os.path.join(os.path.dirname(SF_DI
 # Stage builds, each from the stored stages before it, then fits and reports over them.
 STAGES = ("loans", "perf", "mart", "targets", "events", "dev", "frame", "scored", "preds", "portfolio_ttc", "rating_ttc", "lifetime", "macro",
           "scenario_pd", "curves", "episodes", "lgd", "staging", "ead", "book", "ecl")
-QUERIES = ("tg13_target_observability", "sc08_logistic_fit", "sc11_binary_metrics", "sc15_decile_table", "pd11_transitions", "lg10_cure_challengers",
+QUERIES = ("tg13_target_observability", "sc08_logistic_fit", "sc11_binary_metrics", "sc15_decile_table", "pd11_transitions",
            "lg17_backtest_splits", "ea05_ratio_model", "si09_sensitivity_grid", "ec08_summary_stage", "sl07_rescored", "sl09_waterfall")
 # Line of the baseline: the steps it takes here and the stage whose rows it counts.
 LINES = {
     "gold_mart": (("stage_mart",), "mart"),
     "scorecard": (("stage_dev", "stage_frame", "sc08_logistic_fit", "stage_scored", "sc11_binary_metrics", "sc15_decile_table"), "frame"),
     "pd_framework": (("stage_preds", "stage_portfolio_ttc", "stage_rating_ttc", "stage_lifetime", "pd11_transitions"), "preds"),
-    "lgd": (("stage_episodes", "lg10_cure_challengers", "stage_lgd", "lg17_backtest_splits"), "episodes"),
+    "lgd": (("stage_episodes", "stage_lgd", "lg17_backtest_splits"), "episodes"),
     "ead": (("stage_ead", "ea05_ratio_model"), "ead"),
     "staging": (("stage_staging", "si09_sensitivity_grid"), "staging"),
     "ecl": (("stage_book", "stage_ecl", "ec08_summary_stage"), "book"),
