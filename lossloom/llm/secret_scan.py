@@ -1,6 +1,6 @@
 """Secret scan with DataFrame functions alone: base patterns plus character Markov models.
 
-Two order-1 character models are counted in Spark from labelled samples: random strings and ordinary identifiers. Their
+Two order-1 character models are counted in Spark from labelled samples: random strings and ordinary tokens. Their
 log-likelihood ratio per character pair is one table of 128 x 128 numbers, a constant of the scan. Long tokens whose mean
 ratio is above a threshold are reported besides what the base patterns find. Places come from cutting a text at the
 matches: the lengths of the pieces and of the matches give every start and end in code points.
@@ -25,43 +25,112 @@ ASSIGN_LEAST = 6
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Mean log-likelihood ratio per character pair (natural log) from which a token counts as random.
 RATIO = 0.7
-#: Documents (those with the smallest hash of the id) whose words are the ordinary sample, and random strings drawn: the bounds of the labelled sample.
+#: Documents (those with the smallest hash of the id) whose tokens are ordinary, and random strings drawn: the bounds of the labelled sample.
 SAMPLE_DOCS = 400
 SAMPLE_RANDOM = 1500
+#: Made ordinary tokens: names of NAME_WORDS, numbers and date stamps, and copies of each ruler.
+SAMPLE_NAMES = 20_000
+SAMPLE_NUMBERS = 1500
+SAMPLE_RULERS = 60
 CODES = 128
+TOKEN = r"[A-Za-z0-9+/_=-]{2,}"
+ALPHABET = [c for c in range(CODES) if chr(c).isalnum() or chr(c) in "+/_=-"]
+#: Words that names of variables, keys and paths are made of; they join the words of the documents in the ordinary sample.
+NAME_WORDS = """
+account access action active address admin alpha amount api app archive array auth backup balance base batch beta bin
+block body branch bucket buffer build button cache call card case cert chain change channel char check class client
+cloud code col com command commit common component config connection connector const container content context control
+cookie copy core count create credential cron current customer dashboard data database date day debug default delete
+deploy dev device dir docs document domain download east edge email enable encoding endpoint engine env error event
+example export factory failed feature field file filter final flag folder font format frame function gateway github
+global google group handler hash header health history home host hour html http https id image import index info init
+input install instance int item java job json key label lambda language last layer layout lib license limit line link
+linux list load local log login main manager map master max message meta method metric min minute mobile mode model
+module month name net network next node null number object online open option order org output owner package page
+param parent partition password path payload payment permission phone plan platform plugin point policy pool port
+prefix price primary private process prod product production profile project property proxy public python query queue
+random rate read record redis region release remote report request reserved resource response rest result role root
+route rule run sample schema script search secret section security select server service session set settings shared
+shop signature site size socket source spec src stack staging standard start state static status step storage store
+stream string stripe style suffix sum support switch system table tag target task team temp template tenant test text
+theme thread time title token tool total track transaction transfer tree type update upload uri url user util util
+valid value variable vault vendor version video view volume warehouse web webhook west window worker workspace write
+www year zone
+""".split()
+
+
+def _styled(words: list[Column], n: Column) -> Column:
+    """Three words as one of twelve kinds of name, path or assignment; n picks the kind and the numbers inside."""
+    a, b, c = map(F.lower, words)
+    number = F.pmod(F.xxhash64(n), F.lit(10_000)).cast("string")
+    camel = F.concat(F.initcap(b), F.initcap(c))
+    kinds = F.array(a, F.concat_ws("_", a, b, c), F.concat_ws("-", a, b, c), F.concat_ws("/", a, b, c), F.concat(a, camel), F.upper(F.concat_ws("_", a, b, c)),
+                    F.concat(F.initcap(a), camel), F.concat_ws("=", a, b), F.concat_ws("_", a, F.substring(number, 1, 2)), F.concat_ws("-", a, b, number),
+                    F.concat(F.lit("/"), a, F.lit("/"), b, F.substring(number, 1, 1), F.lit("/"), c), F.concat_ws("-", F.upper(a), number))
+    return F.get(kinds, F.pmod(n, F.lit(12)).cast("int"))
+
+
+def _rulers() -> list[str]:
+    """Lines, table borders, repeated characters and the alphabet itself."""
+    marks = "=-_+/"
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return ([m * 40 for m in marks] + [(a + b) * 10 for a in marks for b in marks if a != b] + ["+------------+---------+"]
+            + [chr(c) * 12 for c in ALPHABET] + [letters, letters.upper(), letters.upper() + letters + "0123456789+/"])
 
 
 def labelled_samples(docs: DataFrame, id_col: str = "doc_id", n_docs: int = SAMPLE_DOCS, n_random: int = SAMPLE_RANDOM) -> DataFrame:
-    """(sample, random): words of at least four letters of a bounded sample of documents, and encodings of digests of their numbers.
+    """(sample, random): whole ordinary tokens over the candidate alphabet, and encodings of digests of numbers.
 
-    Words that hold a base match or a digit are not used as ordinary ones. The random strings are hex in either case, base64 and
-    base64 for URLs of SHA-512 digests, which are uniform by construction.
+    Ordinary are the tokens of a bounded sample of documents after their base matches are blanked, names in snake, camel,
+    kebab and upper case, paths and assignments of the documents' words and of NAME_WORDS, decimal numbers, date stamps and
+    rulers. The random strings are hex in either case, base64 and base64 for URLs of SHA-512 digests, which are uniform by
+    construction; padding is stripped.
     """
-    picked = smallest_hashes(docs.select(id_col, text_of().alias("text")), id_col, "markov", n_docs, ("text",))
-    words = picked.select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z_]{4,}"), 0)).alias("sample"))
-    words = words.where(~F.col("sample").rlike("AKIA[A-Z0-9]{4}")).withColumn("random", F.lit(False))
+    spark = docs.sparkSession
+    picked = smallest_hashes(docs.select(id_col, text_of().alias("text")), id_col, "markov", n_docs, ("text",)).select("text")
+    for pattern in (ASSIGN, ACCESS, HEX):
+        picked = picked.withColumn("text", F.regexp_replace("text", pattern, " "))
+    picked = picked.select("text", F.regexp_extract_all("text", F.lit(r"[A-Za-z]{2,}"), F.lit(0)).alias("words"))
+    thirds = F.transform(F.sequence(F.lit(0), F.size("words") - 3, F.lit(3)), lambda i: _styled([F.get("words", i + j) for j in range(3)], (i / 3).cast("long")))
+    names = F.when(F.size("words") >= 3, thirds).otherwise(F.array().cast("array<string>"))
+    tokens = picked.select(F.explode(F.concat(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), names)).alias("sample"))
+    known = F.split(F.lit(" ".join(NAME_WORDS)), " ")
+    three = [F.get(known, F.pmod(F.xxhash64("id", F.lit(i)), F.lit(len(NAME_WORDS))).cast("int")) for i in range(3)]
+    made = spark.range(SAMPLE_NAMES).select(_styled(three, F.col("id")).alias("sample"))
+    number = F.regexp_replace(F.sha2(F.concat(F.lit("number:"), F.col("id").cast("string")).cast("binary"), 256), "[a-f]", "")
+    day = F.date_add(F.lit("1990-01-01").cast("date"), F.pmod(F.xxhash64("id"), F.lit(15_000)).cast("int"))
+    time = [F.substring(number, i, 2) for i in (1, 3, 5)]
+    stamps = F.array(number, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T"), F.concat_ws("-", *time)), F.concat(F.date_format(day, "yyyyMMdd"), F.lit("_"), *time))
+    numbers = spark.range(SAMPLE_NUMBERS).select(F.explode(stamps).alias("sample"))
+    rulers = spark.range(SAMPLE_RULERS).select(F.explode(F.split(F.lit(" ".join(_rulers())), " ")).alias("sample"))
+    words = tokens.unionByName(made).unionByName(numbers).unionByName(rulers).withColumn("random", F.lit(False))
     digest = F.sha2(F.concat(F.lit("random:"), F.col("id").cast("string")).cast("binary"), 512)
-    b64 = F.base64(F.unhex(digest))
-    kinds = F.array(digest, F.upper(digest), b64, F.translate(b64, "+/", "-_"), F.concat(F.lit("AKIA"), F.upper(F.regexp_replace(b64, "[+/=]", ""))))
-    drawn = docs.sparkSession.range(n_random).select(F.explode(kinds).alias("sample")).withColumn("random", F.lit(True))
+    b64 = F.regexp_replace(F.base64(F.unhex(digest)), "[=\r\n]", "")
+    kinds = F.array(digest, F.upper(digest), b64, F.translate(b64, "+/", "-_"), F.concat(F.lit("AKIA"), F.upper(F.regexp_replace(b64, "[+/]", ""))))
+    drawn = spark.range(n_random).select(F.explode(kinds).alias("sample")).withColumn("random", F.lit(True))
     return words.unionByName(drawn)
 
 
+def _codes(value: Column) -> Column:
+    """The code of every character of an ASCII text, in one pass over it."""
+    return F.transform(F.split(value, ""), lambda c: F.ascii(c))
+
+
 def ratio_table(samples: DataFrame) -> list[float]:
     """log P(b | a) under the random model minus under the ordinary model, at a * 128 + b for ASCII codes a and b.
 
     Both models are smoothed by adding a half to every pair of the candidate alphabet. At most 2 * 128 * 128 counts reach the driver.
     """
-    at = F.expr("transform(sequence(1, length(sample) - 1), i -> ascii(substring(sample, i, 1)) * 128 + ascii(substring(sample, i + 1, 1)))")
+    codes, n = _codes(F.col("sample")), F.length("sample")
+    at = F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: a * CODES + b)
     pairs = samples.where(F.length("sample") > 1).select("random", F.explode(at).alias("pair")).where(F.col("pair") < CODES * CODES)
     counts: dict[bool, list[float]] = {True: [0.5] * CODES**2, False: [0.5] * CODES**2}
     for r in pairs.groupBy("random", "pair").count().collect():
         counts[r["random"]][r["pair"]] += r["count"]
-    alphabet = [c for c in range(CODES) if chr(c).isalnum() or chr(c) in "+/_=-"]
     out = [0.0] * CODES**2
-    for a in alphabet:
-        rows = {k: [v[a * CODES + b] for b in alphabet] for k, v in counts.items()}
-        for b, p, q in zip(alphabet, rows[True], rows[False], strict=True):
+    for a in ALPHABET:
+        rows = {k: [v[a * CODES + b] for b in ALPHABET] for k, v in counts.items()}
+        for b, p, q in zip(ALPHABET, rows[True], rows[False], strict=True):
             out[a * CODES + b] = round(math.log(p / sum(rows[True])) - math.log(q / sum(rows[False])), 4)
     return out
 
@@ -106,8 +175,9 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", ratio: flo
 
     def unusual(x: Column) -> Column:
         n = F.length(x["value"])
-        code = lambda i: F.ascii(F.substring(x["value"], i, F.lit(1)))
-        total = F.aggregate(F.sequence(F.lit(1), n - 1), F.lit(0.0), lambda acc, i: acc + F.get(llr, code(i) * CODES + code(i + 1)))
+        codes = _codes(x["value"])
+        pairs = F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: a * CODES + b)
+        total = F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.get(llr, i))
         return total / (n - 1) >= ratio
 
     free = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))

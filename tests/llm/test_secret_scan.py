@@ -51,6 +51,17 @@ def test_models_tell_random_from_ordinary(docs, corpus):
     assert all(out[i]["spans"] == "random:2:42" for i in range(60) if out[i]["n_random"])
 
 
+def test_clean_numbers_paths_and_rulers_are_ordinary(docs, corpus):
+    t = table(docs, [(r[0], r[1]) for r in corpus])
+    rng = random.Random(3)
+    clean = ["=" * 20, "=" * 60, "-" * 40, "_" * 30, "a" * 40, "x" * 200, "+----------+--------+-----+", "=-" * 20, "com/example/project/module/ClassName",
+             "20240101123045123456", "1234567890123456789012", "0" * 20, "2024-01-01T12-30-45-123456", "production_database_connection_key", "page=2/user_id=123456789",
+             "AbstractSingletonProxyFactoryBean", "MAX_CONNECTION_POOL_SIZE_DEFAULT", "/usr/local/lib/python3/site-packages/numpy/core"]
+    clean += [str(rng.randrange(10**19, 10**23)) for _ in range(40)]
+    out = S.scan(docs([(i, f"x {s}, y") for i, s in enumerate(clean)]), t).collect()
+    assert [clean[r["doc_id"]] for r in out if r["n_random"]] == []
+
+
 def test_plan_has_no_python_and_no_rows_give_none(docs):
     t = table(docs, [])
     df = S.scan(docs([]), t)
