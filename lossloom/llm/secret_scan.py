@@ -1,9 +1,11 @@
 """Secret scan with DataFrame functions alone: base patterns plus character Markov models.
 
 Two order-1 character models are counted in Spark from labelled samples: random strings and ordinary tokens. Their
-log-likelihood ratio per character pair is one table of 128 x 128 numbers, a constant of the scan. Long tokens whose mean
-ratio is above a threshold are reported besides what the base patterns find. Places come from cutting a text at the
-matches: the lengths of the pieces and of the matches give every start and end in code points.
+log-likelihood ratio per character pair is one table of 128 x 128 numbers, a constant of the scan. Runs of candidate
+characters are cut at base spans, and each piece is divided into ordinary and random stretches by the best path through
+the two models, so that a name or a path beside a secret does not dilute it. Random stretches with enough evidence are
+reported besides what the base patterns find. Places come from cutting a text at the matches: the lengths of the pieces
+and of the matches give every start and end in code points.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_LEAST = 6
 
-#: Tokens of this many characters or more are judged by the models; longer ones need no more evidence per character.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Mean log-likelihood ratio per character pair (natural log) from which a token counts as random.
+#: Runs of this many characters or more are searched; shorter ones cannot hold enough evidence.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
+LEAST = 12
+#: A stretch is random from this mean log-likelihood ratio per character pair (natural log) and this total on.
 RATIO = 0.7
+EVIDENCE = 15.0
+#: What a path pays for passing from one model to the other.
+SWITCH = 7.0
 #: Documents (those with the smallest hash of the id) whose tokens are ordinary, and random strings drawn: the bounds of the labelled sample.
 SAMPLE_DOCS = 400
 SAMPLE_RANDOM = 1500
@@ -153,6 +159,62 @@ def _found(text: Column, pattern: str, kind: str, order: int, group: int = 0) ->
     return F.when(text.rlike(pattern), F.aggregate(parts, start, step)["hits"]).otherwise(none)
 
 
+def _pieces(candidates: Column, base: Column) -> Column:
+    """The parts of the candidates outside base spans, at least LEAST characters long, as structs (start, value)."""
+    cut = F.array_sort(F.concat(F.transform(base, lambda b: F.struct(b["start"].alias("start"), F.lit(0).alias("order"), b["end"].alias("end"), F.lit("").alias("value"))),
+                                F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), F.lit(1).alias("order"), c["end"].alias("end"), c["value"].alias("value")))))
+    none = F.expr("cast(array() as array<struct<start: int, value: string>>)")
+
+    def kept(acc: Column, end: Column) -> Column:
+        """What is done, with the pending part up to ``end``."""
+        part = F.struct(acc["start"].alias("start"), F.substring(acc["value"], acc["start"] - acc["first"] + 1, end - acc["start"]).alias("value"))
+        return F.when(end - acc["start"] >= LEAST, F.concat(acc["done"], F.array(part))).otherwise(acc["done"])
+
+    def step(acc: Column, x: Column) -> Column:
+        is_base = x["order"] == 0
+        return F.struct(
+            F.when(is_base, F.greatest(acc["covered"], x["end"])).otherwise(acc["covered"]).alias("covered"),
+            F.when(is_base, acc["first"]).otherwise(x["start"]).alias("first"),
+            F.when(is_base, F.greatest(acc["start"], x["end"])).otherwise(F.greatest(acc["covered"], x["start"])).alias("start"),
+            F.when(is_base, acc["end"]).otherwise(x["end"]).alias("end"), F.when(is_base, acc["value"]).otherwise(x["value"]).alias("value"),
+            kept(acc, F.when(is_base, F.least(acc["end"], x["start"])).otherwise(acc["end"])).alias("done"))
+
+    start = F.struct(*[F.lit(0).alias(c) for c in ("covered", "first", "start", "end")], F.lit("").alias("value"), none.alias("done"))
+    whole = F.transform(candidates, lambda c: F.struct(c["start"].alias("start"), c["value"].alias("value")))
+    return F.when(F.size(base) == 0, whole).otherwise(F.aggregate(cut, start, step, lambda acc: kept(acc, acc["end"])))
+
+
+def _stretches(value: Column, llr: Column, ratio: float) -> Column:
+    """Random stretches (first, end) of one piece on the best path through both models, in one pass over its characters.
+
+    The path starts and ends in either model at no cost, so that a stretch reaches the border of the piece unless the
+    characters before it are clearly ordinary.
+    """
+    none = F.expr("cast(array() as array<struct<first: int, end: int>>)")
+
+    def closed(acc: Column, end: Column) -> Column:
+        total = acc["random"] - acc["entry"]
+        good = (total >= EVIDENCE) & (total >= ratio * (end - acc["first"] - 1))
+        return F.when(good, F.concat(acc["hits"], F.array(F.struct(acc["first"].alias("first"), end.alias("end"))))).otherwise(acc["hits"])
+
+    def step(acc: Column, code: Column) -> Column:
+        enter = acc["plain"] - SWITCH > acc["random"]
+        leave = acc["random"] - SWITCH > acc["plain"]
+        enters = acc["plain"] - SWITCH
+        return F.struct(
+            (acc["at"] + 1).alias("at"), code.alias("last"),
+            F.when(enter, enters).otherwise(acc["random"] + F.get(llr, acc["last"] * CODES + code)).alias("random"),
+            F.when(enter, enters).otherwise(acc["entry"]).alias("entry"), F.when(enter, acc["at"]).otherwise(acc["first"]).alias("first"),
+            F.when(enter, acc["plain_hits"]).otherwise(acc["hits"]).alias("hits"),
+            F.when(leave, acc["random"] - SWITCH).otherwise(acc["plain"]).alias("plain"),
+            F.when(leave, closed(acc, acc["at"])).otherwise(acc["plain_hits"]).alias("plain_hits"))
+
+    # Code 127 stands before the first character; its row of the table is zero.
+    start = F.struct(F.lit(0).alias("at"), F.lit(CODES - 1).alias("last"), F.lit(0.0).alias("random"), F.lit(0.0).alias("entry"), F.lit(0).alias("first"), none.alias("hits"),
+                     F.lit(0.0).alias("plain"), none.alias("plain_hits"))
+    return F.aggregate(_codes(value), start, step, lambda acc: F.when(acc["random"] >= acc["plain"], closed(acc, acc["at"])).otherwise(acc["plain_hits"]))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -160,8 +222,8 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", ratio: float = RATIO) -> DataFrame:
     """One row per input row: the id, n_assign, n_access, n_hex, base_sha256, spans and n_random.
 
-    Base spans are leftmost and non-overlapping per kind. The models add spans of the kind ``random`` that overlap no
-    base span. Places count code points, ends are exclusive. A null text is empty: no spans and the digest of the empty
+    Base spans are leftmost and non-overlapping per kind. The models add spans of the kind ``random`` from the
+    parts of candidates outside base spans. Places count code points, ends are exclusive. A null text is empty: no spans and the digest of the empty
     string. Only the id and the text are read; repeated rows answer alike; empty in, empty out.
     """
     llr = F.split(F.lit(",".join(f"{x:g}" for x in table)), ",").cast("array<double>")
@@ -173,15 +235,12 @@ def scan(docs: DataFrame, table: list[float], id_col: str = "doc_id", ratio: flo
         _found(F.col("_t"), CANDIDATE, "random", 3).alias("_candidates"))
     rows = rows.withColumn("_base", F.concat("_assign", "_access", "_hex"))
 
-    def unusual(x: Column) -> Column:
-        n = F.length(x["value"])
-        codes = _codes(x["value"])
-        pairs = F.zip_with(F.slice(codes, F.lit(1), n - 1), F.slice(codes, F.lit(2), n - 1), lambda a, b: a * CODES + b)
-        total = F.aggregate(pairs, F.lit(0.0), lambda acc, i: acc + F.get(llr, i))
-        return total / (n - 1) >= ratio
+    def random(piece: Column) -> Column:
+        return F.transform(_stretches(piece["value"], llr, ratio), lambda x: F.struct(
+            (piece["start"] + x["first"]).alias("start"), F.lit(3).alias("kind_no"), F.lit("random").alias("kind"), (piece["start"] + x["end"]).alias("end"), F.lit("").alias("value")))
 
-    free = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    rows = rows.withColumn("_random", F.filter("_candidates", lambda x: free(x) & unusual(x)))
+    rows = rows.withColumn("_pieces", _pieces(F.col("_candidates"), F.col("_base")))
+    rows = rows.withColumn("_random", F.flatten(F.transform("_pieces", random)))
     return rows.select(
         id_col, *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.concat("_base", "_random")).alias("spans"),

@@ -62,6 +62,27 @@ def test_clean_numbers_paths_and_rulers_are_ordinary(docs, corpus):
     assert [clean[r["doc_id"]] for r in out if r["n_random"]] == []
 
 
+def test_secrets_are_found_behind_names_paths_and_base_spans(docs, corpus):
+    t = table(docs, [(r[0], r[1]) for r in corpus])
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = "token=abcdefgh, "
+    rows = []
+    for before, after in (("production_database_connection_key=", ""), ("config/production/service/", "/public/index"), ("deadbeef" * 4 + "/", ""), (key + "x ", "")):
+        rows += [(before, "".join(rng.choice(letters) for _ in range(n)), after) for n in (16, 20, 24, 32, 40) for _ in range(8)]
+    out = {r["doc_id"]: r["spans"] for r in S.scan(docs([(i, b + s + a) for i, (b, s, a) in enumerate(rows)]), t).collect()}
+    found = near = 0
+    for i, (before, secret, _) in enumerate(rows):
+        spans = [tuple(map(int, x.split(":")[1:])) for x in out[i].split(",") if x.startswith("random")]
+        a, b = len(before), len(before) + len(secret)
+        found += any(min(y, b) - max(x, a) >= 0.8 * (b - a) for x, y in spans)
+        near += any(abs(x - a) <= 3 and abs(y - b) <= 3 for x, y in spans)
+    assert found >= 0.97 * len(rows) and near >= 0.85 * len(rows), (found, near, len(rows))
+    two = "first_key=" + "q7Zt0XbW9rLkV3mP" + "/some/ordinary/directory/second_key=" + "Hn4Yc8JdS1gQfU6e"
+    spans = S.scan(docs([(1, two)]), t).collect()[0]["spans"]
+    assert spans.count("random") == 2, spans
+
+
 def test_plan_has_no_python_and_no_rows_give_none(docs):
     t = table(docs, [])
     df = S.scan(docs([]), t)
