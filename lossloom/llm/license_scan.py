@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from lossloom.llm.wordhash import WORDS
 
-# The base phrases with their labels, and openings of well-known licence texts.
+# The base phrases with their labels, and openings and later parts of well-known licence texts.
 BASE = (
     ("gnu general public license", "gpl"),
     ("apache license", "apache"),
@@ -41,7 +41,42 @@ TEMPLATES = (
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("mit", "released under the mit license"),
+    ("mit-text", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+                   "without warranties or conditions of any kind either express or implied see the license for the specific language governing "
+                   "permissions and limitations under the license"),
+    *((label, f"this {work} is free software you can redistribute it and or modify it under the terms of the {name} as published by the free "
+              f"software foundation either version {version} of the license or at your option any later version")
+      for label, work, name, version in (("gpl-2.0", "program", "gnu general public license", "2"), ("lgpl-2.1", "library", "gnu lesser general public license", "2 1"),
+                                         ("lgpl-3.0", "program", "gnu lesser general public license", "3"), ("agpl-3.0", "program", "gnu affero general public license", "3"))),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 "
+                "as published by the free software foundation"),
+    ("gpl-2.0", "this work is licensed under the gnu general public license version 2"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions "
+            "in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or "
+            "other materials provided with the distribution"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above "
+            "copyright notice and this permission notice appear in all copies"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages "
+             "arising from the use of this software"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute "
+             "it freely subject to the following restrictions"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or "
+                  "distribute this software"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying "
+                "documentation covered by this license to use reproduce display distribute execute and transmit the software"),
+    ("cc-by-4.0", "licensed under cc by 4 0"),
+    ("cc-by-sa-4.0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc-4.0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
 )
+#: Words that tell near-identical notices apart: a chain gives the label only if one of these stands, unbroken, in each group within the chain.
+DEMANDS = {
+    "gpl-2.0": (("gnu general public license",), ("version 2",)), "gpl-3.0": (("gnu general public license",), ("version 3",)),
+    "lgpl-2.1": (("gnu lesser general public license",), ("version 2 1",)), "lgpl-3.0": (("gnu lesser general public license",), ("version 3",)),
+    "agpl-3.0": (("gnu affero general public license",), ("version 3",)),
+    "cc-by-4.0": (("creative commons attribution 4 0", "cc by 4 0"),), "cc-by-sa-4.0": (("attribution sharealike 4 0",),),
+    "cc-by-nc-4.0": (("attribution noncommercial 4 0", "cc by nc 4 0"),), "mpl-2.0": (("mozilla public license v 2 0",),), "mit": (("mit license",),),
+}
 MIN_MATCH = 4
 MAX_GAP = 10
 COVERED = 0.6
@@ -144,7 +179,7 @@ class Scanner:
     def scan(self, raw: bytes) -> tuple:
         """n_words, n_base, first_word, last_word, base_labels, labels, score, spans of one UTF-8 text.
 
-        spans: (label, first word, end word, covered share of the template), one per chain.
+        spans: (label, first word, end word, covered share of the template), one per chain that no better one of another label beats.
         """
         words = raw.translate(WORDS).split()
         hits: list[tuple[int, int]] = []
@@ -158,14 +193,26 @@ class Scanner:
                 held = (i, state, length)
             if held[2] >= self.min_match:
                 matches.append(held)
-        spans = self._chains(matches)
+        good, spans = self._won(self._chains(matches), words)
         starts = [i for i, _ in hits]
         base = {self.labels[k] for _, k in hits}
-        good = [s for s in spans if s[3] >= self.covered]
         score = 1.0 if hits else max((s[3] for s in spans), default=0.0)
         return (len(words), len(hits), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
                 ",".join(sorted(base | {s[0] for s in good})), float(score), spans)
 
+    def _won(self, spans: list[tuple[str, int, int, float]], words: list[bytes]) -> tuple[list, list]:
+        """(chains that give a label, chains that stay): the best-covered wins over chains of other labels that share most of their words with it."""
+        def told(label: str, first: int, end: int) -> bool:
+            text = b" " + b" ".join(words[first:end]) + b" "
+            return all(any(f" {p} ".encode() in text for p in group) for group in DEMANDS.get(label, ()))
+
+        good: list[tuple[str, int, int, float]] = []
+        beaten = lambda s: any(g[0] != s[0] and 2 * (min(g[2], s[2]) - max(g[1], s[1])) > min(g[2] - g[1], s[2] - s[1]) for g in good)
+        for s in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s)):
+            if s[3] >= self.covered and told(*s[:3]) and not beaten(s):
+                good.append(s)
+        return good, [s for s in spans if not beaten(s)]
+
     def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Chain matches that lie in order on text and template with at most ``max_gap`` words between them on either side."""
         open_: dict[int, list[list[int]]] = {}
@@ -197,7 +244,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", base=BASE, templates=TEMPLATES
     """One row per input row: the id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
     n_base counts all places of all base phrases, first_word and last_word are the least and greatest word they start at
-    (null without any). labels adds the labels of templates covered to ``covered`` or more by one chain. score is 1 when
+    (null without any). labels adds the labels of templates covered to ``covered`` or more by one chain that holds the
+    words DEMANDS asks for and overlaps no better-covered chain of another label. score is 1 when
     a base phrase stands in the text, else the largest covered share. A null text is empty: no words, no labels, score 0.
     Only the id and the text are read; repeated rows answer alike; empty in, empty out.
     """

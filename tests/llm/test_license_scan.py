@@ -68,3 +68,21 @@ def test_templates_are_chained_over_edits(docs):
     assert got[2]["labels"] == name and 0.8 < got[2]["score"] < 1
     assert got[3]["labels"] == "" and 0 < got[3]["score"] < 0.3
     assert got[4]["labels"] == ""
+
+
+def test_near_identical_notices_get_their_own_labels(docs):
+    notice = ("This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free "
+              "Software Foundation; either version {} of the License, or (at your option) any later version.")
+    rows = {"gpl-2.0": notice.format("program", "", "2"), "gpl-3.0": notice.format("program", "", "3"), "lgpl-2.1": notice.format("library", "Lesser ", "2.1"),
+            "lgpl-3.0": notice.format("library", "Lesser ", "3"), "agpl-3.0": notice.format("program", "Affero ", "3"),
+            "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+            "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+                   "copyright notice and this permission notice appear in all copies.",
+            "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+                         "distribute this software",
+            "mit-text": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."}
+    names = list(rows)
+    got = {names[r["doc_id"]]: set(r["labels"].split(",")) - {"gpl"} for r in L.scan(docs([(i, rows[n]) for i, n in enumerate(names)])).collect()}
+    assert got == {n: {n} for n in names}
+    version_2 = notice.replace(" as published", " version 2 as published").replace("; either version {} of the License, or (at your option) any later version", "").format("program", "")
+    assert L.scanner().scan(version_2.encode())[5] == "gpl,gpl-2.0"
