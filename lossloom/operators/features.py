@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -44,6 +45,23 @@ def features_for(use: str, *, include_restricted: bool = False) -> list[str]:
     return [f.name for f in REGISTRY if use in f.uses and (include_restricted or f.leakage in SAFE)]
 
 
+def features_by_availability(availability: str) -> list[str]:
+    return [f.name for f in REGISTRY if f.availability == availability]
+
+
+def counts_by(attribute: str) -> dict[str, int]:
+    return dict(Counter(getattr(f, attribute) for f in REGISTRY))
+
+
+def availability_summary(view: DataFrame) -> DataFrame:
+    """Per availability the registered fields and how often they are filled in the analytical view, one aggregate for all."""
+    known = counts_by("availability")
+    filled = {a: [n for n in features_by_availability(a) if n in view.columns] for a in known}
+    counts = view.agg(*[F.count(n).alias(n) for names in filled.values() for n in names])
+    rows = [[F.lit(a), F.lit(known[a]), sum((F.col(n) for n in names), F.lit(0).cast("long"))] for a, names in filled.items()]
+    return tagged_rows(counts, [], rows, ["availability", "n_features", "non_null_count"])
+
+
 def usable_population(view: DataFrame, use: str) -> DataFrame:
     """How well each field allowed for a use is filled in the analytical view, one aggregate for all."""
     known = {f.name: f for f in REGISTRY}

@@ -364,3 +364,14 @@ _known = {f.name: f for f in features.REGISTRY}
     f"count({n}) AS non_null_count FROM x_analytical" for n in _beh))
 def _(t):
     return features.usable_population(t("analytical"), "behavioural_scoring")
+
+
+@query("mt18_feature_availability", """
+SELECT 'ORIGINATION' AS availability, 6 AS n_features, count(original_credit_score) + count(original_dti) + count(original_ltv) + count(original_cltv)
+       + count(original_upb) + count(original_interest_rate) AS non_null_count FROM x_analytical
+UNION ALL SELECT 'CURRENT_PERIOD', 3, count(current_actual_upb) + count(delinquency_months) + count(current_upb_to_original_upb) FROM x_analytical
+UNION ALL SELECT 'HISTORICAL_TO_DATE', 2, count(max_delinquency_months_to_date) + count(months_since_last_delinquency) FROM x_analytical
+UNION ALL SELECT 'TERMINAL_EVENT', 3, count(actual_loss) + count(net_sale_proceeds) + count(total_expenses) FROM x_analytical
+UNION ALL SELECT 'TECHNICAL', 1, 0""")
+def _(t):
+    return features.availability_summary(t("analytical"))

@@ -16,7 +16,7 @@ from lossloom.functions.exprs import with_norm_cdf, with_norm_ppf
 from lossloom.functions.joins import latest_on_or_before
 from lossloom.functions.ranks import exact_quantiles, global_rank, ranking_metrics, running_totals
 from lossloom.operators import development, ead, ecl, lgd, macro, mart, scenario, scorecard, silver, staging, targets
-from lossloom.operators.features import forbid_outcomes
+from lossloom.operators.features import REGISTRY, counts_by, features_by_availability, forbid_outcomes
 from lossloom.sources import schemas, sinks, text
 
 CFG = DefaultDefinition(reporting_cutoff=date(2027, 3, 1))
@@ -272,3 +272,9 @@ def test_partitioned_sink_keeps_and_replaces(spark, tmp_path):
     assert sorted(r.x for r in spark.read.parquet(path).collect()) == [2, 3, 9]
     with pytest.raises(ValueError):
         sinks.require_years(spark, path, [2001, 2010])
+
+
+def test_feature_registry_selects_by_availability_and_counts_classes():
+    assert features_by_availability("HISTORICAL_TO_DATE") == ["max_delinquency_months_to_date", "months_since_last_delinquency"]
+    assert counts_by("leakage") == {"SAFE_ORIGINATION": 6, "SAFE_AS_OF_DATE": 5, "OUTCOME_RESTRICTED": 3, "TECHNICAL_ONLY": 1}
+    assert sum(counts_by("availability").values()) == len(REGISTRY)
