@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lossloom.llm import bpe, exact_dedup, fingerprint, jaccard_join, kneser_ney, license_scan, quality_cnn, secret_scan, source_mix, warc
+from lossloom.llm import bpe, exact_dedup, fingerprint, jaccard_join, kneser_ney, license_scan, prefix_trie, quality_cnn, secret_scan, source_mix, warc
 from lossloom.llm.common import table
 
 
@@ -93,6 +93,41 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+WITH t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS s FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), crc AS (
+  SELECT conv_id, s, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda y, i: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 9 AS h
+  FROM t
+), r AS (
+  SELECT a.conv_id, CASE WHEN b.s IS NULL THEN a.s[a.h + 1:] ELSE list_concat(b.s[:a.h], a.s[a.h + 1:]) END AS p
+  FROM crc a LEFT JOIN t b ON b.conv_id = a.conv_id - a.conv_id % 5
+), e AS (
+  SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS depth FROM r
+), n AS (
+  SELECT p[:depth] AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CASE WHEN len(p) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ends
+  FROM e GROUP BY p[:depth], depth
+), c AS (
+  SELECT k[:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY k[:depth - 1]
+), f AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(k[depth].x)) END AS own
+  FROM n LEFT JOIN c ON n.k = c.k
+), u AS (
+  SELECT k[:up] AS k, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM f) GROUP BY k[:up]
+)
+SELECT f.conv_id, f.depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, u.n_leaves, u.saved_tokens, sha256(f.ends) AS ends_sha256
+FROM f JOIN u ON f.k = u.k LEFT JOIN f q ON f.depth > 0 AND q.k = f.k[:f.depth - 1]
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_bpe, op4_fingerprint, op5_quality_cnn, op6_source_mix, op7_warc, op8_kneser_ney, op9_secret_scan, op10_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_source_mix": OP6_SQL}
+    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_bpe, op4_fingerprint, op5_quality_cnn, op6_source_mix, op7_warc, op8_kneser_ney, op9_secret_scan, op10_jaccard_join,
+    op13_prefix_trie)}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_source_mix": OP6_SQL, "op13_prefix_trie": OP13_SQL}
