@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lossloom.llm import bpe, exact_dedup, fingerprint, jaccard_join, kneser_ney, license_scan, prefix_trie, quality_cnn, secret_scan, source_mix, warc
+from lossloom.llm import bpe, exact_dedup, fingerprint, hard_negatives, jaccard_join, kneser_ney, license_scan, prefix_trie, quality_cnn, secret_scan, source_mix, warc
 from lossloom.llm.common import table
 
 
@@ -93,6 +93,27 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+OP12_SQL = """
+WITH c AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM c a JOIN c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER w::INT AS rank, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+WINDOW w AS (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -116,7 +137,7 @@ WITH t AS (
 ), c AS (
   SELECT k[:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY k[:depth - 1]
 ), f AS (
-  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(k[depth].x)) END AS own
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(n.k[depth].x)) END AS own
   FROM n LEFT JOIN c ON n.k = c.k
 ), u AS (
   SELECT k[:up] AS k, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(own)::BIGINT AS saved_tokens
@@ -129,5 +150,5 @@ FROM f JOIN u ON f.k = u.k LEFT JOIN f q ON f.depth > 0 AND q.k = f.k[:f.depth -
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_bpe, op4_fingerprint, op5_quality_cnn, op6_source_mix, op7_warc, op8_kneser_ney, op9_secret_scan, op10_jaccard_join,
-    op13_prefix_trie)}
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_source_mix": OP6_SQL, "op13_prefix_trie": OP13_SQL}
+    op12_hard_negatives, op13_prefix_trie)}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_source_mix": OP6_SQL, "op12_hard_negatives": OP12_SQL, "op13_prefix_trie": OP13_SQL}
