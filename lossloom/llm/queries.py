@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lossloom.llm import bpe, exact_dedup, fingerprint, hard_negatives, jaccard_join, kneser_ney, license_scan, prefix_trie, quality_cnn, secret_scan, source_mix, warc
+from lossloom.llm import bpe, exact_dedup, fingerprint, hard_negatives, jaccard_join, kneser_ney, license_scan, nn_descent, prefix_trie, quality_cnn, secret_scan, source_mix, warc
 from lossloom.llm.common import table
 
 
@@ -93,6 +93,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op11_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -150,5 +154,5 @@ FROM f JOIN u ON f.k = u.k LEFT JOIN f q ON f.depth > 0 AND q.k = f.k[:f.depth -
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_bpe, op4_fingerprint, op5_quality_cnn, op6_source_mix, op7_warc, op8_kneser_ney, op9_secret_scan, op10_jaccard_join,
-    op12_hard_negatives, op13_prefix_trie)}
+    op11_nn_descent, op12_hard_negatives, op13_prefix_trie)}
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": OP2_SQL, "op6_source_mix": OP6_SQL, "op12_hard_negatives": OP12_SQL, "op13_prefix_trie": OP13_SQL}
