@@ -12,6 +12,7 @@ blocks so that each pair is checked exactly once; a block reports its link count
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -32,6 +33,8 @@ LIMIT = 4096
 #: Nodes of a candidate group whose shingle sets one task holds per side of a comparison.
 BLOCK = 256
 DEPTH, MAX_DEPTH = 2, 8
+#: Depth that the first runs allow for. Nodes of a bucket that is followed further get more runs.
+COMMON_DEPTH = 4
 RECALL = 0.999
 #: Token agreement from which a pair is a candidate: 4.5 standard deviations below the threshold.
 SLACK = 4.5
@@ -43,7 +46,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _P = np.uint64(0x100000001B3)
 
 
-def runs_for(recall: float, depth: int = 4) -> int:
+def runs_for(recall: float, depth: int) -> int:
     """Runs after which a pair at the threshold has met with probability ``recall``, when one run succeeds with 1 / (depth + 1) at least."""
     return math.ceil(math.log(1 - recall) / math.log(1 - 1 / (depth + 1)))
 
@@ -75,7 +78,7 @@ def shingles(raw: bytes, offsets: np.ndarray, n: int = NGRAM) -> tuple[np.ndarra
 
 
 def node_of(value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """One 64-bit identity per shingle set; 0 for the empty set."""
+    """One 64-bit identity per shingle set; 0 for the empty set, which ``features`` replaces."""
     sums = np.zeros(len(value) + 1, np.uint64)
     np.cumsum(mix(value ^ _STEP), out=sums[1:])
     return np.where(np.diff(at) > 0, mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(np.uint64)), np.uint64(0)).view(np.int64)
@@ -110,25 +113,27 @@ def _array(binary: pa.Array, dtype: str, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(binary.to_pylist()), dtype).reshape(-1, width)
 
 
-def features(docs: DataFrame, id_col: str, n: int = NGRAM) -> DataFrame:
-    """(id, node, sig) of every row."""
-    schema = T.StructType([docs.schema[id_col], T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType())])
+def features(docs: DataFrame, n: int = NGRAM) -> DataFrame:
+    """(key, node, sig) of every row. A text without words is identified by its bytes and has no signature."""
+    schema = T.StructType([docs.schema["key"], T.StructField("node", T.LongType()), T.StructField("sig", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, raw, offsets in slices(batch, "text"):
                 value, at = shingles(raw, offsets, n)
-                sig = signatures(value, at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(node_of(value, at)),
-                                                  pa.array([s.tobytes() for s in sig], pa.binary())], schema.names)
+                node, sig = node_of(value, at).copy(), [s.tobytes() for s in signatures(value, at)]
+                for d in np.flatnonzero(np.diff(at) == 0).tolist():
+                    node[d] = int.from_bytes(hashlib.blake2b(raw[offsets[d]:offsets[d + 1]], digest_size=8, key=b"wordless").digest(), "little", signed=True)
+                    sig[d] = None
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(node), pa.array(sig, pa.binary())], schema.names)
 
-    return docs.select(id_col, "text").mapInArrow(run, schema)
+    return docs.select("key", "text").mapInArrow(run, schema)
 
 
 PATHS = T.StructType([T.StructField("path", T.LongType()), T.StructField("node", T.LongType())])
 
 
-def first_paths(nodes: DataFrame, runs: int, depth: int, threshold: float) -> DataFrame:
+def first_paths(nodes: DataFrame, runs: range, depth: int, threshold: float) -> DataFrame:
     """(path, node) after ``depth`` steps of every run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +141,8 @@ def first_paths(nodes: DataFrame, runs: int, depth: int, threshold: float) -> Da
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 sig, n = _array(part.column(1), "<u4", TOKENS), part.num_rows
-                rows = np.tile(np.arange(n), runs)
-                paths = mix(np.repeat(np.arange(1, runs + 1, dtype=np.uint64), n) * _STEP)
+                rows = np.tile(np.arange(n), len(runs))
+                paths = mix(np.repeat(np.array(runs, dtype=np.uint64), n) * _STEP)
                 for _ in range(depth):
                     rows, paths = step(paths, rows, sig, threshold)
                 node = part.column(0).to_numpy()
@@ -159,13 +164,13 @@ def longer_paths(large: DataFrame, nodes: DataFrame, threshold: float) -> DataFr
     return large.select("path", "node").join(nodes.select("node", "sig"), "node").select("path", "node", "sig").mapInArrow(run, PATHS)
 
 
-def buckets(nodes: DataFrame, runs: int, threshold: float, limit: int, depth: int, max_depth: int) -> DataFrame:
-    """(path, node) of all buckets with two to ``limit`` nodes.
+def buckets(nodes: DataFrame, runs: range, threshold: float, limit: int, depth: int, max_depth: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(path, node) of all buckets with two to ``limit`` nodes; the nodes whose buckets went beyond COMMON_DEPTH, if any; the depth reached.
 
     A bucket that ``max_depth`` steps leave above the limit is cut into blocks of half the limit, and every two blocks form
     a bucket: nodes that no path can part are almost all similar to each other.
     """
-    found, level = [], cut_lineage(first_paths(nodes, runs, depth, threshold), "paths")
+    found, deep, level = [], None, cut_lineage(first_paths(nodes, runs, depth, threshold), "paths")
     while True:
         sizes = level.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = cut_lineage(level.join(sizes, "path"), "buckets")
@@ -180,10 +185,33 @@ def buckets(nodes: DataFrame, runs: int, threshold: float, limit: int, depth: in
             found.append(large.select("path", "node", F.explode(pairs).alias("_b")).select(F.xxhash64("path", "_b.a", "_b.b").alias("path"), "node"))
             break
         depth += 1
+        if depth > COMMON_DEPTH and deep is None:
+            deep = cut_lineage(large.select("node").distinct(), "deep")  # later large buckets lie inside these
         level = cut_lineage(longer_paths(large, nodes, threshold), "paths")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
+    return out, deep, depth
+
+
+def all_buckets(nodes: DataFrame, recall: float, threshold: float, limit: int, depth: int, max_depth: int) -> DataFrame:
+    """(path, node) of the buckets of so many runs that a pair at the threshold has met with probability ``recall``.
+
+    Two nodes meet in a run with 1 / (d + 1) at least, d being the depth to which their common buckets are followed. Runs for
+    COMMON_DEPTH come first. Nodes in buckets that are followed further, and only those, take part in the runs that the depth
+    reached asks for beyond these.
+    """
+    common = runs_for(recall, min(COMMON_DEPTH, max_depth))
+    out, deep, reached = buckets(nodes, range(1, common + 1), threshold, limit, depth, max_depth)
+    if deep is not None:
+        some = cut_lineage(nodes.join(deep, "node", "left_semi"), "deep-nodes")
+        while True:
+            want = runs_for(recall, reached)
+            more, _, now = buckets(some, range(common + 1, want + 1), threshold, limit, depth, max_depth)
+            out, common = out.unionByName(more), want
+            if now <= reached:
+                break
+            reached = now
     return out
 
 
@@ -289,7 +317,7 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, threshold: float, n: int, block: int) -> DataFrame:
+def verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float, n: int, block: int) -> DataFrame:
     """Exact check of each candidate group (u, root). Rows (u, v, n): with v, an edge of a spanning forest of links; without, n documents linked to u.
 
     A group of more than ``block`` nodes is dealt into blocks by hash, and every two blocks (and every block with itself)
@@ -307,18 +335,15 @@ def verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
         for batch in batches:
             for lo, hi, raw, offsets in slices(batch, "text"):
                 value, at = shingles(raw, offsets, n)
-                good = node_of(value, at) == batch.column(0).to_numpy()[lo:hi]  # a second text under the same id is passed over
-                part = pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:4]],
-                                                   pa.array([value[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())],
-                                                  ["node", "size", "own", "homes", "set"])
-                yield part.filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in batch.columns[:4]],
+                                                  pa.array([value[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())],
+                                                 ["node", "size", "own", "homes", "set"])
 
-    texts = docs.select(F.col(id_col).alias("rep"), "text").join(wanted, "rep").select("node", "size", F.col("_own").alias("own"), "homes", "text")
+    texts = docs.select(F.col("key").alias("rep"), "text").join(wanted, "rep").select("node", "size", F.col("_own").alias("own"), "homes", "text")
     shipped = texts.mapInArrow(sets, "node bigint, size bigint, own int, homes array<struct<home: bigint, inner: boolean>>, set binary")
     shipped = shipped.select(F.explode("homes").alias("h"), "node", "size", "own", "set").select("h.home", "h.inner", "node", "size", "own", "set")
 
     def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = list({r[2]: r for r in rows}.values())  # equal texts under one id give a node twice
         if len(rows) < 2:
             return
         inner, node, size, own = rows[0][1], *(np.array([r[i] for r in rows]) for i in (2, 3, 4))
@@ -351,28 +376,55 @@ def verified(groups: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return shipped.repartition("home").sortWithinPartitions("home").mapInArrow(run, LINKS)
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, limit: int = LIMIT,
-         depth: int = DEPTH, max_depth: int = MAX_DEPTH, block: int = BLOCK) -> DataFrame:
-    """One row per input row: the id, class_id, n_links and class_size.
+def keyed(docs: DataFrame, id_col: str) -> DataFrame:
+    """(key, id, text, rest), stored: rows are known by a key of their own, since ids may be null or repeated. ``rest`` has the other columns."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in (id_col, "text")]
+    return cut_lineage(docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col("text"), *([F.struct(*rest).alias("rest")] if rest else [])), "jaccard-rows")
 
-    n_links counts the other documents with a Jaccard similarity of at least ``threshold`` (equal shingle sets
-    included), class_id is the least id of the documents connected by links and class_size their number. Words are
-    digits, letters and all above ASCII, A-Z lower-cased. Texts without words, null ones included, form one class of
-    their own. Rows without an id are linked to rows with the same shingle set only; a class without any id has a null class_id.
-    Repeated rows link to each other. Only the id and the text are read. Empty in, empty out.
-    """
-    rows = cut_lineage(features(docs, id_col, n), "jaccard-features")
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min(id_col).alias("rep"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig")), "jaccard-nodes")
-    usable = nodes.where((F.col("node") != 0) & F.col("rep").isNotNull())
-    members = buckets(usable, runs_for(recall), threshold, limit, depth, max_depth)
+
+def classes(rows: DataFrame, threshold: float, n: int, recall: float, limit: int, depth: int, max_depth: int, block: int) -> DataFrame:
+    """(key, id, root, class_id, n_links, class_size) for ``keyed`` rows; ``root`` names the class."""
+    marked = cut_lineage(features(rows, n), "jaccard-features")
+    named = marked.join(rows.select("key", "id"), "key")
+    nodes = cut_lineage(named.groupBy("node").agg(F.min("key").alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig")), "jaccard-nodes")
+    usable = nodes.where("sig is not null")
+    members = all_buckets(usable, recall, threshold, limit, depth, max_depth)
     groups = cut_lineage(components(candidates(members, usable, threshold), "jaccard-candidates"), "jaccard-groups")
-    links = cut_lineage(verified(groups, usable, docs, id_col, threshold, n, block), "jaccard-links")
+    links = cut_lineage(verified(groups, usable, rows, threshold, n, block), "jaccard-links")
     roots = components(links.where("v is not null").select("u", "v"), "jaccard-components")
     counts = links.where("v is null").groupBy("u").agg(F.sum("n").alias("_linked"))
     known = (nodes.drop("sig").join(roots.withColumnRenamed("u", "node"), "node", "left").join(counts.withColumnRenamed("u", "node"), "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
     known = cut_lineage(known, "jaccard-known")
-    classes = known.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("size").alias("class_size"))
-    table = cut_lineage(known.join(classes, "root").select(
-        "node", F.col("size").alias("_size"), "class_id", (F.coalesce("_linked", F.lit(0)) + F.col("size") - 1).alias("n_links"), "class_size"), "jaccard-classes")
-    return join_sized(rows.select(id_col, "node"), table, "node", "_size").select(id_col, "class_id", F.col("n_links").cast("long"), F.col("class_size").cast("long"))
+    total = cut_lineage(known.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("size").alias("class_size"), F.count(F.lit(1)).alias("_n")), "jaccard-totals")
+    table = cut_lineage(join_sized(known, total, "root", "_n").select(
+        "node", F.col("size").alias("_size"), "root", "class_id", (F.coalesce("_linked", F.lit(0)) + F.col("size") - 1).cast("long").alias("n_links"), F.col("class_size").cast("long").alias("class_size")),
+        "jaccard-classes")
+    whole = join_sized(marked.select("key", "node"), table, "node", "_size")
+    return whole.join(rows.select("key", "id"), "key").select("key", "id", "root", "class_id", "n_links", "class_size")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL, limit: int = LIMIT,
+         depth: int = DEPTH, max_depth: int = MAX_DEPTH, block: int = BLOCK) -> DataFrame:
+    """One row per input row: the id, class_id, n_links and class_size.
+
+    n_links counts the other documents with a Jaccard similarity of at least ``threshold`` (equal shingle sets
+    included), class_id is the least id of the documents connected by links and class_size their number. Words are
+    digits, letters and all above ASCII, A-Z lower-cased. Texts without words are linked to equal texts only; a null text is empty.
+    Rows without an id take part like others; a class without any id has a null class_id. Repeated rows link to each other.
+    Other columns are not read. Empty in, empty out.
+    """
+    rows = keyed(docs.select(id_col, "text"), id_col)
+    return classes(rows, threshold, n, recall, limit, depth, max_depth, block).select(F.col("id").alias(id_col), "class_id", "n_links", "class_size")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD, n: int = NGRAM, recall: float = RECALL) -> DataFrame:
+    """The row with the least id of every class that ``join`` finds, with all columns of ``docs``.
+
+    A row without an id stays only in a class without any; of several such rows, or rows that share the least id, one stays.
+    """
+    rows = keyed(docs, id_col)
+    found = cut_lineage(classes(rows, threshold, n, recall, LIMIT, DEPTH, MAX_DEPTH, BLOCK).select("key", "id", "root"), "jaccard-survivors")
+    stay = found.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    names = {c: f"rest.c{i}" for i, c in enumerate(docs.columns)} | {id_col: "id", "text": "text"}
+    return rows.join(stay, "key", "left_semi").select(*[F.col(names[c]).alias(c) for c in docs.columns])

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -22,10 +22,6 @@ def shingle_set(text, n=5):
 
 def brute(rows, threshold=0.8):
     sets = [shingle_set(t) for _, t in rows]
-    ids = defaultdict(set)
-    for (k, _), s in zip(rows, sets, strict=True):
-        ids[s].add(k)
-    has_id = {s: any(k is not None for k in v) for s, v in ids.items()}
     parent, links = list(range(len(rows))), [0] * len(rows)
 
     def find(x):
@@ -36,7 +32,7 @@ def brute(rows, threshold=0.8):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            near = a == b or (has_id[a] and has_id[b] and a and b and len(a & b) >= threshold * len(a | b) - 1e-9)
+            near = len(a & b) >= threshold * len(a | b) - 1e-9 if a and b else not a and not b and (rows[i][1] or "") == (rows[j][1] or "")
             if near:
                 links[i] += 1
                 links[j] += 1
@@ -88,7 +84,33 @@ def test_intersections_match_brute_force(monkeypatch):
 
 def test_no_rows(docs):
     assert J.join(docs([])).collect() == []
-    assert J.runs_for(0.999) > J.runs_for(0.9) > 1
+    assert J.runs_for(0.999, 4) > J.runs_for(0.9, 4) > 1 and J.runs_for(0.999, 8) > J.runs_for(0.999, 4)
+
+
+def test_rows_without_or_with_repeated_ids_take_part(docs):
+    rng = random.Random(8)
+    seed, other = (" ".join(f"{p}{rng.randrange(500)}" for _ in range(120)) for p in "uv")
+    rows = [(None, edited(rng, seed, 1)) for _ in range(4)] + [(5, edited(rng, seed, 1)), (5, other), (5, edited(rng, other, 1)), (None, "!!"), (None, "!!"), (7, "?"), (None, None), (8, "")]
+    same(J.join(docs(rows)).collect(), brute(rows))
+    stay = Counter(r["doc_id"] for r in J.survivors(docs(rows)).collect())
+    assert stay == {5: 2, None: 1, 7: 1, 8: 1}  # two classes have 5 as their least id
+
+
+def test_pairs_at_the_threshold_are_met_in_oversized_buckets(docs):
+    """All texts share a long passage, so that buckets stay above the limit for many steps; each has one partner at 0.8 or little more."""
+    rng = random.Random(9)
+    common = " ".join(f"c{i}" for i in range(110))
+    rows = []
+    for i in range(150):
+        own = [f"d{i}x{j}" for j in range(110)]
+        twin = list(own)
+        twin[40:58] = [f"e{i}x{j}" for j in range(18)]
+        rows += [(2 * i, f"{common} {' '.join(own)}"), (2 * i + 1, f"{common} {' '.join(twin)}")]
+    a, b = shingle_set(rows[0][1]), shingle_set(rows[1][1])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.83
+    rng.shuffle(rows)
+    met = {r["doc_id"] for r in J.join(docs(rows), limit=24).collect() if r["n_links"]}
+    assert len(met) >= 0.99 * len(rows)
 
 
 def test_components_match_union_find(spark):

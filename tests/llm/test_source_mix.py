@@ -67,3 +67,14 @@ def test_sources_come_near_their_targets(docs, corpus):
         per[s][1] = max(per[s][1], r["size"])
         per[s][2] = r["target"]
     assert all(abs(taken - target) <= largest for taken, largest, target in per.values())
+
+
+def test_cells_stay_even_when_weights_are_skewed(spark, docs):
+    """Nearly all rows at the least weight, whose keys reach far beyond the others'."""
+    from pyspark.sql import functions as F
+
+    rows = docs([(i, "!?" * 20 if i % 20 else "plain words here", "hot") for i in range(6000)]).select(
+        (-F.log(M.uniform("doc_id")) / M.quality_weight(F.col("text"))).alias("_key"), M.quality_weight(F.col("text")).alias("_w"))
+    cell = F.floor(M.distribution(rows, F.col("_key")) * 30)
+    sizes = [r["count"] for r in rows.groupBy(cell.alias("c")).count().collect()]
+    assert len(sizes) == 30 and max(sizes) <= 1.3 * 200
