@@ -17,8 +17,10 @@ from lossloom.sources.store import cut_lineage
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the byte network scores below its threshold."""
-    net = quality_cnn.train(docs, table(spark, sf_dir, "labels"))
-    return quality_cnn.score(docs, net, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    net = quality_cnn.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole")  # no name in it can clash
+    kept = quality_cnn.score(docs.select("doc_id", "text", whole), net, keep=("whole",)).where("predicted = 1")
+    return kept.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,19 +30,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the least id stays; so do rows without an id that match none with one."""
+    """Of each group of near copies the row with the least id stays, one without an id only if none has one."""
     importable(spark)
-    classes = jaccard_join.join(docs)
-    stay = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    return jaccard_join.survivors(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it; rows that share an id are taken alike."""
+    """Each row as often as the mix takes it; rows that share id, source and size are taken alike."""
     importable(spark)
-    times = source_mix.sample(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("times").alias("_times")).where("_times > 0")
-    taken = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*docs.columns)
+    return source_mix.taken(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
