@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossloom.functions.exprs import safe_div, uniform_hash
+from lossloom.sources.store import cut_lineage
 
 #: Most groups whose cut points and range offsets are sent to every task; more groups are joined by a shuffle.
 MAX_GROUPS = 10_000
@@ -108,6 +109,31 @@ def rank_decile(rn: str = "rn", n: str = "n", k: int = 10):
     return F.greatest(F.lit(1), pos).cast("long")
 
 
+def class_sums(df: DataFrame, groups: Sequence[str], order: str, ties: Sequence[str], sums: dict[str, Column], lows: dict[str, Column] | None = None,
+               highs: dict[str, Column] | None = None, k: int = 10) -> DataFrame:
+    """One row per group and equal-frequency ``class`` 1..k with ``rows`` and the given sums, minima and maxima.
+
+    The classes are those of ``rank_decile`` over ``global_rank``, but rows are not ranked one by one. They are first summed up per value
+    range; a range whose first and last rank fall into one class goes into it whole. Only the rows of ranges that an edge
+    crosses, at most k - 1 per group, are sent on and ranked inside their range.
+    """
+    g = list(groups)
+    parts = {**{n: (F.sum, c) for n, c in sums.items()}, **{n: (F.min, c) for n, c in (lows or {}).items()}, **{n: (F.max, c) for n, c in (highs or {}).items()}}
+    placed, small = _in_ranges(df, g, order)
+    placed = placed.withColumnRenamed("_range", "_span")
+    cells = placed.groupBy(*g, "_span").agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(n) for n, (f, c) in parts.items()])
+    run = Window.partitionBy(*g).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumns({"_under": F.coalesce(F.sum("rows").over(run), F.lit(0)), "_all": F.sum("rows").over(Window.partitionBy(*g))})
+    cells = cells.withColumns({"_first": F.col("_under") + 1, "_last": F.col("_under") + F.col("rows")})
+    cells = cut_lineage(cells.withColumns({"class": rank_decile("_first", "_all", k), "_to": rank_decile("_last", "_all", k)}), "class-cells")
+    crossed = cells.where(F.col("class") < F.col("_to")).select(*g, "_span", "_under", "_all")
+    ranked = global_rank(_matching(placed, crossed, [*g, "_span"], small), [*g, "_span"], order, ties)
+    ranked = ranked.withColumn("rn", F.col("_under") + F.col("rn")).withColumn("class", rank_decile("rn", "_all", k))
+    edges = ranked.groupBy(*g, "class").agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(n) for n, (f, c) in parts.items()])
+    whole = cells.where(F.col("class") == F.col("_to")).select(*g, "class", "rows", *parts)
+    return whole.unionByName(edges).groupBy(*g, "class").agg(F.sum("rows").alias("rows"), *[f(n).alias(n) for n, (f, _) in parts.items()])
+
+
 def score_totals(df: DataFrame, groups: Sequence[str], score: str, target: str, weight: str) -> DataFrame:
     """Weighted bads and goods per distinct score with running totals: the base of every ranking metric."""
     t = df.groupBy(*groups, score).agg(

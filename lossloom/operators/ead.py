@@ -203,5 +203,16 @@ def target_reconciliation(scored: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("rows"), F.avg("ead_at_default").alias("actual_mean_ead"), F.sum("ead_at_default").alias("actual_sum_ead"))
 
 
-def mean_profile(p: DataFrame) -> DataFrame:
-    return p.groupBy("month").agg(*[F.avg(c).alias(c) for c in ("ead_current_balance", "ead_contractual", "ead_modelled")])
+def mean_profile(base: DataFrame, ratio: Column, cfg: EAD, by: Sequence[str] = ()) -> DataFrame:
+    """Mean exposure per month over the rows of ``profile_base`` under the three methods of ``profiles``, without a row per loan and month.
+
+    Every method is linear in the current balance: balances are added up per terms (rate and remaining months, and the columns
+    ``by`` that ``ratio`` reads besides months_to_horizon), and the months are laid out for these sums alone.
+    """
+    terms = ["current_interest_rate", "remaining_months_to_maturity", *[c for c in by if c not in ("current_interest_rate", "remaining_months_to_maturity")]]
+    sums = base.groupBy(*terms).agg(F.sum("current_actual_upb").alias("_upb"), F.count(F.lit(1)).alias("_n"))
+    df = sums.withColumn("month", F.explode(F.sequence(F.lit(0), F.lit(cfg.max_months)))).withColumn("months_to_horizon", F.col("month"))
+    unit = contractual_balance(F.lit(1.0), F.col("current_interest_rate"), F.col("remaining_months_to_maturity"), F.col("month"))
+    modelled = F.when(F.col("month") == 0, F.lit(1.0)).otherwise(clip(clip(ratio, cfg.lower, cfg.upper), 0.0))
+    parts = {"ead_current_balance": F.lit(1.0), "ead_contractual": unit, "ead_modelled": modelled}
+    return df.groupBy("month").agg(*[(F.sum(F.col("_upb") * u) / F.sum("_n")).alias(c) for c, u in parts.items()])

@@ -8,6 +8,7 @@ reduces to running sums of the PD curve per (rating, rate): loans are never mult
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -70,56 +71,65 @@ def loss_rate() -> Column:
     return F.greatest(F.coalesce("current_interest_rate", F.lit(0.0)), F.lit(0.0)) / 100 / 12
 
 
-def curve_sums(curves: DataFrame, loans: DataFrame, scenarios: Sequence[str], cfg: ECL) -> DataFrame:
-    """Running sums of marginal PD, discounted marginal PD and month x marginal PD per rating, rate and month.
+@dataclass(frozen=True)
+class UnitLoss:
+    """One set of unit-loss columns: ``prefix`` before each scenario, the rating and stage columns it reads, and the curve of each scenario."""
 
-    Rows grow with the distinct rates of the book, not with its loans; every window covers one curve. Stored, since several joins read it.
-    """
-    aggs = [F.sum(F.when(F.col("scenario") == s, F.col("marginal_pd")).otherwise(0.0)).alias(f"p_{s}") for s in scenarios]
-    wide = curves.where(F.col("month").between(1, cfg.max_months)).groupBy("rating", "month").agg(*aggs)
-    rates = loans.select(loss_rate().alias("_r")).distinct()
-    t = wide.crossJoin(rates)  # curve points x distinct rates: the table itself
-    w = Window.partitionBy("rating", "_r").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
-    cols = []
-    for s in scenarios:
-        p = F.col(f"p_{s}")
-        cols += [F.sum(p).over(w).alias(f"c_{s}"), F.sum(p * F.pow(1 + F.col("_r"), -F.col("month"))).over(w).alias(f"d_{s}"),
-                 F.sum(p * F.col("month")).over(w).alias(f"m_{s}")]
-    return cut_lineage(t.select("rating", "_r", F.col("month").cast("long").alias("_h"), *cols), "curve-sums")
+    prefix: str
+    rating: str
+    stage: str
+    curves: Mapping[str, str]
 
 
-#: Most rows of the curve table that are broadcast; a larger one is joined on salted keys, since few (rating, rate, horizon) hold many loans.
-MAX_CURVE_ROWS = 500_000
-CURVE_SALTS = 32
+def curve_arrays(curves: DataFrame, names: Sequence[str], cfg: ECL) -> DataFrame:
+    """One row per rating with its curve as an array by month: marginal PD, running sum of it and of month x PD, for every curve name."""
+    aggs = [F.sum(F.when(F.col("scenario") == s, F.col("marginal_pd")).otherwise(0.0)).alias(f"p_{s}") for s in names]
+    wide = curves.where(F.col("month").between(1, cfg.max_months)).groupBy("rating", "month").agg(*aggs)
+    w = Window.partitionBy("rating").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)  # one curve
+    sums = {f"{k}_{s}": F.sum(F.col(f"p_{s}") * x).over(w) for s in names for k, x in (("c", F.lit(1)), ("m", F.col("month")))}
+    point = F.struct("month", *[f"{k}_{s}" for s in names for k in "pcm"])
+    return wide.withColumns(sums).groupBy("rating").agg(F.sort_array(F.collect_list(point)).alias("curve"))
 
 
-def _on_curve(df: DataFrame, sums: DataFrame) -> DataFrame:
-    """Left join of loans (_g, _r, _h) to the stored curve table."""
-    sums = sums.withColumnRenamed("rating", "_g")
-    if sums.count() <= MAX_CURVE_ROWS:
-        return df.join(F.broadcast(sums), ["_g", "_r", "_h"], "left")
-    salted = sums.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(CURVE_SALTS - 1))))
-    return (df.withColumn("_s", F.pmod(F.xxhash64("loan_id"), F.lit(CURVE_SALTS)).cast("int"))
-            .join(salted, ["_g", "_r", "_h", "_s"], "left").drop("_s"))
+def _unit(curve: Column, r: Column, n: Column, h: Column, name: str) -> Column:
+    """Loss per unit of exposure and severity over the first ``h`` months of a level-payment balance, discounted at its own rate.
 
+    With a rate the balance falls as (g - (1+r)^m) / (g - 1), g being (1+r)^n, so the sum needs the plain and the discounted PD only.
+    """
+    part = F.filter(curve, lambda x: x["month"] <= h)
+    end = F.get(part, F.size(part) - 1)
+    v = 1 / (1 + r)
+    discounted = F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x[f"p_{name}"] * F.pow(v, x["month"]))
+    grown = F.pow(1 + r, n.cast("double"))
+    level = (grown * discounted - end[f"c_{name}"]) / (grown - 1)
+    flat = end[f"c_{name}"] - end[f"m_{name}"] / n
+    return F.coalesce(F.when((n > 0) & (r > 0), level).when(n > 0, flat), F.lit(0.0))
+
+
+def with_unit_loss(loans: DataFrame, curves: DataFrame, sets: Sequence[UnitLoss], cfg: ECL) -> DataFrame:
+    """Add the unit-loss columns of all ``sets``: for stages 1 and 2 of rated loans, 0 for other stages or without a curve.
+
+    A unit loss depends on rating, rate, horizon and remaining term alone. The book is reduced to its distinct contracts, each is
+    evaluated once by folding its rating's curve, and the loans take all sets back in one join. Work grows with the contracts, which
+    are never more than the loans, and not with curve points times rates.
+    """
+    names = sorted({c for u in sets for c in u.curves.values()})
+    n = F.greatest(F.coalesce("remaining_months_to_maturity", F.lit(0)), F.lit(0)).cast("long")
 
-def with_unit_loss(loans: DataFrame, sums: DataFrame, scenarios: Sequence[str], cfg: ECL, rating: str = "rating", stage: str = "stage",
-                   prefix: str = "unit_", curve: str = "") -> DataFrame:
-    """Add the loss per unit of EAD x LGD of each scenario for stages 1 and 2; 0 for other stages or without a curve.
+    def horizon(stage: str) -> Column:
+        return F.when(F.col(stage) == 1, F.least(n, F.lit(cfg.stage1_months))).when(F.col(stage) == 2, F.least(n, F.lit(cfg.max_months))).otherwise(0).cast("long")
 
-    ``curve`` precedes the scenario names in the curve table.
-    """
-    n = F.greatest(F.col("remaining_months_to_maturity"), F.lit(0))
-    h = F.when(F.col(stage) == 1, F.least(n, F.lit(cfg.stage1_months))).when(F.col(stage) == 2, F.least(n, F.lit(cfg.max_months))).otherwise(0)
-    df = loans.withColumns({"_r": loss_rate(), "_h": h.cast("long"), "_g": F.col(rating)})
-    df = _on_curve(df, sums.select("rating", "_r", "_h", *[F.col(f"{k}_{curve}{s}").alias(f"{k}_{s}") for s in scenarios for k in "cdm"]))
-    grown = F.pow(1 + F.col("_r"), n.cast("double"))
-    out = {}
-    for s in scenarios:
-        level = (grown * F.col(f"d_{s}") - F.col(f"c_{s}")) / (grown - 1)
-        flat = F.col(f"c_{s}") - F.col(f"m_{s}") / n
-        out[f"{prefix}{s}"] = F.coalesce(F.when((n > 0) & (F.col("_r") > 0), level).when(n > 0, flat), F.lit(0.0))
-    return df.withColumns(out).drop("_g", "_r", "_h", *[f"{k}_{s}" for s in scenarios for k in "cdm"])
+    terms = [loss_rate().alias("r"), n.alias("n")]
+    for i, u in enumerate(sets):
+        terms += [F.coalesce(F.col(u.rating), F.lit("")).alias(f"g{i}"), horizon(u.stage).alias(f"h{i}")]
+    keyed = loans.withColumn("_contract", F.struct(*terms))
+    units = keyed.select("_contract").distinct().select("_contract", "_contract.*")
+    arrays = curve_arrays(curves, names, cfg)
+    for i in range(len(sets)):
+        units = units.join(arrays.select(F.col("rating").alias(f"g{i}"), F.col("curve").alias(f"curve{i}")), f"g{i}", "left")
+    values = [_unit(F.col(f"curve{i}"), F.col("r"), F.col("n"), F.col(f"h{i}"), c).alias(f"{u.prefix}{s}") for i, u in enumerate(sets) for s, c in u.curves.items()]
+    units = cut_lineage(units.select("_contract", F.struct(*values).alias("_units")), "unit-losses")
+    return keyed.join(units, "_contract", "left").select(*loans.columns, "_units.*")
 
 
 def loss(unit: Column, ead: Column, lgd: Column, stage: Column) -> Column:
@@ -147,7 +157,7 @@ def score(state: DataFrame, curves: DataFrame, cfg: ECL, lgds: Mapping[str, str]
     """Loss per scenario and weighted; ``lgds`` adds totals under other LGD columns without another pass."""
     weights = scenario_weights(curves)
     names = list(weights)
-    df = with_unit_loss(state, curve_sums(curves, state, names, cfg), names, cfg)
+    df = with_unit_loss(state, curves, [UnitLoss("unit_", "rating", "stage", {s: s for s in names})], cfg)
     df = df.withColumns({f"ecl_{s.lower()}": loss(F.col(f"unit_{s}"), F.col("ead"), F.col("lgd"), F.col("stage")) for s in names})
     for out, lgd in (lgds or {}).items():
         df = df.withColumn(out, weighted({s: loss(F.col(f"unit_{s}"), F.col("ead"), F.col(lgd), F.col("stage")) for s in names}, weights))

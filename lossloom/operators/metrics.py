@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossloom.functions.exprs import clip, safe_div, unpivot, wavg
-from lossloom.functions.ranks import exact_quantiles, global_rank, rank_decile, ranking_metrics, score_totals
+from lossloom.functions.ranks import class_sums, exact_quantiles, ranking_metrics, score_totals
 
 
 def log_loss_term(y: Column, p: Column) -> Column:
@@ -36,16 +36,18 @@ def confusion(df: DataFrame, groups: Sequence[str], cutoff: float, pd: str = "pr
                                    w(~high & (y == 0)).alias("true_negative"), w(~high & (y == 1)).alias("false_negative"))
 
 
-def with_deciles(df: DataFrame, groups: Sequence[str], pd: str, k: int = 10) -> DataFrame:
-    ranked = global_rank(df, groups, pd, ["loan_id", "as_of_date"])
-    return ranked.withColumn("decile", rank_decile(k=k)).drop("rn", "n")
+def decile_sums(df: DataFrame, groups: Sequence[str], pd: str, k: int = 10, bounds: str | None = None) -> DataFrame:
+    """Rows, weight, weighted bads and weighted prediction per group and decile of the prediction, with the range of ``bounds``."""
+    w = F.col("sample_weight")
+    sums = {"w": w, "bad": F.col("target") * w, "expected": F.col(pd) * w}
+    low, high = ({f"{x}_{bounds}": F.col(bounds)} if bounds else None for x in ("min", "max"))
+    return class_sums(df, groups, pd, ["loan_id", "as_of_date"], sums, low, high, k)
 
 
 def decile_table(df: DataFrame, pd: str = "predicted_pd_raw", k: int = 10) -> DataFrame:
-    return with_deciles(df, ["split"], pd, k).groupBy("split", "decile").agg(
-        F.count(F.lit(1)).alias("rows"), wavg("target", "sample_weight").alias("weighted_bad_rate"),
-        wavg(pd, "sample_weight").alias("weighted_predicted_pd"), F.min("score").alias("min_score"),
-        F.max("score").alias("max_score"))
+    return decile_sums(df, ["split"], pd, k, "score").select(
+        "split", F.col("class").alias("decile"), "rows", safe_div("bad", "w").alias("weighted_bad_rate"),
+        safe_div("expected", "w").alias("weighted_predicted_pd"), "min_score", "max_score")
 
 
 def roc_curve(df: DataFrame, groups: Sequence[str], pd: str = "predicted_pd_raw") -> DataFrame:
@@ -58,16 +60,14 @@ def roc_curve(df: DataFrame, groups: Sequence[str], pd: str = "predicted_pd_raw"
         F.col(pd).alias("threshold"))
 
 
-def calibration_curve(df: DataFrame, pd: str = "predicted_pd_raw", k: int = 10) -> DataFrame:
-    return with_deciles(df, ["split"], pd, k).groupBy("split", F.col("decile").alias("bin")).agg(
-        F.count(F.lit(1)).alias("rows"), wavg("target", "sample_weight").alias("observed_bad_rate"),
-        wavg(pd, "sample_weight").alias("predicted_bad_rate"))
+def calibration_curve(df: DataFrame, pd: str = "predicted_pd_raw", k: int = 10, name: str = "bin") -> DataFrame:
+    return decile_sums(df, ["split"], pd, k).select(
+        "split", F.col("class").alias(name), "rows", safe_div("bad", "w").alias("observed_bad_rate"), safe_div("expected", "w").alias("predicted_bad_rate"))
 
 
 def lift_table(df: DataFrame, pd: str = "predicted_pd_raw", k: int = 10, descending: bool = True) -> DataFrame:
     """Cumulative capture and lift over deciles, riskiest first; ``descending=False`` starts at the safest."""
-    bins = with_deciles(df, ["split"], pd, k).groupBy("split", F.col("decile").alias("bin")).agg(
-        F.sum(F.col("target") * F.col("sample_weight")).alias("bad"), F.sum("sample_weight").alias("w"))
+    bins = decile_sums(df, ["split"], pd, k).select("split", F.col("class").alias("bin"), "bad", "w")
     order = F.col("bin").desc() if descending else F.col("bin").asc()
     cum = Window.partitionBy("split").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)  # k rows per split
     whole = Window.partitionBy("split")

@@ -14,7 +14,8 @@ from lossloom.config import PDFramework
 from lossloom.functions.curves import hazard_scale, with_survival
 from lossloom.functions.exprs import bucket, clip, count_if, expit, logit, safe_div, wavg
 from lossloom.functions.ranks import exact_quantiles
-from lossloom.operators.metrics import binary_metrics, with_deciles
+from lossloom.operators import metrics
+from lossloom.operators.metrics import binary_metrics
 from lossloom.operators.scorecard import fit_logistic
 
 PD = "pd_calibrated_12m"
@@ -244,6 +245,4 @@ def backtest_splits(preds: DataFrame) -> DataFrame:
 
 
 def calibration_curve(preds: DataFrame, k: int = 10) -> DataFrame:
-    return with_deciles(preds, ["split"], PD, k).groupBy("split", F.col("decile").alias("bucket")).agg(
-        wavg("target", "sample_weight").alias("observed_bad_rate"), wavg(PD, "sample_weight").alias("predicted_bad_rate"),
-        F.count(F.lit(1)).alias("rows"))
+    return metrics.calibration_curve(preds, PD, k, "bucket").select("split", "bucket", "observed_bad_rate", "predicted_bad_rate", "rows")

@@ -170,12 +170,11 @@ def waterfall(st: DataFrame, curves: DataFrame, s: Scenario, cfg: ECL, base_rho:
     w0, w1 = ecl.scenario_weights(curves), ecl.scenario_weights(shocked)
     names = list(w0)
     df = staging_controls(portfolio_shock(st, s), s)
-    # One curve table: the shocked curves stand beside the others under marked names.
+    # The shocked curves stand beside the others under marked names; all three sets come back in one join.
     both = curves.unionByName(shocked.withColumn("scenario", F.concat(F.lit("shocked_"), "scenario")))
-    sums = ecl.curve_sums(both, st, [*names, *[f"shocked_{n}" for n in names]], cfg)
-    df = ecl.with_unit_loss(df, sums, names, cfg, "base_rating", "base_stage", "b_")
-    df = ecl.with_unit_loss(df, sums, names, cfg, "rating", "base_stage", "p_", "shocked_")
-    df = ecl.with_unit_loss(df, sums, names, cfg, "rating", "stage", "s_", "shocked_")
+    base, hit = {n: n for n in names}, {n: f"shocked_{n}" for n in names}
+    df = ecl.with_unit_loss(df, both, [ecl.UnitLoss("b_", "base_rating", "base_stage", base), ecl.UnitLoss("p_", "rating", "base_stage", hit),
+                                       ecl.UnitLoss("s_", "rating", "stage", hit)], cfg)
 
     def total(prefix: str, weights, ead: Column, lgd: Column, stage: str) -> Column:
         return F.sum(ecl.weighted({n: ecl.loss(F.col(f"{prefix}{n}"), ead, lgd, F.col(stage)) for n in names}, weights))

@@ -9,14 +9,14 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lossloom.config import Scorecard
 from lossloom.functions.exprs import bucket, clip, logit, unpivot
 from lossloom.functions.ranks import exact_quantiles
+from lossloom.sources.store import cut_lineage
 
 INF = float("inf")
 MISSING = "MISSING"
@@ -228,17 +228,57 @@ def bin_table(spark, bins: Mapping[str, Sequence[Bin]], suspicious_iv: float) ->
                                  "bad_rate double, woe double, iv double, suspicious_high_iv boolean")
 
 
-def fit_logistic(df: DataFrame, features: Sequence[str], target: str, weight: str, c: float = 1.0) -> tuple[float, list[float]]:
+def fit_logistic(df: DataFrame, features: Sequence[str], target: str, weight: str, c: float = 1.0, steps: int = 50, tol: float = 1e-10) -> tuple[float, list[float]]:
     """Intercept and coefficients of a weighted logistic model with an L2 penalty of 1/(2C) on the coefficients.
 
-    Spark averages the loss over the weight, so the penalty is divided by the total weight.
+    Rows are read once: they become cells, one per distinct combination of the features with its weights of ones and zeros (a few
+    thousand for binned features). Newton steps run over the cells; a step is one aggregate of a few dozen sums and is
+    halved while the loss does not fall. (0, 0...) without any weight; a log-odds of the one outcome there is, clipped, without both.
     """
-    total = df.agg(F.sum(weight)).first()[0]
-    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(
-        df.select(F.col(target).cast("double").alias("_y"), F.col(weight).cast("double").alias("_w"), *features))
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", regParam=1.0 / (c * total),
-                               elasticNetParam=0.0, standardization=False, maxIter=300, tol=1e-9).fit(data)
-    return float(model.intercept), [float(x) for x in model.coefficients]
+    x, k = [F.col(f"x{i}") for i in range(len(features))], len(features)
+    y, w = F.col(target).cast("double"), F.col(weight).cast("double")
+    cells = df.select(*[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)], (y * w).alias("one"), ((1 - y) * w).alias("zero"))
+    cells = cut_lineage(cells.groupBy(*[f"x{i}" for i in range(k)]).agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")), "logistic-cells")
+    start = cells.agg(F.sum("one").alias("one"), F.sum("zero").alias("zero")).first()
+    one, zero = start["one"] or 0.0, start["zero"] or 0.0
+    if one <= 0 or zero <= 0:
+        share = min(max(one / (one + zero), 1e-8), 1 - 1e-8) if one + zero > 0 else 0.5
+        return math.log(share / (1 - share)), [0.0] * k
+    design, penalty = [F.lit(1.0), *x], np.array([0.0] + [1.0 / c] * k)
+
+    def sums(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Penalised loss, its gradient and its Hessian."""
+        lp = F.lit(float(beta[0]))
+        for b, f in zip(beta[1:], x, strict=True):
+            lp = lp + F.lit(float(b)) * f
+        p = 1 / (1 + F.exp(-F.col("lp")))
+        # ln(1 + e^-|lp|) does not overflow; the rest is linear in lp.
+        soft = F.log1p(F.exp(-F.abs("lp")))
+        loss = F.col("one") * (soft + F.greatest(-F.col("lp"), F.lit(0.0))) + F.col("zero") * (soft + F.greatest("lp", F.lit(0.0)))
+        rows = cells.withColumn("lp", lp).withColumn("p", p).withColumn("loss", loss)
+        rows = rows.withColumns({"res": (F.col("one") + F.col("zero")) * F.col("p") - F.col("one"), "curv": (F.col("one") + F.col("zero")) * F.col("p") * (1 - F.col("p"))})
+        pairs = [(i, j) for i in range(k + 1) for j in range(i, k + 1)]
+        got = rows.agg(F.sum("loss"), *[F.sum(F.col("res") * d) for d in design], *[F.sum(F.col("curv") * design[i] * design[j]) for i, j in pairs]).first()
+        hess = np.zeros((k + 1, k + 1))
+        for (i, j), v in zip(pairs, got[k + 2:], strict=True):
+            hess[i, j] = hess[j, i] = v
+        return got[0] + float(penalty @ beta**2) / 2, np.array(got[1:k + 2]) + penalty * beta, hess + np.diag(penalty)
+
+    beta = np.array([math.log(one / zero)] + [0.0] * k)
+    loss, grad, hess = sums(beta)
+    for _ in range(steps):
+        step = np.linalg.lstsq(hess, grad, rcond=None)[0]
+        scale = 1.0
+        while True:
+            tried = sums(beta - scale * step)
+            if tried[0] <= loss + 1e-12 * abs(loss) or scale < 1e-6:
+                break
+            scale /= 2
+        beta = beta - scale * step
+        loss, grad, hess = tried
+        if np.abs(scale * step).max() <= tol * max(1.0, np.abs(beta).max()):
+            break
+    return float(beta[0]), [float(b) for b in beta[1:]]
 
 
 def linear_predictor(intercept: float, coefs: Mapping[str, float]) -> Column:

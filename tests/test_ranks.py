@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lossloom.functions.ranks import exact_quantiles, global_rank, running_totals
+from lossloom.functions.ranks import class_sums, exact_quantiles, global_rank, rank_decile, running_totals
 
 
 @pytest.fixture
@@ -50,3 +50,35 @@ def test_quantiles_match_linear_interpolation(spark, no_broadcast):
     got = {r["g"]: r["q"] for r in exact_quantiles(df, ["g"], "v", [0.05, 0.5, 0.95]).collect()}
     s = sorted(values)
     assert got["x"] == pytest.approx([s[5], s[50], s[95]]) and got["y"] == [1.0, 1.0, 1.0]
+
+
+@pytest.mark.parametrize("shape", ["spread", "tied", "few"])
+def test_class_sums_match_ranked_rows(spark, shape):
+    """Every class as if all rows were ranked, with values spread, mostly tied, or fewer rows than classes; groups may be null."""
+    rng = random.Random(6)
+    n = 7 if shape == "few" else 1500
+    rows = [(i, rng.choice(["a", "b", None]), round(rng.random(), 3) if shape != "tied" or i % 3 else 0.4, rng.choice([1.0, 2.5])) for i in range(n)]
+    df = spark.createDataFrame(rows, "k long, g string, s double, w double")
+    got = class_sums(df, ["g"], "s", ["k"], {"w": F.col("w"), "ws": F.col("w") * F.col("s")}, {"lo": F.col("k")}, {"hi": F.col("s")}).collect()
+    ranked = global_rank(df, ["g"], "s", ["k"]).withColumn("class", rank_decile()).groupBy("g", "class")
+    want = ranked.agg(F.count(F.lit(1)).alias("rows"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("s")).alias("ws"), F.min("k").alias("lo"), F.max("s").alias("hi")).collect()
+    key = lambda r: (str(r["g"]), r["class"])
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert (a["g"], a["class"], a["rows"], a["lo"], a["hi"]) == (b["g"], b["class"], b["rows"], b["lo"], b["hi"])
+        assert a["w"] == pytest.approx(b["w"]) and a["ws"] == pytest.approx(b["ws"])
+
+
+def test_class_sums_send_on_only_what_an_edge_crosses(spark):
+    n = 20_000
+    df = spark.range(n).select(F.col("id").alias("k"), F.lit("g").alias("g"), (F.col("id") * 7919 % n / n).alias("s"))
+    sent = []
+    from lossloom.functions import ranks as R
+
+    real = R.global_rank
+    try:
+        R.global_rank = lambda rows, *a: (sent.append(rows.count()), real(rows, *a))[1]
+        out = class_sums(df, ["g"], "s", ["k"], {"w": F.lit(1.0)}).collect()
+    finally:
+        R.global_rank = real
+    assert sorted(r["rows"] for r in out) == [2000] * 10 and sent[0] <= n * 9 / 16 * 1.2

@@ -278,3 +278,47 @@ def test_feature_registry_selects_by_availability_and_counts_classes():
     assert features_by_availability("HISTORICAL_TO_DATE") == ["max_delinquency_months_to_date", "months_since_last_delinquency"]
     assert counts_by("leakage") == {"SAFE_ORIGINATION": 6, "SAFE_AS_OF_DATE": 5, "OUTCOME_RESTRICTED": 3, "TECHNICAL_ONLY": 1}
     assert sum(counts_by("availability").values()) == len(REGISTRY)
+
+
+def test_logistic_fit_on_cells_meets_the_score_equations(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for _ in range(3000):
+        a, b = rng.choice([-1.0, 0.2, 1.5]), rng.choice([-0.7, 0.0, 0.9])
+        rows.append((a, b, int(rng.random() < 1 / (1 + math.exp(1.5 - 0.8 * a + 0.4 * b))), rng.choice([1.0, 3.0])))
+    df = spark.createDataFrame(rows, "a double, b double, y int, w double")
+    for c in (1.0, 0.01):
+        b0, coefs = scorecard.fit_logistic(df, ["a", "b"], "y", "w", c)
+        res = [(w * (1 / (1 + math.exp(-(b0 + coefs[0] * a + coefs[1] * b))) - y), a, b) for a, b, y, w in rows]
+        assert abs(sum(r for r, _, _ in res)) < 1e-6
+        assert abs(sum(r * a for r, a, _ in res) + coefs[0] / c) < 1e-6 and abs(sum(r * b for r, _, b in res) + coefs[1] / c) < 1e-6
+    apart = spark.createDataFrame([(float(i), int(i >= 5), 1.0) for i in range(10)], "a double, y int, w double")
+    b0, (b1,) = scorecard.fit_logistic(apart, ["a"], "y", "w")  # separable: the penalty keeps the slope finite
+    assert 0 < b1 < 50 and scorecard.fit_logistic(df.where("y = 1"), ["a", "b"], "y", "w")[1] == [0.0, 0.0]
+    assert scorecard.fit_logistic(df.limit(0), ["a"], "y", "w") == (0.0, [0.0])
+
+
+def test_unit_loss_matches_a_sum_over_months(spark):
+    cfg = ECL(reporting_date=date(2027, 1, 1))
+    months = 60
+    pd_of = {("R1", "BASE"): 0.002, ("R1", "DOWN"): 0.004, ("R2", "BASE"): 0.01, ("R2", "DOWN"): 0.03}
+    curves = spark.createDataFrame([(g, s, m, p * 0.98**m) for (g, s), p in pd_of.items() for m in range(1, months + 1)], "rating string, scenario string, month int, marginal_pd double")
+    loans = [(i, g, stage, n, rate) for i, (g, stage, n, rate) in enumerate(
+        (g, stage, n, rate) for g in ("R1", "R2", "R9", None) for stage in (1, 2, 3) for n in (0, 5, 48, None) for rate in (0.0, 4.5, None, -1.0))]
+    df = spark.createDataFrame(loans, "loan_id int, rating string, stage int, remaining_months_to_maturity int, current_interest_rate double")
+    sets = [ecl.UnitLoss("u_", "rating", "stage", {"BASE": "BASE", "DOWN": "DOWN"}), ecl.UnitLoss("x_", "rating", "stage", {"BASE": "DOWN"})]
+    out = ecl.with_unit_loss(df, curves, sets, cfg)
+    assert out.columns == [*df.columns, "u_BASE", "u_DOWN", "x_BASE"] and out.count() == len(loans)
+    plan = out._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "CrossJoin" not in plan
+    for r in out.collect():
+        n, rate = max(r["remaining_months_to_maturity"] or 0, 0), max(r["current_interest_rate"] or 0.0, 0.0) / 1200
+        h = min(n, cfg.stage1_months) if r["stage"] == 1 else min(n, cfg.max_months) if r["stage"] == 2 else 0
+        for s, c in (("u_BASE", "BASE"), ("u_DOWN", "DOWN"), ("x_BASE", "DOWN")):
+            p, want = pd_of.get((r["rating"], c), 0.0), 0.0
+            for m in range(1, h + 1):
+                left = ((1 + rate)**n - (1 + rate)**m) / ((1 + rate)**n - 1) if rate else 1 - m / n
+                want += p * 0.98**m * left / (1 + rate)**m
+            assert r[s] == pytest.approx(want, abs=1e-12)
