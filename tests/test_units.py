@@ -322,3 +322,29 @@ def test_unit_loss_matches_a_sum_over_months(spark):
                 left = ((1 + rate)**n - (1 + rate)**m) / ((1 + rate)**n - 1) if rate else 1 - m / n
                 want += p * 0.98**m * left / (1 + rate)**m
             assert r[s] == pytest.approx(want, abs=1e-12)
+
+
+def test_feature_pipeline_matches_the_ml_stages(spark):
+    import random
+
+    from pyspark.ml.functions import vector_to_array
+
+    from lossloom.operators import ml_pipeline
+
+    rng = random.Random(12)
+    rows = [(i, None if rng.random() < 0.2 else rng.gauss(3, 2), 5.0, None, rng.choice(["a", "a", "b", " ", None, "c"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k int, x double, same double, none double, g string")
+    two = ml_pipeline.fit_features(df.withColumn("h", F.lit("only")), ["x"], ["g", "h"])  # columns of unlike many levels
+    assert len(two.transform(df.withColumn("h", F.lit("only"))).first()["features"]) == 1 + 3 + 1
+    pipe = ml_pipeline.fit_features(df, ["x", "same", "none"], ["g"])
+    known = [r[1] for r in rows if r[1] is not None]
+    mean = sum(known) / len(known)
+    std = (sum((v - mean) ** 2 for v in known) / (len(rows) - 1)) ** 0.5
+    assert pipe.categorical == {"g": tuple(sorted(("a", "b", "c"), key=lambda g: -(sum(r[4] == g for r in rows) + (g == "a") * 1000)))}
+    levels = pipe.categorical["g"]
+    other = spark.createDataFrame([(1000, 7.0, 5.0, 1.0, "new"), (1001, None, None, None, None)], df.schema)
+    for r in pipe.transform(df.unionByName(other)).select("*", vector_to_array("features").alias("f")).collect():
+        g = (r["g"] or "").strip() or levels[0]
+        one = [float(g == x) for x in levels]
+        assert r["f"] == pytest.approx([((mean if r["x"] is None else r["x"]) - mean) / std, 0.0, *one])
+    assert [c for c in pipe.transform(df).columns if c not in df.columns] == ["features"]
