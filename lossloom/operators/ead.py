@@ -16,6 +16,7 @@ from lossloom.operators.features import forbid_outcomes
 from lossloom.operators.lgd import ltv_band, split_by
 from lossloom.operators.targets import entry_exposure, entry_exposure_source
 
+# Predictors, outcome columns, methods, segments and the columns of the view that observations need.
 NUMERIC = ("current_actual_upb", "current_interest_rate", "remaining_months_to_maturity", "original_term", "original_upb",
            "current_upb_to_original_upb", "estimated_loan_to_value", "delinquency_months", "max_delinquency_months_to_date",
            "months_delinquent_to_date", "months_since_last_delinquency", "months_since_origination", "months_to_horizon",

@@ -15,6 +15,7 @@ from lossloom.functions.ranks import exact_quantiles, ranking_metrics
 from lossloom.operators.features import forbid_outcomes
 from lossloom.operators.targets import entry_exposure, entry_exposure_source
 
+# Cash-flow fields, columns known at default, outcome columns and recency weightings.
 RECOVERIES = ("net_sale_proceeds", "mi_recoveries", "non_mi_recoveries")
 COSTS = ("total_expenses", "delinquent_accrued_interest", "bankruptcy_cramdown_costs")
 MODIFICATION_COSTS = ("cumulative_modification_costs",)
@@ -29,9 +30,15 @@ AT_DEFAULT = ("current_interest_rate", "estimated_loan_to_value", "current_upb_t
               "months_since_origination", "ever_modified_to_date", "ever_assistance_to_date")
 STATIC = ("original_credit_score", "original_dti", "original_ltv", "original_cltv", "original_upb", "original_interest_rate",
           "mortgage_insurance_percentage", "property_state", "property_type", "occupancy_status", "loan_purpose", "channel")
-NUMERIC = ("ead_at_default", *[f"{c}_at_default" for c in AT_DEFAULT[:8]], *STATIC[:7])
-CATEGORICAL = ("rating_at_default", "default_reason", *STATIC[7:], "ever_modified_to_date_at_default",
-               "ever_assistance_to_date_at_default")
+# Predictors of the component models.
+NUMERIC = (
+    "ead_at_default", "current_interest_rate_at_default", "estimated_loan_to_value_at_default", "current_upb_to_original_upb_at_default",
+    "delinquency_months_at_default", "max_delinquency_months_to_date_at_default", "months_delinquent_to_date_at_default",
+    "months_since_last_delinquency_at_default", "months_since_origination_at_default", "original_credit_score", "original_dti", "original_ltv",
+    "original_cltv", "original_upb", "original_interest_rate", "mortgage_insurance_percentage")
+CATEGORICAL = (
+    "rating_at_default", "default_reason", "property_state", "property_type", "occupancy_status", "loan_purpose", "channel",
+    "ever_modified_to_date_at_default", "ever_assistance_to_date_at_default")
 CURE_LGD_NUMERIC = (
     "estimated_loan_to_value_at_default", "original_ltv", "original_cltv", "ead_at_default",
     "months_since_origination_at_default", "current_interest_rate_at_default", "original_interest_rate",
