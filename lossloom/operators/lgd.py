@@ -169,21 +169,30 @@ def supervised(eps: DataFrame) -> DataFrame:
     return eps.where(F.col("resolved_flag") & (F.col("ead_at_default") > 0))
 
 
-def with_temporal_weight(train: DataFrame, method: str, decay_months: int | None, out: str = "w") -> DataFrame:
-    """Recency weight with mean 1; the newest date and the mean come from one-row aggregates."""
-    if method == "none":
-        return train.withColumn(out, F.lit(1.0))
-    newest = train.agg(F.max("default_date").alias("_d1"), F.min("default_date").alias("_d0"))
-    df = train.crossJoin(newest)  # one-row right side
+def _recency(method: str, decay_months: int | None) -> Column:
+    """Weight before scaling of a row with its age in days to the newest (``_d1``) and oldest (``_d0``) default."""
     age = F.date_diff("_d1", "default_date") / F.lit(30.4375)
+    if method == "none":
+        return F.lit(1.0)
     if method == "linear_recency":
-        raw = 1 + (1 - age / F.greatest(F.date_diff("_d1", "_d0") / F.lit(30.4375), F.lit(1.0)))
-    elif method == "exponential_recency":
-        raw = F.exp(-age / F.lit(float(decay_months or 24)))
-    else:
-        raise ValueError(f"unknown temporal weighting: {method}")
-    df = df.withColumn("_w", raw)
-    return df.crossJoin(df.agg(F.avg("_w").alias("_m"))).withColumn(out, F.col("_w") / F.col("_m")).drop("_w", "_m", "_d0", "_d1")
+        return 1 + (1 - age / F.greatest(F.date_diff("_d1", "_d0") / F.lit(30.4375), F.lit(1.0)))
+    if method == "exponential_recency":
+        return F.exp(-age / F.lit(float(decay_months or 24)))
+    raise ValueError(f"unknown temporal weighting: {method}")
+
+
+def with_temporal_weights(train: DataFrame, weightings: Sequence[tuple[str, int | None]]) -> DataFrame:
+    """Recency weights with mean 1, one column ``w_<label>`` per weighting; two one-row aggregates serve all of them."""
+    labels = [f"w_{weight_label(m, d)}" for m, d in weightings]
+    newest = train.agg(F.max("default_date").alias("_d1"), F.min("default_date").alias("_d0"))
+    df = train.crossJoin(newest).withColumns({c: _recency(m, d) for c, (m, d) in zip(labels, weightings, strict=True)})  # one-row right side
+    means = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in labels])
+    return df.crossJoin(means).withColumns({c: F.col(c) / F.col(f"_m_{c}") for c in labels}).drop("_d0", "_d1", *[f"_m_{c}" for c in labels])
+
+
+def with_temporal_weight(train: DataFrame, method: str, decay_months: int | None, out: str = "w") -> DataFrame:
+    """One weighting under a name of choice."""
+    return with_temporal_weights(train, [(method, decay_months)]).withColumnRenamed(f"w_{weight_label(method, decay_months)}", out)
 
 
 def weight_label(method: str, decay: int | None) -> str:

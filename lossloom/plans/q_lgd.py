@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lossloom.operators import lgd, ml_pipeline
+from lossloom.functions.exprs import expit, tagged_rows
+from lossloom.operators import joint_fits, lgd, ml_pipeline
 from lossloom.plans import demo, lgd_models
 from lossloom.plans.q_scorecard import ranking_sql
 from lossloom.plans.registry import query
 from lossloom.plans.sqlchain import cte, mdiff
+from lossloom.sources.store import cut_lineage
 
 _at = ", ".join(f"m.{c} AS {c}_at_default" for c in lgd.AT_DEFAULT)
 # The exposure is the first positive balance of the default month and the month before it.
@@ -169,15 +171,36 @@ def _(t):
     return wide.unpivot([], names, "predictor", "non_null_rows")
 
 
+def cure_line(t):
+    """Training rows with balanced weights, and the cure model fitted on them."""
+    sup = lgd.supervised(t("episodes")).where("split = 'TRAIN'")
+    pipe = ml_pipeline.fit_features(sup, lgd.NUMERIC, lgd.CATEGORICAL)
+    train = joint_fits.with_class_balance(sup.withColumns({"y": F.col("cured_flag").cast("int"), "w": F.lit(1.0)}), "y", ["w"])
+    train = cut_lineage(pipe.arrays(train), "cure_line")
+    return pipe, train, joint_fits.fit_logistic(train, {"m": joint_fits.Fit("x", "y", "w", 1.0)})["m"]
+
+
 @query("lg08_feature_pipeline")
 def _(t):
-    s = lgd.supervised(t("episodes"))
-    pipe = ml_pipeline.fit_features(s.where("split = 'TRAIN'"), lgd.NUMERIC, lgd.CATEGORICAL)
-    model = ml_pipeline.fit_logistic(pipe.transform(s.where("split = 'TRAIN'")).withColumn("y", F.col("cured_flag").cast("int")), "y")
-    return ml_pipeline.with_probability(model, pipe.transform(t("episodes")), "p").groupBy("split").agg(
+    pipe, _train, line = cure_line(t)
+    return pipe.arrays(t("episodes")).withColumn("p", expit(line.predict("x"))).groupBy("split").agg(
         F.count(F.lit(1)).alias("rows"), F.avg("p").alias("predicted_cure_rate"))
 
 
+BALANCED = """CASE WHEN sum(cured_flag::INT) OVER () IN (0, count(*) OVER ()) THEN 1e0
+WHEN cured_flag THEN count(*) OVER () / (2 * sum(cured_flag::INT) OVER ()) ELSE count(*) OVER () / (2 * (count(*) OVER () - sum(cured_flag::INT) OVER ())) END"""
+
+
+@query("lg08_score_equation", f"""
+SELECT count(*) AS rows, avg(w * cured_flag::INT) AS observed, avg(w * cured_flag::INT) AS predicted
+FROM (SELECT *, {BALANCED} AS w FROM x_episodes WHERE resolved_flag AND ead_at_default > 0 AND split = 'TRAIN')""", r6="observed predicted")
+def _(t):
+    """A logistic model with a free intercept reproduces the weighted cure rate of the rows it was fitted on."""
+    _pipe, train, line = cure_line(t)
+    return train.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col("w") * F.col("y")).alias("observed"),
+                     F.avg(F.col("w") * expit(line.predict("x"))).alias("predicted"))
+
+
 def weight_sql(expr: str, label: str) -> str:
     return f"""
 SELECT loan_id, default_episode_id, '{label}' AS weighting, w / avg(w) OVER () AS w
@@ -203,6 +226,70 @@ def _(t):
     return lgd_models.cure_challengers(t("episodes"))[1]
 
 
+def by_weighting(inner: str, select: str) -> str:
+    """One SELECT per weighting over training rows that carry their weight w."""
+    exprs = {"none": "1e0", "linear_recency": "1 + (1 - age / greatest(max(age) OVER (), 1))"}
+    exprs |= {f"exponential_recency_{m}m": f"exp(-age / {m}e0)" for m in (12, 24, 36)}
+    return " UNION ALL ".join(f"""
+SELECT '{label}' AS weighting, {select} FROM (SELECT *, raw / avg(raw) OVER () AS w FROM (SELECT *, {e} AS raw FROM (
+SELECT *, (max(default_date) OVER () - default_date) / 30.4375e0 AS age FROM x_episodes WHERE resolved_flag AND ead_at_default > 0 AND split = 'TRAIN' {inner})))"""
+                              for label, e in exprs.items())
+
+
+@query("lg10_score_equations", by_weighting("", "count(*) AS rows, avg(w * b * cured_flag::INT) AS observed, avg(w * b * cured_flag::INT) AS predicted").replace(
+    "SELECT *, raw / avg(raw) OVER () AS w", f"SELECT *, raw / avg(raw) OVER () AS w, {BALANCED} AS b"), r6="observed predicted")
+def _(t):
+    """Each cure challenger reproduces the weighted cure rate of its training rows."""
+    scored, _table = lgd_models.cure_challengers(t("episodes"))
+    rows = lgd.with_temporal_weights(lgd.supervised(t("episodes")).where("split = 'TRAIN'"), lgd.WEIGHTINGS)
+    rows = joint_fits.with_class_balance(rows.withColumn("y", F.col("cured_flag").cast("int")), "y", [f"w_{n}" for n in lgd_models.LABELS])
+    key = ["loan_id", "default_episode_id"]
+    rows = rows.join(scored.select(*key, *[f"raw_{n}" for n in lgd_models.LABELS]), key)
+    sums = rows.agg(F.count(F.lit(1)).alias("rows"), *[F.avg(F.col(f"w_{n}") * F.col(c)).alias(f"{k}_{n}") for n in lgd_models.LABELS
+                                                       for k, c in (("o", "y"), ("p", f"raw_{n}"))])
+    return tagged_rows(sums, [], [[F.lit(n), F.col("rows"), F.col(f"o_{n}"), F.col(f"p_{n}")] for n in lgd_models.LABELS],
+                       ["weighting", "rows", "observed", "predicted"])
+
+
+LTV = "coalesce(original_ltv, avg(original_ltv) OVER ())"
+
+
+def normal_sql(inner: str) -> str:
+    y, cross = "avg(w * realized_lgd_model_target)", "avg(w * ltv * realized_lgd_model_target) / 100"
+    return by_weighting(inner, f"count(*) AS rows, {y} AS observed, {y} AS predicted, {cross} AS observed_by_ltv, {cross} AS predicted_by_ltv").replace(
+        "SELECT *, raw / avg(raw) OVER () AS w", f"SELECT *, raw / avg(raw) OVER () AS w, {LTV} AS ltv")
+
+
+def normal_equations(rows, pairs: dict[str, tuple[str, str]]):
+    """Weighted means of outcome and prediction, plain and times the imputed loan-to-value, per (weight column, prediction column)."""
+    rows = rows.crossJoin(rows.agg(F.avg("original_ltv").alias("_ltv"))).withColumn("ltv", F.coalesce(F.col("original_ltv").cast("double"), "_ltv") / 100)
+    aggs = [F.avg(F.col(w) * F.col(v) * x).alias(f"{k}_{n}") for n, (w, p) in pairs.items()
+            for k, v, x in (("o", lgd.TARGET, F.lit(1.0)), ("p", p, F.lit(1.0)), ("ol", lgd.TARGET, F.col("ltv")), ("pl", p, F.col("ltv")))]
+    sums = rows.agg(F.count(F.lit(1)).alias("rows"), *aggs)
+    return tagged_rows(sums, [], [[F.lit(n), F.col("rows"), *[F.col(f"{k}_{n}") for k in ("o", "p", "ol", "pl")]] for n in pairs],
+                       ["weighting", "rows", "observed", "predicted", "observed_by_ltv", "predicted_by_ltv"])
+
+
+NORMAL = "observed predicted observed_by_ltv predicted_by_ltv"
+
+
+@query("lg11_normal_equations", normal_sql("AND NOT cured_flag"), r6=NORMAL)
+def _(t):
+    """Residuals of each linear severity model are orthogonal to the intercept and to a predictor, under its own weights."""
+    train = lgd.supervised(t("episodes")).where("split = 'TRAIN' AND NOT cured_flag")
+    lines = lgd_models.severity_lines(t("episodes")).select("loan_id", "default_episode_id", *[f"linear_{n}" for n in lgd_models.LABELS])
+    rows = lgd.with_temporal_weights(train, lgd.WEIGHTINGS).join(lines, ["loan_id", "default_episode_id"])
+    return normal_equations(rows, {n: (f"w_{n}", f"linear_{n}") for n in lgd_models.LABELS})
+
+
+@query("lg13_normal_equations", normal_sql("AND cured_flag").split(" UNION ALL ")[0], r6=NORMAL)
+def _(t):
+    """The same for the unweighted cure severity."""
+    train = lgd.supervised(t("episodes")).where("split = 'TRAIN' AND cured_flag").withColumn("one", F.lit(1.0))
+    lines = lgd_models.cure_lgd_lines(t("episodes")).select("loan_id", "default_episode_id", "bounded_regression")
+    return normal_equations(train.join(lines, ["loan_id", "default_episode_id"]), {"none": ("one", "bounded_regression")})
+
+
 @query("lg11_severity_challengers")
 def _(t):
     return lgd_models.severity_challengers(t("episodes"))[1]
