@@ -7,6 +7,7 @@ wrote by name.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from lossloom.operators.features import features_for
 from lossloom.operators.ml_pipeline import with_prediction
 from lossloom.sources import sinks, text
 from lossloom.sources.schemas import layout_for
-from lossloom.sources.store import clear_cuts
+from lossloom.sources.store import own_cuts
 
 Tables = dict[str, DataFrame]
 
@@ -30,11 +31,13 @@ class Job:
         self.spark, self.root, self.cfg = spark, root.rstrip("/"), settings or Settings()
 
     def __enter__(self) -> Job:
+        self._cuts = own_cuts(self.spark)
+        self._cuts.__enter__()
         return self
 
-    def __exit__(self, *_) -> None:
-        """Everything a job returns is stored under ``root``, so its intermediate tables can go."""
-        clear_cuts(self.spark)
+    def __exit__(self, *error) -> None:
+        """Everything a job stores is under ``root``, so the intermediate tables it wrote itself can go."""
+        self._cuts.__exit__(*error)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")
@@ -65,6 +68,7 @@ def run_ingestion(job: Job, text_root: str, ingested_at: str, force: bool = Fals
         if len(layouts) != 1:
             raise ValueError(f"{dataset}: read years of one layout at a time")
         lay = layouts.pop()
+        lines = text.stored_lines(lines)
         if quarantine:
             job.write(f"quarantine/{dataset}", text.malformed(lines, lay))
         else:
@@ -77,6 +81,15 @@ def run_ingestion(job: Job, text_root: str, ingested_at: str, force: bool = Fals
     return out
 
 
+def _sketches(job: Job, dataset: str, table: DataFrame, force: bool) -> DataFrame:
+    """Field sketches by year; only years without any are read, all of them with ``force``."""
+    path = f"{job.root}/silver_sketches/{dataset}"
+    have = [] if force else [r[0] for r in sinks.existing_years(job.spark, path, "_source_year").collect()]  # one value per partition folder
+    fresh = table.where(~F.col("_source_year").isin(have)) if have else table
+    sinks.write_partitions(quality.field_sketches(fresh), path, "_source_year", True)
+    return job.read(f"silver_sketches/{dataset}")
+
+
 def run_silver_build(job: Job, force: bool = False) -> Tables:
     for dataset, clean in (("origination", silver.origination), ("performance", silver.performance)):
         sinks.write_partitions(clean(job.read(f"bronze/{dataset}")), f"{job.root}/silver/{dataset}", "_source_year", force)
@@ -85,6 +98,8 @@ def run_silver_build(job: Job, force: bool = False) -> Tables:
                      ("temporal_gaps", quality.temporal_gaps(p)), ("silver_summary", quality.silver_summary(o, p)),
                      ("without_performance", quality.without_performance(o, p))):
         job.report(name, df)
+    sketches = {d: _sketches(job, d, x, force) for d, x in (("origination", o), ("performance", p))}
+    job.report("availability", reduce(DataFrame.unionByName, [quality.merged_availability(s, d, by_year) for d, s in sketches.items() for by_year in (True, False)]))
     return {"origination": o, "performance": p}
 
 

@@ -124,7 +124,7 @@ SELECT vintage_year AS _source_year, 'vintage_year=' || vintage_year AS _source_
 FROM x_raw_perf GROUP BY ALL""", ints="_source_year numbered_rows")
 def _(t):
     """Row numbers run 1..n in every file, so the file maxima add up to the rows."""
-    per_file = text.with_row_numbers(t("raw_perf")).groupBy("vintage_year", "_source_member").agg(
+    per_file = text.with_row_numbers(t("lines_perf")).groupBy("vintage_year", "_source_member").agg(
         F.count(F.lit(1)).alias("n"), F.max("_source_row_number").alias("top"))
     return per_file.groupBy(F.col("vintage_year").alias("_source_year"),
                             F.regexp_extract("_source_member", r"([^/]+)/[^/]+$", 1).alias("_source_zip"),
@@ -323,8 +323,33 @@ def avail_sql(dataset: str, table: str, fields) -> str:
        + avail_sql("performance", "x_silver_perf", [*PERF.names, "delinquency_months", "delinquency_status_type"]),
        ints="year row_count non_null_count", r6="non_null_pct")
 def _(t):
-    return quality.availability(t("silver_orig"), "origination").unionByName(
-        quality.availability(t("silver_perf"), "performance"))
+    return quality.availability(t("silver_orig"), "origination", exact=True).unionByName(
+        quality.availability(t("silver_perf"), "performance", exact=True))
+
+
+def sketched_sql(dataset: str, table: str, fields) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{dataset}' AS dataset, _source_year AS year, '{f}' AS field, count(*) AS row_count, count({f}) AS non_null_count, "
+        f"count({f}) / count(*) AS non_null_pct, TRUE AS distinct_within_bound FROM {table} GROUP BY GROUPING SETS ((_source_year), ())"
+        for f in fields if not f.endswith("_status"))
+
+
+@query("dq06_availability_sketched", sketched_sql("origination", "x_silver_orig", [*ORIG.names, "origination_month"]) + " UNION ALL "
+       + sketched_sql("performance", "x_silver_perf", [*PERF.names, "delinquency_months", "delinquency_status_type"]),
+       ints="year row_count non_null_count", r6="non_null_pct")
+def _(t):
+    """Availability by year and, from the same stored sketches merged, over all years; its distinct counts lie within 5% of the exact ones."""
+    out = None
+    for k, dataset in (("orig", "origination"), ("perf", "performance")):
+        for by_year in (True, False):
+            near = quality.merged_availability(t(f"sketch_{k}"), dataset, by_year)
+            exact = quality.availability(t(f"silver_{k}"), dataset, exact=True, by_year=by_year).select(
+                F.col("year").alias("_y"), F.col("field").alias("_f"), F.col("distinct_count").alias("_d"))
+            part = near.join(exact, F.col("year").eqNullSafe(F.col("_y")) & (F.col("field") == F.col("_f"))).select(
+                *[c for c in near.columns if c != "distinct_count"],
+                (F.abs(F.col("distinct_count") - F.col("_d")) <= 0.05 * F.col("_d")).alias("distinct_within_bound"))
+            out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("dq07_temporal_gaps", f"""

@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from lossloom.operators import development, ecl, lgd, macro, mart, pd_framework, scenario, silver, staging, targets
+from lossloom.operators import development, ecl, lgd, macro, mart, pd_framework, quality, scenario, silver, staging, targets
 from lossloom.plans import demo
 from lossloom.sources import panel, rawdemo, text
 from lossloom.sources.schemas import layout_for
@@ -18,12 +18,16 @@ BUILDERS: dict[str, tuple] = {
     "perf": (lambda t: panel.performance(t.spark, t.sf_dir, t("loans")), "loan"),
     "raw_orig": (lambda t: rawdemo.origination_lines(t("loans")), "text"),
     "raw_perf": (lambda t: rawdemo.performance_lines(t("perf"), t("loans")), "text"),
-    "bronze_orig": (lambda t: text.bronze(t("raw_orig"), layout_for("origination", 1995), INGESTED_AT), "plain"),
-    "bronze_perf": (lambda t: text.bronze(t("raw_perf"), layout_for("performance", 1995), INGESTED_AT), "plain"),
-    "quarantine_orig": (lambda t: text.malformed(t("raw_orig"), layout_for("origination", 1995)), "plain"),
-    "quarantine_perf": (lambda t: text.malformed(t("raw_perf"), layout_for("performance", 1995)), "plain"),
+    "lines_orig": (lambda t: text.placed(t("raw_orig")), "plain"),
+    "lines_perf": (lambda t: text.placed(t("raw_perf")), "plain"),
+    "bronze_orig": (lambda t: text.bronze(t("lines_orig"), layout_for("origination", 1995), INGESTED_AT), "plain"),
+    "bronze_perf": (lambda t: text.bronze(t("lines_perf"), layout_for("performance", 1995), INGESTED_AT), "plain"),
+    "quarantine_orig": (lambda t: text.malformed(t("lines_orig"), layout_for("origination", 1995)), "plain"),
+    "quarantine_perf": (lambda t: text.malformed(t("lines_perf"), layout_for("performance", 1995)), "plain"),
     "silver_orig": (lambda t: silver.origination(t("bronze_orig")), "lazy"),
     "silver_perf": (lambda t: silver.performance(t("bronze_perf")), "lazy"),
+    "sketch_orig": (lambda t: quality.field_sketches(t("silver_orig")), "plain"),
+    "sketch_perf": (lambda t: quality.field_sketches(t("silver_perf")), "plain"),
     "static": (lambda t: mart.loan_static(t("loans")), "lazy"),
     "mart": (lambda t: mart.loan_month(t("perf"), t("static")), "loan"),
     "analytical": (lambda t: mart.analytical(t("mart"), t("static")), "lazy"),

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,20 +29,40 @@ def shared_root(spark: SparkSession) -> str:
     return _ROOTS[app]
 
 
+#: Folder below which intermediate tables go; a job has one of its own, so that clearing it leaves the tables of others alone.
+_SCOPE: ContextVar[str] = ContextVar("lossloom_cut_scope", default="cut")
+
+
+def _cut_folder(spark: SparkSession, scope: str) -> str:
+    return f"{shared_root(spark)}/lossloom/{spark.sparkContext.applicationId}/{scope}"
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write an intermediate table to the shared folder and read it back."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/lossloom/{spark.sparkContext.applicationId}/cut/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{_cut_folder(spark, _SCOPE.get())}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_cuts(spark: SparkSession) -> None:
-    """Delete the intermediate tables that ``cut_lineage`` wrote for this application; call it when no result still reads them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/lossloom/{spark.sparkContext.applicationId}/cut")
+def clear_cuts(spark: SparkSession, scope: str = "cut") -> None:
+    """Delete the intermediate tables that ``cut_lineage`` wrote in one scope; call it when no result still reads them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_cut_folder(spark, scope))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def own_cuts(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside go to a folder of their own, which is deleted at the end."""
+    scope = f"cut-{uuid.uuid4().hex[:12]}"
+    token = _SCOPE.set(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        clear_cuts(spark, scope)
+
+
 @contextmanager
 def loan_co_location(spark: SparkSession) -> Iterator[None]:
     """While a loan table is written, tables bucketed on the loan serve joins on (loan, date) without a shuffle.

@@ -1,6 +1,6 @@
 """Headerless delimited text: positional columns, width check, safe typing and lineage.
 
-Input is a DataFrame from ``spark.read.text`` over a folder partitioned by ``vintage_year``.
+Input is a DataFrame from ``spark.read.text`` over a folder partitioned by ``vintage_year``, or the ``stored_lines`` of one.
 """
 
 from __future__ import annotations
@@ -36,9 +36,10 @@ def width_report(lines: DataFrame, lay: Layout) -> DataFrame:
 
 def malformed(lines: DataFrame, lay: Layout) -> DataFrame:
     """Rows of the wrong width with their file and row number: the quarantine table. Only these few rows are joined to the block table."""
-    wrong = (_placed(lines).withColumn("observed", F.size(fields(lay))).where(F.col("observed") != len(lay.columns))
+    stored = stored_lines(lines)
+    wrong = (stored.withColumn("observed", F.size(fields(lay))).where(F.col("observed") != len(lay.columns))
              .withColumn("expected", F.lit(len(lay.columns))))
-    return _numbered(wrong, lines)
+    return _numbered(stored, wrong)
 
 
 def reconciliation(lines: DataFrame, rows: DataFrame, quarantine: DataFrame) -> DataFrame:
@@ -62,21 +63,30 @@ def require_width(lines: DataFrame, lay: Layout) -> None:
 MAX_BLOCKS = 1_000_000
 
 
-def _placed(lines: DataFrame) -> DataFrame:
-    """Filled lines with their file, split and a number that rises inside the split."""
+def placed(lines: DataFrame) -> DataFrame:
+    """Filled lines with their file, split and a number that rises inside the split; to be stored before it is numbered."""
     return filled(lines).select(
         "*", F.col("_metadata.file_path").alias("_source_member"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"))
 
 
-def _numbered(placed: DataFrame, lines: DataFrame) -> DataFrame:
-    """Row numbers from the per-split table: its first number and the rows of the splits before it in the file."""
-    per_block = _placed(lines).groupBy("_source_member", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+def stored_lines(lines: DataFrame) -> DataFrame:
+    """``placed`` lines of one scan of the text, written once; lines that were stored before come back as they are.
+
+    Where a file is split follows settings and the cluster of the moment, so a count of one scan says nothing sure about the next one. All
+    that is numbered, typed or quarantined from one stored table shares one division into splits, and the text itself is parsed once.
+    """
+    return lines if {"_block", "_at"} <= set(lines.columns) else cut_lineage(placed(lines), "text-lines")
+
+
+def _numbered(stored: DataFrame, some: DataFrame) -> DataFrame:
+    """Row numbers of some of the stored lines, from the per-split table: its first number and the rows of the splits before it in the file."""
+    per_block = stored.groupBy("_source_member", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_source_member").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     shift = cut_lineage(per_block.select("_source_member", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift")),
                         "text-blocks")
     shift = F.broadcast(shift) if shift.count() <= MAX_BLOCKS else shift
-    return (placed.join(shift, ["_source_member", "_block"])
+    return (some.join(shift, ["_source_member", "_block"])
             .withColumn("_source_row_number", (F.col("_at") + F.col("_shift")).cast("long")).drop("_block", "_at", "_shift"))
 
 
@@ -84,9 +94,10 @@ def with_row_numbers(lines: DataFrame) -> DataFrame:
     """File path and 1-based row number inside the file, without moving the text.
 
     Inside a split the numbers of ``monotonically_increasing_id`` rise by one per line. A table with one row per split, broadcast when it has at
-    most MAX_BLOCKS rows, shifts them to positions in the file.
+    most MAX_BLOCKS rows, shifts them to positions in the file. Lines and table come from the same stored scan.
     """
-    return _numbered(_placed(lines), lines)
+    stored = stored_lines(lines)
+    return _numbered(stored, stored)
 
 
 def safe_types(df: DataFrame, lay: Layout) -> DataFrame:

@@ -33,6 +33,11 @@ def test_text_to_exposure(run, spark):
     bad = job.read("quarantine/performance").count()
     assert bad > 0 and lines.count() == bronze["performance"].count() + bad
     jobs.run_silver_build(job)
+    sketches = {r[0] for r in job.read("silver_sketches/performance").select("_source_year").distinct().collect()}
+    assert sketches == {r[0] for r in job.read("silver/performance").select("_source_year").distinct().collect()}
+    jobs.run_silver_build(job)  # a second run finds every year sketched
+    report = spark.read.option("header", True).csv(f"{job.root}/reports/availability")
+    assert report.where("year IS NULL AND field = 'loan_id' AND dataset = 'origination'").first()["row_count"] == str(job.read("silver/origination").count())
     m = jobs.run_mart_build(job)
     view = mart.analytical(m["loan_month"], m["loan_static"])
     job.write("analytical", view)

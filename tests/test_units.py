@@ -15,9 +15,10 @@ from lossloom.functions.curves import hazard_scale, with_survival
 from lossloom.functions.exprs import with_norm_cdf, with_norm_ppf
 from lossloom.functions.joins import latest_on_or_before
 from lossloom.functions.ranks import exact_quantiles, global_rank, ranking_metrics, running_totals
-from lossloom.operators import development, ead, ecl, lgd, macro, mart, scenario, scorecard, silver, staging, targets
+from lossloom.operators import development, ead, ecl, lgd, macro, mart, quality, scenario, scorecard, silver, staging, targets
 from lossloom.operators.features import REGISTRY, counts_by, features_by_availability, forbid_outcomes
-from lossloom.sources import schemas, sinks, text
+from lossloom.plans import jobs
+from lossloom.sources import schemas, sinks, store, text
 
 CFG = DefaultDefinition(reporting_cutoff=date(2027, 3, 1))
 
@@ -348,3 +349,56 @@ def test_feature_pipeline_matches_the_ml_stages(spark):
         one = [float(g == x) for x in levels]
         assert r["f"] == pytest.approx([((mean if r["x"] is None else r["x"]) - mean) / std, 0.0, *one])
     assert [c for c in pipe.transform(df).columns if c not in df.columns] == ["features"]
+
+
+def test_row_numbers_hold_when_the_split_size_changes(spark, tmp_path):
+    (tmp_path / "vintage_year=2026").mkdir()
+    bad = {7, 1500, 3999}
+    (tmp_path / "vintage_year=2026" / "a.txt").write_text("".join(f"{i}|x{'|y' if i not in bad else ''}\n" for i in range(1, 4001)))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    lay = schemas.layout("t", "v1", (("id", "bigint"), ("a", "string"), ("b", "string")))
+    try:
+        spark.conf.set(key, "9000")
+        lines = spark.read.text(str(tmp_path))
+        rows, wrong = text.with_row_numbers(lines), text.malformed(lines, lay)
+        spark.conf.set(key, "2500")  # the file is split otherwise from here on
+        got = sorted((r._source_row_number, int(r.value.split("|")[0])) for r in rows.collect())
+        assert got == [(i, i) for i in range(1, 4001)]
+        assert sorted(r._source_row_number for r in wrong.collect()) == sorted(bad)
+        stored = text.stored_lines(lines)
+        assert text.stored_lines(stored) is stored and stored.select("_block").distinct().count() > 5
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_field_sketches_merge_over_years(spark):
+    rows = [(2000 + i % 3, i % 500, None, ("", f"c{i % 7}")[i % 4 // 2] if i % 2 else None) for i in range(3000)]
+    df = spark.createDataFrame(rows, "_source_year int, a long, b double, c string").repartition(4)
+    sketches = quality.field_sketches(df)
+    assert sketches.count() == 9 and sketches.where("sketch IS NULL").count() == 0
+    for by_year in (True, False):
+        near = {(r.year, r.field): r for r in quality.merged_availability(sketches, "d", by_year).collect()}
+        exact = {(r.year, r.field): r for r in quality.availability(df, "d", exact=True, by_year=by_year).collect()}
+        assert near.keys() == exact.keys() and len(near) == (9 if by_year else 3)
+        for k, e in exact.items():
+            assert near[k][:6] == e[:6] and abs(near[k].distinct_count - e.distinct_count) <= 0.03 * e.distinct_count
+    plan = quality.availability(df, "d")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("Generate explode") == 1  # rows are not multiplied; only the year totals are laid out by field
+    assert quality.field_sketches(df.limit(0)).count() == 0
+
+
+def test_jobs_clear_their_own_cuts_only(spark, tmp_path):
+    df = spark.range(10)
+    with jobs.Job(spark, f"{tmp_path}/a"):
+        mine = store.cut_lineage(df, "mine")
+        with jobs.Job(spark, f"{tmp_path}/b"):
+            theirs = store.cut_lineage(df, "theirs")
+            assert theirs.count() == 10
+        assert mine.count() == 10
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+            theirs.count()
+    shared = store.cut_lineage(df, "shared")
+    with jobs.Job(spark, f"{tmp_path}/a"):
+        pass
+    assert shared.count() == 10
