@@ -32,9 +32,9 @@ def _matching(left: DataFrame, right: DataFrame, keys: Sequence[str], small: boo
     return left.join(F.broadcast(renamed) if small else renamed, on).drop(*[f"_r_{k}" for k in keys])
 
 
-def _in_ranges(df: DataFrame, groups: Sequence[str], value: str) -> tuple[DataFrame, bool]:
+def in_ranges(df: DataFrame, groups: Sequence[str], value: str, ranges: int | None = None) -> tuple[DataFrame, bool]:
     """Rows with ``_range``, and whether the groups are few enough for broadcasts. One row per group reaches the driver, MAX_GROUPS at most."""
-    n = ranges_of(df)
+    n = ranges or ranges_of(df)
     cuts = df.groupBy(*groups).agg(F.percentile_approx(value, [i / n for i in range(1, n)], 32 * n).alias("_cuts"))
     rows = cuts.limit(MAX_GROUPS + 1).collect()
     small = len(rows) <= MAX_GROUPS
@@ -52,7 +52,7 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: Sequence[str], s
     other. Rows move once, to (groups, range): cut points and offsets have one row per group and per group and range, and are broadcast.
     """
     g = list(groups)
-    placed, small = _in_ranges(df, g, order[0])
+    placed, small = in_ranges(df, g, order[0])
     per_range = placed.groupBy(*g, "_range").agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
     before = Window.partitionBy(*g).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*g)
@@ -119,7 +119,7 @@ def class_sums(df: DataFrame, groups: Sequence[str], order: str, ties: Sequence[
     """
     g = list(groups)
     parts = {**{n: (F.sum, c) for n, c in sums.items()}, **{n: (F.min, c) for n, c in (lows or {}).items()}, **{n: (F.max, c) for n, c in (highs or {}).items()}}
-    placed, small = _in_ranges(df, g, order)
+    placed, small = in_ranges(df, g, order)
     placed = placed.withColumnRenamed("_range", "_span")
     cells = placed.groupBy(*g, "_span").agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(n) for n, (f, c) in parts.items()])
     run = Window.partitionBy(*g).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)

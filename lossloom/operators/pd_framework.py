@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lossloom.config import PDFramework
 from lossloom.functions.curves import hazard_scale, with_survival
 from lossloom.functions.exprs import bucket, clip, count_if, expit, logit, safe_div, wavg
+from lossloom.functions.isotonic import fit_isotonic, interpolated
 from lossloom.functions.ranks import exact_quantiles
 from lossloom.operators import metrics
 from lossloom.operators.metrics import binary_metrics
@@ -27,7 +26,7 @@ class Calibration:
     intercept: float = 0.0
     slope: float = 1.0
     slope_was_clipped: bool = False
-    model: object = None
+    blocks: DataFrame | None = None
 
     def apply(self, df: DataFrame, raw: str = "predicted_pd_raw") -> DataFrame:
         p = clip(raw, 1e-6, 1 - 1e-6)
@@ -36,8 +35,7 @@ class Calibration:
             return df.withColumn(PD, p)
         if self.method == "logistic":
             return df.withColumn(PD, expit(F.lit(self.intercept) + F.lit(self.slope) * logit(p)))
-        assembled = VectorAssembler(inputCols=["pd_raw"], outputCol="_iso").transform(df)
-        return self.model.transform(assembled).drop("_iso")
+        return interpolated(df, "pd_raw", self.blocks, PD)
 
 
 def fit_calibration(scored: DataFrame, cfg: PDFramework, raw: str = "predicted_pd_raw") -> Calibration:
@@ -52,12 +50,10 @@ def fit_calibration(scored: DataFrame, cfg: PDFramework, raw: str = "predicted_p
         return Calibration("logistic", a, max(b, 0.0), b < 0)
     if cfg.calibration != "isotonic":
         raise ValueError(f"unknown calibration: {cfg.calibration}")
-    # One row per distinct score gives the same fit as all rows, so what is pooled grows with the scores and not with the portfolio.
+    # One row per distinct score gives the same fit as all rows.
     w = F.col("sample_weight").cast("double")
-    cells = fit.groupBy("_p").agg((F.sum(w * F.col("target")) / F.sum(w)).alias("_y"), F.sum(w).alias("_w"))
-    data = VectorAssembler(inputCols=["_p"], outputCol="_iso").transform(cells)
-    model = IsotonicRegression(featuresCol="_iso", labelCol="_y", weightCol="_w", predictionCol=PD).fit(data)
-    return Calibration("isotonic", model=model)
+    cells = fit.groupBy(F.col("_p").alias("x")).agg(F.sum(w).alias("w"), F.sum(w * F.col("target")).alias("wy"))
+    return Calibration("isotonic", blocks=fit_isotonic(cells))
 
 
 def calibration_error(df: DataFrame, groups: Sequence[str], pd: str, bins: int = 10) -> DataFrame:
