@@ -6,6 +6,8 @@ wrote by name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import replace
 from functools import reduce
 
@@ -17,7 +19,7 @@ from lossloom.operators import (development, ead, ecl, lgd, lgd_overlay, macro,
                                 staging, targets)
 from lossloom.operators.features import features_for
 from lossloom.operators.ml_pipeline import with_prediction
-from lossloom.sources import sinks, text
+from lossloom.sources import sinks, text, vintages
 from lossloom.sources.schemas import layout_for
 from lossloom.sources.store import own_cuts
 
@@ -40,12 +42,25 @@ class Job:
         self._cuts.__exit__(*error)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        path = f"{self.root}/{name}"
+        return vintages.open_loan_table(self.spark, path) if vintages.is_loan_table(self.spark, path) else self.spark.read.parquet(path)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.read(name)
 
+    def write_loans(self, name: str, df: DataFrame, years: list[int] | None = None) -> DataFrame:
+        """A table by vintage and loan; with ``years`` only their folders are replaced."""
+        return vintages.write_loan_table(df, f"{self.root}/{name}", years)
+
+    @contextmanager
+    def stale(self, stage: str, sources: dict[str, str], settings: object, changed_only: bool, skipped: set[int] = frozenset()) -> Iterator[vintages.Changes]:
+        """What a stage has to rebuild, by the files of its sources; all but ``skipped`` counts as built when the block ends without an error."""
+        state = f"{self.root}/vintage_state/{stage}"
+        found = vintages.changes(self.spark, {f"{self.root}/{p}": c for p, c in sources.items()}, state, repr(settings))
+        yield found if changed_only else replace(found, changed=tuple(v for v, _ in found.stamps if v not in skipped))
+        vintages.remember(self.spark, found, state, skipped)
+
     def report(self, name: str, df: DataFrame) -> DataFrame:
         sinks.write_report(df, f"{self.root}/reports/{name}")
         return df
@@ -81,31 +96,59 @@ def run_ingestion(job: Job, text_root: str, ingested_at: str, force: bool = Fals
     return out
 
 
-def _sketches(job: Job, dataset: str, table: DataFrame, force: bool) -> DataFrame:
-    """Field sketches by year; only years without any are read, all of them with ``force``."""
+def _sketches(job: Job, dataset: str, table: DataFrame, force: bool, found: vintages.Changes | None) -> DataFrame:
+    """Field sketches by year; only years without any, or those that changed, are read, all of them with ``force``."""
     path = f"{job.root}/silver_sketches/{dataset}"
-    have = [] if force else [r[0] for r in sinks.existing_years(job.spark, path, "_source_year").collect()]  # one value per partition folder
-    fresh = table.where(~F.col("_source_year").isin(have)) if have else table
+    have = set() if force else {r[0] for r in sinks.existing_years(job.spark, path, "_source_year").collect()}  # one value per partition folder
+    if found is not None:
+        vintages.drop_vintages(job.spark, path, found.gone, "_source_year")
+        have -= set(found.changed)
+    fresh = table.where(~F.col("_source_year").isin(list(have))) if have else table
     sinks.write_partitions(quality.field_sketches(fresh), path, "_source_year", True)
     return job.read(f"silver_sketches/{dataset}")
 
 
-def run_silver_build(job: Job, force: bool = False) -> Tables:
-    for dataset, clean in (("origination", silver.origination), ("performance", silver.performance)):
-        sinks.write_partitions(clean(job.read(f"bronze/{dataset}")), f"{job.root}/silver/{dataset}", "_source_year", force)
+def run_silver_build(job: Job, force: bool = False, changed_only: bool = False) -> Tables:
+    """Missing years, with ``force`` all, or with ``changed_only`` those whose Bronze files changed since this job last built them."""
+    folders = {d: (f"{job.root}/bronze/{d}", f"{job.root}/silver/{d}") for d in ("origination", "performance")}
+    kept = set()
+    if not (force or changed_only):
+        kept = {y for _, path in folders.values() if vintages.exists(job.spark, path) for y in sinks.partition_years(job.spark, path, "_source_year")}
+    with job.stale("silver", {"bronze/origination": "_source_year", "bronze/performance": "_source_year"}, None, changed_only, kept) as found:
+        for dataset, clean in (("origination", silver.origination), ("performance", silver.performance)):
+            bronze, path = job.read(f"bronze/{dataset}"), folders[dataset][1]
+            if changed_only:
+                sinks.write_partitions(clean(bronze.where(F.col("_source_year").isin(list(found.changed)))), path, "_source_year", True)
+                held = sinks.partition_years(job.spark, folders[dataset][0], "_source_year")
+                vintages.drop_vintages(job.spark, path, {*found.gone, *found.changed} - set(held), "_source_year")
+            else:
+                sinks.write_partitions(clean(bronze), path, "_source_year", force)
     o, p = job.read("silver/origination"), job.read("silver/performance")
     for name, df in (("origination_checks", quality.origination_checks(o)), ("performance_checks", quality.performance_checks(p)),
                      ("temporal_gaps", quality.temporal_gaps(p)), ("silver_summary", quality.silver_summary(o, p)),
                      ("without_performance", quality.without_performance(o, p))):
         job.report(name, df)
-    sketches = {d: _sketches(job, d, x, force) for d, x in (("origination", o), ("performance", p))}
+    sketches = {d: _sketches(job, d, x, force, found if changed_only else None) for d, x in (("origination", o), ("performance", p))}
     job.report("availability", reduce(DataFrame.unionByName, [quality.merged_availability(s, d, by_year) for d, s in sketches.items() for by_year in (True, False)]))
     return {"origination": o, "performance": p}
 
 
-def run_mart_build(job: Job) -> Tables:
-    static = job.write("loan_static", mart.loan_static(job.read("silver/origination")))
-    month = job.write("loan_month", mart.loan_month(job.read("silver/performance"), static))
+def run_mart_build(job: Job, changed_only: bool = False) -> Tables:
+    """Static and monthly loan tables; with ``changed_only`` for the vintages whose Silver files changed and those that share a loan with them."""
+    with job.stale("mart", {"silver/origination": "_source_year", "silver/performance": "_source_year"}, None, changed_only) as found:
+        o, p = job.read("silver/origination"), job.read("silver/performance")
+        loans = p.select("loan_id", F.col("_source_year").alias(vintages.VINTAGE))
+        years = touched = None
+        if changed_only and vintages.is_loan_table(job.spark, f"{job.root}/loan_index"):
+            touched = sorted({*found.changed, *found.gone})
+            loans = loans.where(F.col(vintages.VINTAGE).isin(touched))
+            # Ties of the former delivery count as well: a loan that left a vintage changes its rows in the others.
+            years = vintages.closed_over_loans(job.read("loan_index").unionByName(loans), touched)
+            o, p = (x.where(F.col("_source_year").isin(years)) for x in (o, p))
+        static = job.write_loans("loan_static", mart.loan_static(o), years)
+        job.write_loans("loan_month", mart.loan_month(p, static if years is None else static.where(F.col(vintages.VINTAGE).isin(years))), years)
+        job.write_loans("loan_index", loans.distinct(), touched)
+    static, month = job.read("loan_static"), job.read("loan_month")
     for name, df in (("loan_month_profile", mart.vintage_profile(month)), ("feature_population", mart.feature_population(month)),
                      ("feature_distribution", mart.feature_distribution(month)),
                      ("mart_validation", mart.validation(static, month, mart.analytical(month, static)))):
@@ -113,15 +156,27 @@ def run_mart_build(job: Job) -> Tables:
     return {"loan_static": static, "loan_month": month}
 
 
-def run_target_build(job: Job) -> Tables:
-    state = targets.row_state(job.read("loan_month"), job.cfg.default)
-    tg = job.write("pd_12m_targets", targets.targets(state, job.cfg.default))
-    ev = job.write("default_events", targets.default_events(state, job.cfg.default))
+def run_target_build(job: Job, changed_only: bool = False) -> Tables:
+    """Labels and default episodes; with ``changed_only`` for the vintages of the monthly table that were rebuilt, all when the definition changed."""
+    with job.stale("targets", {"loan_month": vintages.VINTAGE}, job.cfg.default, changed_only) as found:
+        month, years = job.read("loan_month"), None
+        if changed_only and vintages.is_loan_table(job.spark, f"{job.root}/default_events"):
+            years = sorted({*found.changed, *found.gone})  # the monthly table is already closed over shared loans
+            month = month.where(F.col(vintages.VINTAGE).isin(years))
+        state = targets.row_state(month, job.cfg.default)
+        tg = job.write_loans("pd_12m_targets", targets.targets(state, job.cfg.default), years)
+        ev = job.write_loans("default_events", targets.default_events(state, job.cfg.default), years)
     job.report("default_summary", targets.default_summary(tg, ev))
     job.report("target_observability", targets.observability(tg))
     return {"pd_12m_targets": tg, "default_events": ev}
 
 
+def run_vintage_update(job: Job) -> Tables:
+    """Silver, mart and targets after a delivery: only changed vintages are read and rewritten, with the same result as a full build."""
+    run_silver_build(job, changed_only=True)
+    return run_mart_build(job, changed_only=True) | run_target_build(job, changed_only=True)
+
+
 def run_development_sample_build(job: Job) -> Tables:
     dev = job.write("development", development.sample(job.read("pd_12m_targets"), job.cfg.development))
     job.report("split_profile", development.split_profile(dev))
