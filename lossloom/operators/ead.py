@@ -129,10 +129,21 @@ def baselines(obs: DataFrame) -> DataFrame:
             F.coalesce("months_to_default", F.lit(0)))})
 
 
+PROFILE_TERMS = ("vintage_year", "as_of_date", "current_actual_upb", "current_interest_rate", "remaining_months_to_maturity", "months_to_horizon")
+
+
+def latest_open(obs: DataFrame) -> DataFrame:
+    """Latest open row of each loan, with all its columns."""
+    return obs.where("current_actual_upb > 0").groupBy("loan_id").agg(F.max_by(F.struct(*[c for c in obs.columns if c != "loan_id"]), "as_of_date").alias("x")).select("loan_id", "x.*")
+
+
+def profile_terms(latest: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    return latest.select("loan_id", *PROFILE_TERMS, *extra)
+
+
 def profile_base(obs: DataFrame) -> DataFrame:
-    """Latest open row of each loan."""
-    cols = ("vintage_year", "as_of_date", "current_actual_upb", "current_interest_rate", "remaining_months_to_maturity", "months_to_horizon")
-    return obs.where("current_actual_upb > 0").groupBy("loan_id").agg(F.max_by(F.struct(*cols), "as_of_date").alias("x")).select("loan_id", "x.*")
+    """Latest open row of each loan, as far as the profiles need it."""
+    return latest_open(obs.select("loan_id", *PROFILE_TERMS))
 
 
 def profiles(base: DataFrame, ratio: Column, cfg: EAD) -> DataFrame:

@@ -6,12 +6,12 @@ wrote by name.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossloom.config import Settings
@@ -184,16 +184,16 @@ def run_development_sample_build(job: Job) -> Tables:
     return {"development": dev}
 
 
-def run_scorecard(job: Job) -> Tables:
-    """Bins and coefficients from TRAIN, scores for all splits."""
+def run_scorecard(job: Job, categories: Sequence[str] = ()) -> Tables:
+    """Bins and coefficients from TRAIN, scores for all splits. ``categories`` are binned by value beside the numeric features of the use."""
     use = "application_scoring" if job.cfg.development.population == "application" else "behavioural_scoring"
     features = features_for(use)
     view = mart.analytical(job.read("loan_month"), job.read("loan_static"))
-    frame = job.write("model_frame", scorecard.model_frame(job.read("development"), view, features))
+    frame = job.write("model_frame", scorecard.model_frame(job.read("development"), view, [*features, *categories]))
     train = frame.where("split = 'TRAIN'")
-    bins = scorecard.fit_bins(train, features, (), job.cfg.scorecard)
+    bins = scorecard.fit_bins(train, features, categories, job.cfg.scorecard)
     woe = scorecard.transform(frame, bins)
-    names = [f"{f}_woe" for f in features]
+    names = [f"{f}_woe" for f in (*features, *categories)]
     a, b = scorecard.fit_logistic(woe.where("split = 'TRAIN'"), names, "target", "sample_weight")
     scored = scorecard.score_rows(woe, a, dict(zip(names, b)), job.cfg.scorecard)
     scored = job.write("scored_rows", scorecard.with_bands(scored, job.cfg.scorecard))
@@ -207,6 +207,11 @@ def run_scorecard(job: Job) -> Tables:
     return {"scored_rows": scored}
 
 
+def compare_scorecards(runs: dict[str, Job]) -> DataFrame:
+    """Accuracy of the stored scores of several run folders, by run and split."""
+    return metrics.compare_runs({name: metrics.binary_metrics(job.read("scored_rows"), ["split"], "predicted_pd_raw") for name, job in runs.items()})
+
+
 def run_pd_framework(job: Job) -> Tables:
     scored = job.read("scored_rows")
     calibrated = job.write("calibrated", pd_framework.fit_calibration(scored, job.cfg.pd).apply(scored))
@@ -231,12 +236,23 @@ def run_forward_looking(job: Job, series: DataFrame, cfg: macro.MacroConfig) ->
     table = job.write("macro", macro.aligned(macro.quarterly(series, cfg.series), names, cfg.start))
     ttc = job.read("portfolio_ttc").select(F.col("portfolio_ttc_pd").alias("ttc_pd"))
     history = macro.historical_default_rate(job.read("pd_predictions")).crossJoin(ttc)  # one-row right side
-    rho = macro.selected_rho(macro.rho_grid(history, cfg))
+    grid = job.write("rho_grid", macro.rho_grid(history, cfg))
+    rho = macro.selected_rho(grid)
     frame = macro.model_frame(history, table, rho, cfg.epsilon)
     factor, satellite = macro.fit_factor_model(frame), macro.fit_satellite(frame, cfg.ridge_strength)
-    spd = job.write("scenario_pd", simulate_macro_scenario(table, job.read("rating_ttc"), factor, satellite, rho, cfg))
+    fits = job.write("macro_fits", macro.with_fits(frame, factor, satellite, F.col("ttc_pd"), rho))
+    models = [(m, f, b) for m, x in (("factor", factor), ("satellite", satellite)) for f, b in (("INTERCEPT", x.intercept), *x.coefs.items())]
+    implied = macro.with_systematic_factor(history, "systematic_factor", "observed_default_rate", "ttc_pd", F.lit(rho), cfg.epsilon)
+    with_factor = job.write("macro_with_factor", table.join(implied.select("date", "systematic_factor"), "date", "left"))
+    factors = job.write("scenario_factors", macro.scenario_factors(macro.scenario_paths(table, cfg), factor, satellite))
+    spd = job.write("scenario_pd", macro.scenario_pd(job.read("rating_ttc"), factors, rho))
     curves = job.write("scenario_curves", macro.scenario_lifetime(job.read("lifetime_curves"), spd))
-    return {"macro": table, "scenario_pd": spd, "scenario_curves": curves}
+    weighted = job.write("weighted_curves", macro.weighted_lifetime(curves))
+    job.reports({"macro_models": job.spark.createDataFrame(models, "model string, feature string, coefficient double"), "macro_diagnostics": macro.diagnostics(fits),
+                 "macro_backtest": macro.backtest(fits), "macro_backtest_stress": macro.backtest(macro.stress_slice(fits, cfg)), "weighted_pd": macro.weighted_pd(spd),
+                 "macro_inflation": job.spark.createDataFrame([(f, float(v)) for f, v in macro.variance_inflation(frame).items()], "feature string, vif double")})
+    return {"macro": table, "rho_grid": grid, "macro_fits": fits, "macro_with_factor": with_factor, "scenario_factors": factors, "scenario_pd": spd,
+            "scenario_curves": curves, "weighted_curves": weighted}
 
 
 def simulate_macro_scenario(table: DataFrame, rating_ttc: DataFrame, factor: macro.LinearModel, satellite: macro.LinearModel, rho: float,
@@ -276,17 +292,37 @@ def run_lgd_framework(job: Job) -> Tables:
     job.reports({"lgd_cure_candidates": cure_p_table, "lgd_severity_candidates": sev_table, "lgd_cure_lgd_candidates": cure_table, "lgd_model_metrics": lgd.model_metrics(out),
                  "lgd_backtest_splits": lgd.backtest_splits(out), "lgd_decomposition": lgd.decomposition(out), "lgd_recovery_timing": lgd.recovery_timing(out),
                  "lgd_resolutions": lgd.resolution_distribution(out), "lgd_loss_reconciliation": lgd.actual_loss_reconciliation(out),
+                 "lgd_numeric_drift": lgd.numeric_drift(out, lgd.NUMERIC), "lgd_categorical_drift": lgd.categorical_drift(out, lgd.CATEGORICAL),
+                 "lgd_segmentation": lgd.segmentation(out, lgd.CATEGORICAL), "lgd_cure_ltv_audit": lgd.cure_ltv_audit(out), "lgd_cashflows": lgd.cashflow_summary(out),
                  "lgd_component_audit": lgd.component_audit(out), "lgd_distribution": lgd.distribution(out), "lgd_population": lgd.population_summary(out)})
     return {"lgd_episodes": out, "lgd_selection": ranks}
 
 
-def run_lgd_forward_looking(job: Job, macro_with_factor: DataFrame, cfg: lgd_overlay.OverlayConfig) -> Tables:
-    eps = job.read("lgd_episodes").where("resolved_flag")
-    o = lgd_overlay.overlay(lgd_overlay.fit(lgd_overlay.regimes(eps, macro_with_factor, cfg)))
-    return {"lgd_forward": job.write("lgd_forward", lgd_overlay.apply_overlay(eps, macro_with_factor, o, cfg))}
+def run_lgd_forward_looking(job: Job, cfg: lgd_overlay.OverlayConfig, cure_lgd: Column | None = None) -> Tables:
+    """Overlay on resolved episodes, scenario and weighted LGD by rating, shift grid and backtests, from the tables of ``run_forward_looking``.
 
+    With ``cure_lgd``, a column over stressed_ltv, the scenario LGD with restated loan-to-value is written as well.
+    """
+    eps, paths = job.read("lgd_episodes").where("resolved_flag"), job.read("scenario_factors")
+    with_factor = job.read("macro_with_factor")
+    history = job.write("lgd_regimes", lgd_overlay.regimes(eps, with_factor, cfg))
+    o = lgd_overlay.overlay(job.write("lgd_overlay_fit", lgd_overlay.fit(history)))
+    forward = job.write("lgd_forward", lgd_overlay.apply_overlay(eps, with_factor, o, cfg))
+    base = job.write("lgd_rating_base", lgd_overlay.rating_base(eps))
+    by_scenario = job.write("lgd_scenario", lgd_overlay.scenario_lgd(base, paths, o.multiplier(cfg)))
+    out = {"lgd_forward": forward, "lgd_scenario": by_scenario, "lgd_weighted": job.write("lgd_weighted", lgd_overlay.weighted(by_scenario))}
+    if cure_lgd is not None:
+        out["lgd_stressed_ltv"] = job.write("lgd_stressed_ltv", lgd_overlay.stressed_ltv_lgd(eps, paths, cure_lgd))
+    job.reports({"lgd_sensitivity": lgd_overlay.sensitivity(eps, base, paths, o, cfg), "lgd_relationships": lgd_overlay.relationships(history),
+                 "lgd_forward_backtest": lgd_overlay.backtest(forward, ["split"]), "lgd_forward_backtest_rating": lgd_overlay.backtest(forward, ["split", "rating_at_default"]),
+                 "lgd_cure_diagnostics": lgd_overlay.cure_diagnostics(forward), "lgd_scenario_order": lgd_overlay.ordering(by_scenario)})
+    return out
 
-def simulate_lgd_scenario(eps: DataFrame, paths: DataFrame, o: lgd_overlay.Overlay, cfg: lgd_overlay.OverlayConfig) -> DataFrame:
+
+def simulate_lgd_scenario(eps: DataFrame, paths: DataFrame, o: lgd_overlay.Overlay, cfg: lgd_overlay.OverlayConfig, cure_lgd: Column | None = None) -> DataFrame:
+    """Weighted LGD on other paths: by the overlay, or with ``cure_lgd`` (a column over stressed_ltv) by restated loan-to-value."""
+    if cure_lgd is not None:
+        return lgd_overlay.weighted(lgd_overlay.stressed_ltv_lgd(eps, paths, cure_lgd))
     return lgd_overlay.weighted(lgd_overlay.scenario_lgd(lgd_overlay.rating_base(eps), paths, o.multiplier(cfg)))
 
 
@@ -295,12 +331,26 @@ def run_ead_framework(job: Job) -> Tables:
     obs = ead.observations(view, job.read("pd_12m_targets"), job.read("default_events"), job.cfg.ead)
     obs = job.write("ead_observations", ead.baselines(ead.with_targets(ead.with_rating(obs, job.read("pd_predictions")), job.cfg.ead)))
     pipe, model = ead.fit_ratio_model(obs)
+
+    def ratio_at(df: DataFrame, name: str, months: Column) -> DataFrame:
+        """The model's ratio with another horizon; all other predictors as they are."""
+        moved = df.withColumnRenamed("months_to_horizon", "_kept").withColumn("months_to_horizon", months)
+        done = with_prediction(model, pipe.transform(moved), name).drop("features", "months_to_horizon")
+        return done.withColumnRenamed("_kept", "months_to_horizon")
+
     scored = ead.with_ratio(with_prediction(model, pipe.transform(obs), "_ratio"), F.col("_ratio"), job.cfg.ead)
     scored = job.write("ead_scored", scored.drop("features", "_ratio"))
+    # The model is linear in the horizon, so two of its values give the ratio of every month.
+    latest = ead.latest_open(obs)
+    latest = ratio_at(ratio_at(latest, "ratio_at_start", F.lit(0.0)), "_next", F.lit(1.0))
+    base = job.write("ead_profile_base", ead.profile_terms(latest.withColumn("ratio_per_month", F.col("_next") - F.col("ratio_at_start")), ("ratio_at_start", "ratio_per_month")))
+    ratio = F.col("ratio_at_start") + F.col("ratio_per_month") * F.col("months_to_horizon")
+    profiles = job.write("ead_profiles", ead.profiles(base, ratio, job.cfg.ead))
     job.reports({"ead_backtest_splits": ead.backtest_splits(scored, job.cfg.ead), "ead_backtest_segments": ead.backtest_segments(scored, job.cfg.ead),
                  "ead_ratio_distribution": ead.ratio_distribution(scored), "ead_population": ead.population_summary(scored),
-                 "ead_target_reconciliation": ead.target_reconciliation(scored)})
-    return {"ead_scored": scored}
+                 "ead_target_reconciliation": ead.target_reconciliation(scored), "ead_profile_validation": ead.profile_validation(profiles),
+                 "ead_mean_profile": ead.mean_profile(base, ratio, job.cfg.ead, ("ratio_at_start", "ratio_per_month"))})
+    return {"ead_scored": scored, "ead_profiles": profiles}
 
 
 def run_staging(job: Job) -> Tables:
@@ -328,7 +378,8 @@ def run_ecl(job: Job) -> Tables:
     out = job.write("ecl", simulate_ecl(job))
     for k in ("stage", "rating", "vintage_year", "property_state"):
         job.report(f"ecl_by_{k}", ecl.summary(out, [k]))
-    job.report("downturn_sensitivity", ecl.downturn_sensitivity(out))
+    job.reports({"downturn_sensitivity": ecl.downturn_sensitivity(out), "ecl_scenarios": ecl.scenario_summary(out), "ecl_reconciliation": ecl.reconciliation(out),
+                 "ecl_explainability": ecl.explainability(out), "ecl_alignment_warnings": ecl.alignment_warnings(out, job.cfg.ecl), "ecl_kpis": ecl.kpis(out)})
     return {"ecl": out}
 
 
