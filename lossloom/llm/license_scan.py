@@ -80,6 +80,8 @@ DEMANDS = {
 MIN_MATCH = 4
 MAX_GAP = 10
 COVERED = 0.6
+#: Words per block under which chains are looked up; any size gives the same result.
+BLOCK = 256
 
 
 class SuffixAutomaton:
@@ -207,22 +209,40 @@ class Scanner:
             return all(any(f" {p} ".encode() in text for p in group) for group in DEMANDS.get(label, ()))
 
         good: list[tuple[str, int, int, float]] = []
-        beaten = lambda s: any(g[0] != s[0] and 2 * (min(g[2], s[2]) - max(g[1], s[1])) > min(g[2] - g[1], s[2] - s[1]) for g in good)
+        near: dict[int, list[tuple[str, int, int, float]]] = {}  # good chains by the blocks of words they touch
+
+        def blocks(s: tuple[str, int, int, float]) -> range:
+            return range(s[1] // BLOCK, (s[2] - 1) // BLOCK + 1)
+
+        def beaten(s: tuple[str, int, int, float]) -> bool:
+            return any(g[0] != s[0] and 2 * (min(g[2], s[2]) - max(g[1], s[1])) > min(g[2] - g[1], s[2] - s[1]) for b in blocks(s) for g in near.get(b, ()))
+
         for s in sorted(spans, key=lambda s: (-s[3], s[1] - s[2], s)):
-            if s[3] >= self.covered and told(*s[:3]) and not beaten(s):
+            if s[3] >= self.covered and not beaten(s) and told(*s[:3]):
                 good.append(s)
+                for b in blocks(s):
+                    near.setdefault(b, []).append(s)
         return good, [s for s in spans if not beaten(s)]
 
     def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Chain matches that lie in order on text and template with at most ``max_gap`` words between them on either side."""
         open_: dict[int, list[list[int]]] = {}
+        done: list[tuple[str, int, int, float]] = []
+
+        def closed(k: int, chains: list[list[int]]) -> None:
+            done.extend((self.labels[k], c[0], c[1], min(1.0, c[3] / self.sizes[k])) for c in chains)
+
         for end, state, length in matches:
             for k, t_end in self.sam.ends[state]:
                 if k < self.n_base or t_end < length:
                     continue
                 start, t_start = end - length, t_end - length
-                best = None
-                for chain in open_.get(k, []):
+                best, chains = None, open_.get(k, [])
+                # The starts of matches never fall, so a chain that ends too far back takes no later match either.
+                if any(start - c[1] > self.max_gap for c in chains):
+                    closed(k, [c for c in chains if start - c[1] > self.max_gap])
+                    chains = open_[k] = [c for c in chains if start - c[1] <= self.max_gap]
+                for chain in chains:
                     gap, t_gap = start - chain[1], t_start - chain[2]
                     if -length < gap <= self.max_gap and -length < t_gap <= self.max_gap and (best is None or chain[3] > best[3]):
                         best = chain
@@ -231,7 +251,9 @@ class Scanner:
                 else:
                     best[3] += min(length, end - best[1], t_end - best[2]) if end > best[1] and t_end > best[2] else 0
                     best[1], best[2] = max(best[1], end), max(best[2], t_end)
-        return sorted((self.labels[k], c[0], c[1], min(1.0, c[3] / self.sizes[k])) for k, chains in open_.items() for c in chains)
+        for k, chains in open_.items():
+            closed(k, chains)
+        return sorted(done)
 
 
 @lru_cache(maxsize=4)

@@ -86,3 +86,25 @@ def test_near_identical_notices_get_their_own_labels(docs):
     assert got == {n: {n} for n in names}
     version_2 = notice.replace(" as published", " version 2 as published").replace("; either version {} of the License, or (at your option) any later version", "").format("program", "")
     assert L.scanner().scan(version_2.encode())[5] == "gpl,gpl-2.0"
+
+
+def test_many_notices_in_one_text_are_found_like_one():
+    notice = max((t for t, _ in L.TEMPLATES), key=len) + " "
+    between = " ".join(f"zebra{i}" for i in range(L.MAX_GAP + 5)) + " "
+    scanner = L.scanner()
+    one = scanner.scan((notice + between).encode())
+    n = 150
+    many = scanner.scan(((notice + between) * n).encode())
+    assert one[7] and many[0] == n * one[0] and many[1] == n * one[1] and many[5] == one[5] and many[6] == one[6]
+    assert many[7] == sorted((s[0], s[1] + i * one[0], s[2] + i * one[0], s[3]) for s in one[7] for i in range(n))
+
+
+def test_results_do_not_depend_on_the_block_size(monkeypatch):
+    rng = random.Random(9)
+    parts = [t for t, _ in L.TEMPLATES] + ["some words of our own that no licence holds"]
+    texts = [" ".join(rng.choice(parts) for _ in range(12)).encode() for _ in range(6)]
+    found = {}
+    for block in (1, 7, 256, 10**9):
+        monkeypatch.setattr(L, "BLOCK", block)
+        found[block] = [L.scanner().scan(t) for t in texts]
+    assert all(v == found[10**9] for v in found.values())
