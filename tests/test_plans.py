@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime
+
+import pytest
+from pyspark.sql import functions as F
 
 from lossloom.config import PDFramework
 from lossloom.operators import pd_framework
+from lossloom.sources import panel, store
 
 
 def plan_of(df) -> str:
@@ -27,3 +31,44 @@ def test_loan_months_are_not_broadcast_for_hazards(spark):
     got = {(r["rating"], r["month"]): r["conditional_pd"] for r in hazards.collect()}
     # Each rating holds two loans, one of which defaults; month m is reached by the rows that wait m months or more.
     assert got == {(g, m): (1 + s) / (2 * (13 - m) + 2 * s) for g in ("R1", "R2") for m in range(1, 13)}
+
+
+@pytest.fixture
+def partitions(spark):
+    """Sets the session's shuffle partitions and puts the old number back."""
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    yield lambda n=None: int(spark.conf.get(key)) if n is None else spark.conf.set(key, str(n))
+    spark.conf.set(key, before)
+
+
+def tables(spark, root, loans: int) -> str:
+    days = [datetime(1995, 1, 5), datetime(1995, 8, 9), datetime(1996, 2, 3)]
+    orders = [(10 * k + i, k, "P", 1.0, d, "1-URGENT") for k in range(loans) for i, d in enumerate(days)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, "
+                                  "o_orderpriority string").write.parquet(f"{root}/orders.parquet")
+    spark.createDataFrame([(k, 1, 5.0, "AUTO") for k in range(loans)],
+                          "c_custkey long, c_nationkey long, c_acctbal double, c_mktsegment string").write.parquet(f"{root}/customer.parquet")
+    spark.createDataFrame([(1, "PERU")], "n_nationkey long, n_name string").write.parquet(f"{root}/nation.parquet")
+    return str(root)
+
+
+def test_the_panel_is_dealt_to_all_partitions(spark, partitions, tmp_path):
+    root = tables(spark, tmp_path, 40)
+    partitions(16)
+    perf = panel.performance(spark, root, panel.loans(spark, root))
+    per_task = [r["count"] for r in perf.groupBy(F.spark_partition_id().alias("p"), "loan_id").count().groupBy("p").count().collect()]
+    assert len(per_task) > 8 and max(per_task) < 10
+
+
+def test_partitions_follow_the_orders(spark, partitions, tmp_path, monkeypatch):
+    root = tables(spark, tmp_path, 40)
+    partitions(2)
+    store.stages_for(spark, root)
+    assert partitions() == 2
+    monkeypatch.setattr(store, "ORDERS_PER_PARTITION", 10)
+    store.stages_for(spark, root)
+    assert partitions() == 12
+    partitions(20)
+    store.stages_for(spark, root)
+    assert partitions() == 20
