@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lossloom.config import PDFramework
 from lossloom.operators import pd_framework
-from lossloom.sources import panel, store
+from lossloom.sources import panel, schemas, store, text
 
 
 def plan_of(df) -> str:
@@ -72,3 +72,12 @@ def test_partitions_follow_the_orders(spark, partitions, tmp_path, monkeypatch):
     partitions(20)
     store.stages_for(spark, root)
     assert partitions() == 20
+
+
+def test_empty_fields_are_not_parsed(spark):
+    lay = schemas.Layout("t", "v1", (("a", "double"), ("b", "long"), ("c", "string")))
+    rows = [("", "", ""), (" 7 ", "7", "7"), ("n/a", " ", "x"), (None, None, None)]
+    stored = spark.createDataFrame(rows, "a string, b string, c string").repartition(1)  # not evaluated while planning
+    typed = text.safe_types(stored, lay)
+    assert {tuple(r) for r in typed.collect()} == {(None, None, ""), (7.0, 7, "7"), (None, None, "x"), (None, None, None)}
+    assert plan_of(typed).count("null else try_cast") >= 2
