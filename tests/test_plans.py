@@ -7,8 +7,8 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lossloom.config import PDFramework
-from lossloom.operators import pd_framework
+from lossloom.config import ECL, LGD, PDFramework
+from lossloom.operators import ecl, lgd, mart, pd_framework, staging
 from lossloom.sources import panel, schemas, store, text
 
 
@@ -33,6 +33,38 @@ def test_loan_months_are_not_broadcast_for_hazards(spark):
     assert got == {(g, m): (1 + s) / (2 * (13 - m) + 2 * s) for g in ("R1", "R2") for m in range(1, 13)}
 
 
+def looks_small(spark, columns):
+    """Two rows of the named columns whose size Spark knows, as it does of a table's files."""
+    def value(c):
+        if c.endswith(("date", "month")):
+            return F.expr("date_add(date'2000-01-01', cast(id as int))")
+        return F.col("id") == 1 if c.endswith(("flag", "event", "default", "_to_date")) else F.col("id").cast("string") if "code" in c or "rating" in c else F.col("id")
+
+    return spark.range(2).select(*[value(c).alias(c) for c in dict.fromkeys(columns.split() if isinstance(columns, str) else columns)])
+
+
+JOINS = {
+    "staging": lambda d: staging.staging_base(
+        d("loan_id as_of_date pd_calibrated_12m rating"), d(staging.MONTH), d("loan_id vintage_year origination_date"), d("loan_id as_of_date default_flag"),
+        d("loan_id default_episode_id default_entry_date cure_date default_reason")),
+    "episodes": lambda d: lgd.first_terminal(lgd.episode_base(
+        d("loan_id vintage_year default_episode_id default_entry_date cure_date default_reason default_due_to_delinquency default_due_to_credit_event redefault_flag"),
+        d(["loan_id", "as_of_date", "current_actual_upb", "current_upb_lag_1", *lgd.AT_DEFAULT]), d(["loan_id", "vintage_year", *lgd.STATIC])),
+        d(["loan_id", "as_of_date", "zero_balance_code", *lgd.TERMINAL]), LGD()),
+    "book": lambda d: ecl.population(
+        d("loan_id as_of_date vintage_year ead_current rating_current"),
+        d("loan_id as_of_date current_actual_upb current_interest_rate remaining_months_to_maturity_source months_to_contractual_maturity"),
+        d("loan_id vintage_year property_state"), ECL()),
+    "months": lambda d: mart.analytical(d("loan_id vintage_year as_of_date"), d("loan_id vintage_year origination_date")),
+}
+
+
+@pytest.mark.parametrize("name", JOINS)
+def test_loan_tables_are_not_broadcast(spark, name):
+    plan = plan_of(JOINS[name](lambda columns: looks_small(spark, columns)))
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.fixture
 def partitions(spark):
     """Sets the session's shuffle partitions and puts the old number back."""
