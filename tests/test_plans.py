@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lossloom.config import ECL, LGD, PDFramework
+from lossloom.functions import joins
 from lossloom.operators import ecl, lgd, mart, pd_framework, staging
 from lossloom.sources import panel, schemas, store, text
 
@@ -33,14 +34,14 @@ def test_loan_months_are_not_broadcast_for_hazards(spark):
     assert got == {(g, m): (1 + s) / (2 * (13 - m) + 2 * s) for g in ("R1", "R2") for m in range(1, 13)}
 
 
-def looks_small(spark, columns):
-    """Two rows of the named columns whose size Spark knows, as it does of a table's files."""
+def looks_small(spark, columns, rows=2):
+    """Rows of the named columns whose size Spark knows, as it does of a table's files."""
     def value(c):
         if c.endswith(("date", "month")):
             return F.expr("date_add(date'2000-01-01', cast(id as int))")
         return F.col("id") == 1 if c.endswith(("flag", "event", "default", "_to_date")) else F.col("id").cast("string") if "code" in c or "rating" in c else F.col("id")
 
-    return spark.range(2).select(*[value(c).alias(c) for c in dict.fromkeys(columns.split() if isinstance(columns, str) else columns)])
+    return spark.range(rows).select(*[value(c).alias(c) for c in dict.fromkeys(columns.split() if isinstance(columns, str) else columns)])
 
 
 JOINS = {
@@ -93,6 +94,16 @@ def test_the_panel_is_dealt_to_all_partitions(spark, partitions, tmp_path):
     assert len(per_task) > 8 and max(per_task) < 10
 
 
+@pytest.mark.parametrize("build", [
+    JOINS["staging"],
+    lambda d: joins.latest_on_or_before(d("loan_id as_of_date"), d("loan_id pd_date rating"), "loan_id", "as_of_date", "pd_date", ["rating"])])
+def test_windows_over_loans_keep_their_partitions(spark, partitions, build):
+    partitions(16)
+    rows = build(lambda columns: looks_small(spark, columns, 60))
+    tasks = [r["_task"] for r in rows.withColumn("_task", F.spark_partition_id()).collect()]
+    assert len(tasks) == 60 and len(set(tasks)) > 8
+
+
 def test_partitions_follow_the_orders(spark, partitions, tmp_path, monkeypatch):
     root = tables(spark, tmp_path, 40)
     partitions(2)
