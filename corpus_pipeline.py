@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lossloom.llm import bpe, exact_dedup, jaccard_join, quality_cnn, source_mix
-from lossloom.llm.common import importable, table
+from lossloom.llm.common import bounded_batches, importable, table
 from lossloom.sources.store import cut_lineage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the byte network scores below its threshold."""
+    bounded_batches(spark)  # a row travels with its whole text twice
     net = quality_cnn.train(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
     whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("whole")  # no name in it can clash
     kept = quality_cnn.score(docs.select("doc_id", "text", whole), net, keep=("whole",)).where("predicted = 1")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lossloom.llm.common import join_sized, slices
+from lossloom.llm.common import bounded_batches, join_sized, slices
 from lossloom.llm.components import components
 from lossloom.llm.wordhash import WORDS, mix, word_hashes
 from lossloom.sources.store import cut_lineage
@@ -384,6 +384,7 @@ def keyed(docs: DataFrame, id_col: str) -> DataFrame:
 
 def classes(rows: DataFrame, threshold: float, n: int, recall: float, limit: int, depth: int, max_depth: int, block: int) -> DataFrame:
     """(key, id, root, class_id, n_links, class_size) for ``keyed`` rows; ``root`` names the class."""
+    bounded_batches(rows.sparkSession)
     marked = cut_lineage(features(rows, n), "jaccard-features")
     named = marked.join(rows.select("key", "id"), "key")
     nodes = cut_lineage(named.groupBy("node").agg(F.min("key").alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig")), "jaccard-nodes")

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_cases import EDGE
@@ -128,3 +129,25 @@ def test_components_match_union_find(spark):
         parent[max(a, b)] = min(a, b)
     want = {(x, find(x)) for e in edges if e[0] != e[1] for x in e}
     assert set(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect())) == want
+
+
+def test_texts_travel_in_bounded_batches(spark, docs):
+    """10,000 rows a batch, Spark's only bound by default, put the whole of many long texts into the memory of a task and its worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    try:
+        spark.conf.unset(key)
+        J.survivors(docs([(1, "one two three four five six"), (2, "seven")])).collect()
+        long = spark.range(0, 24, 1, 1).selectExpr("id", "repeat('x', 1000000) AS text")
+        got = [r["n"] for r in long.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) >= 24_000_000 and max(got) < 8_000_000
+        spark.conf.set(key, "2m")
+        J.survivors(docs([(1, "one two three four five six")])).collect()
+        assert spark.conf.get(key) == "2m"
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
