@@ -66,6 +66,17 @@ def test_loan_tables_are_not_broadcast(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_unit_losses_are_not_broadcast(spark):
+    curves = spark.createDataFrame([(s, "R1", m, 0.01 * m) for s in ("BASE", "DOWNSIDE") for m in (1, 2)], "scenario string, rating string, month int, marginal_pd double")
+    rows = [(1, "R1", 1, 2, 0.0), (2, "R1", 1, 2, 0.0), (3, "R1", 2, 4, 0.0), (4, None, 2, 2, 0.0), (5, "R1", 3, 2, 0.0), (6, "R1", 2, None, None)]
+    loans = spark.createDataFrame(rows, "loan_id long, rating string, stage int, remaining_months_to_maturity int, current_interest_rate double")
+    out = ecl.with_unit_loss(loans, curves, [ecl.UnitLoss("u_", "rating", "stage", {"BASE": "BASE"})], ECL())
+    assert "SortMergeJoin" in plan_of(out) and "Broadcast" not in plan_of(out)
+    # The balance falls with each month: 0.01 / 2 over two months, 0.01 * 3 / 4 + 0.02 / 2 over four.
+    want = {1: 0.005, 2: 0.005, 3: 0.0175, 4: 0.0, 5: 0.0, 6: 0.0}
+    assert {r["loan_id"]: round(r["u_BASE"], 9) for r in out.collect()} == want
+
+
 @pytest.fixture
 def partitions(spark):
     """Sets the session's shuffle partitions and puts the old number back."""
