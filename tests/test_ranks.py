@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from lossloom.functions.ranks import class_sums, exact_quantiles, global_rank, rank_decile, running_totals
+from lossloom.functions.ranks import class_sums, exact_quantiles, global_rank, in_ranges, rank_decile, running_totals
 
 
 @pytest.fixture
@@ -33,6 +34,20 @@ def test_running_totals_with_null_groups_and_scores(spark, no_broadcast):
         assert r["n_all"] == sum(same.values()) and r["n_cum"] == sum(n for s, n in same.items() if (-1 if s is None else s) <= low)
 
 
+def test_ranges_are_found_by_halving(spark):
+    values = [None, *[i * i % 997 / 4 for i in range(600)], float("nan")]
+    df = spark.createDataFrame([(g, v) for g in ("a", None) for v in values] + [("empty", None)], "g string, v double")
+    for n in (2, 3, 64, 500):
+        placed, small = in_ranges(df, ["g"], "v", n)
+        plan = placed._jdf.queryExecution().optimizedPlan().toString()
+        assert small and "filter(_cuts" not in plan  # a row is not compared with every cut
+        cuts = {r["g"]: r["c"] for r in df.groupBy("g").agg(F.percentile_approx("v", [i / n for i in range(1, n)], 32 * n).alias("c")).collect()}
+        for r in placed.collect():
+            v = r["v"]
+            above = [c for c in cuts[r["g"]] or () if v is not None and (c < v or (math.isnan(v) and not math.isnan(c)))]
+            assert r["_range"] == len(above)
+
+
 def test_a_tie_held_by_most_rows_is_spread(spark, no_broadcast):
     n = 4000
     df = spark.range(n).select(F.col("id").alias("k"), F.lit("only").alias("g"), F.when(F.col("id") % 10 < 9, 0.5).otherwise(F.col("id") / n).alias("s"))
