@@ -128,6 +128,17 @@ def test_partitions_follow_the_orders(spark, partitions, tmp_path, monkeypatch):
     assert partitions() == 20
 
 
+def test_generated_methods_stay_compilable(spark, tmp_path):
+    root, key = tables(spark, tmp_path, 4), "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(key)
+    store.stages_for(spark, root)
+    assert int(spark.conf.get(key)) <= 8000
+    spark.conf.set(key, "3000")  # someone's own limit stays
+    store.stages_for(spark, root)
+    assert spark.conf.get(key) == "3000"
+    spark.conf.unset(key)
+
+
 def test_empty_fields_are_not_parsed(spark):
     lay = schemas.Layout("t", "v1", (("a", "double"), ("b", "long"), ("c", "string")))
     rows = [("", "", ""), (" 7 ", "7", "7"), ("n/a", " ", "x"), (None, None, None)]
