@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lossloom.config import ECL, LGD, PDFramework
 from lossloom.functions import joins
 from lossloom.operators import ecl, lgd, mart, pd_framework, staging
+from lossloom.plans.catalog import REGISTRY
 from lossloom.sources import panel, schemas, store, text
 
 
@@ -139,6 +140,15 @@ def test_generated_methods_stay_compilable(spark, tmp_path):
     spark.conf.unset(key)
 
 
+def test_availability_lays_out_the_rows_once(spark, tmp_path):
+    out = REGISTRY["dq06_availability_sketched"].run(spark, tables(spark, tmp_path, 40))
+    assert "Expand" not in plan_of(out)  # the values are stored; both levels start from them
+    rows = out.collect()
+    assert {r["year"] for r in rows} == {1995, None} and all(r["distinct_within_bound"] for r in rows)
+    empty = [r for r in rows if r["non_null_count"] == 0]
+    assert empty and len(rows) == len({(r["dataset"], r["year"], r["field"]) for r in rows})
+
+
 def test_empty_fields_are_not_parsed(spark):
     lay = schemas.Layout("t", "v1", (("a", "double"), ("b", "long"), ("c", "string")))
     rows = [("", "", ""), (" 7 ", "7", "7"), ("n/a", " ", "x"), (None, None, None)]

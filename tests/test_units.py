@@ -283,8 +283,7 @@ def test_feature_registry_selects_by_availability_and_counts_classes():
 
 
 def test_logistic_fit_on_cells_meets_the_score_equations(spark):
-    import random
-
+    
     rng = random.Random(11)
     rows = []
     for _ in range(3000):
@@ -327,8 +326,7 @@ def test_unit_loss_matches_a_sum_over_months(spark):
 
 
 def test_feature_pipeline_matches_the_ml_stages(spark):
-    import random
-
+    
     from pyspark.ml.functions import vector_to_array
 
     from lossloom.operators import ml_pipeline
@@ -393,6 +391,13 @@ def test_typing_of_lines_is_compiled_and_reads_each_path_once(spark, tmp_path, c
     assert sorted(got) == [("vintage_year=1996", 1, None, 7, None), ("vintage_year=1996", 3, None, None, 12)]
 
 
+def test_months_are_read_without_a_date_parser(spark):
+    texts = ["199901", "199912", "199900", "199913", "000001", "000101", "19990", "1999011", "1999 1", " 19991", "+19991", "-19991", "199901\n", "abcdef", "", None]
+    out = spark.createDataFrame([(x,) for x in texts], "x string").repartition(1).select("x", silver.month_from_text("x").cast("string").alias("d"))
+    assert {r["x"]: r["d"] for r in out.collect() if r["d"]} == {"199901": "1999-01-01", "199912": "1999-12-01", "000001": "0000-01-01", "000101": "0001-01-01"}
+    assert "timestamp" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_field_sketches_merge_over_years(spark):
     rows = [(2000 + i % 3, i % 500, None, ("", f"c{i % 7}")[i % 4 // 2] if i % 2 else None) for i in range(3000)]
     df = spark.createDataFrame(rows, "_source_year int, a long, b double, c string").repartition(4)
