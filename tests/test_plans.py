@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from lossloom.config import ECL, LGD, PDFramework
+from lossloom.config import EAD, ECL, LGD, PDFramework, Staging
 from lossloom.functions import joins
-from lossloom.operators import ecl, lgd, mart, pd_framework, staging
+from lossloom.operators import ead, ecl, lgd, mart, pd_framework, staging
 from lossloom.plans.catalog import REGISTRY
 from lossloom.sources import panel, schemas, store, text
 
@@ -140,6 +141,45 @@ def test_generated_methods_stay_compilable(spark, tmp_path):
     spark.conf.unset(key)
 
 
+def test_loan_files_are_met_in_their_order(spark, tmp_path):
+    t = store.Stages(spark, tables(spark, tmp_path, 40))
+    with store.loan_co_location(spark):
+        both = joins.loan_join(t("targets").select("loan_id", "as_of_date", "default_flag"), t("mart"), ["loan_id", "as_of_date"])
+        plan = plan_of(mart.analytical(both.drop("default_flag"), t("static")))
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    got = t("mart").groupBy("loan_id").count().collect()
+    assert len(got) == 40 and both.count() == sum(r["count"] for r in got)
+    assert spark.conf.get("spark.sql.legacy.bucketedTableScan.outputOrdering") == "false"
+
+
+def test_future_events_are_read_once(spark):
+    columns = ("event_default", "event_prepayment_or_exit", "event_type")
+    rows = [(1, True, False, "DEFAULT"), (2, False, True, "Prepaid or Matured"), (3, False, False, "CENSORED")]
+    tg = spark.createDataFrame(rows, f"loan_id long, {columns[0]} boolean, {columns[1]} boolean, {columns[2]} string").withColumns(
+        {"eligible_for_lifetime_pd": F.lit(True), "as_of_date": F.lit(date(2000, 1, 1)), "first_default_date": F.lit(None).cast("date"),
+         "future_first_non_default_exit_date": F.lit(None).cast("date"), "future_first_non_default_exit_reason": F.lit(None).cast("string"),
+         "months_to_default_from_observation": F.lit(None).cast("long")})
+    for exits, want in ((True, {1, 2}), (False, {1})):
+        out = ead.chosen_targets(tg, replace(EAD(), include_exits=exits))
+        assert {r["loan_id"] for r in out.collect()} == want and "Union" not in plan_of(out)
+
+
+def test_attributes_belong_to_the_vintage(spark):
+    rows = spark.createDataFrame([(1, 2000, "a"), (1, 2001, "b"), (2, None, "c"), (None, 2000, "d"), (3, 2000, "e")], "loan_id long, vintage_year long, x string")
+    own = spark.createDataFrame([(1, 2000, "A"), (1, 2001, "B"), (2, 2000, "C"), (None, 2000, "D"), (3, 2000, "E"), (3, 2000, "F")],
+                                "loan_id long, vintage_year long, y string")
+    out = joins.with_attributes(rows, own)
+    assert out.columns == ["loan_id", "vintage_year", "x", "y"] and "vintage_year ASC" not in plan_of(out)
+    assert sorted((r["x"], r["y"] or "-") for r in out.collect()) == [("a", "A"), ("b", "B"), ("c", "-"), ("d", "-"), ("e", "E"), ("e", "F")]
+
+
+def test_staging_sorts_its_rows_once(spark):
+    base = JOINS["staging"](lambda columns: looks_small(spark, columns, 60))
+    assert "vintage_year ASC" not in plan_of(base)
+    staged = plan_of(staging.cure_probation(base.withColumns({"sicr_raw_flag": F.col("loan_id") > 5, "stage3_flag": F.col("active_default_state")}), Staging()))
+    assert staged.split("Union", 1)[0].count("Sort [loan_id") == 1
+
+
 def test_availability_lays_out_the_rows_once(spark, tmp_path):
     out = REGISTRY["dq06_availability_sketched"].run(spark, tables(spark, tmp_path, 40))
     assert "Expand" not in plan_of(out)  # the values are stored; both levels start from them

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from datetime import date
 from statistics import NormalDist
@@ -283,7 +284,8 @@ def test_feature_registry_selects_by_availability_and_counts_classes():
 
 
 def test_logistic_fit_on_cells_meets_the_score_equations(spark):
-    
+    import random
+
     rng = random.Random(11)
     rows = []
     for _ in range(3000):
@@ -326,7 +328,8 @@ def test_unit_loss_matches_a_sum_over_months(spark):
 
 
 def test_feature_pipeline_matches_the_ml_stages(spark):
-    
+    import random
+
     from pyspark.ml.functions import vector_to_array
 
     from lossloom.operators import ml_pipeline
@@ -398,6 +401,28 @@ def test_months_are_read_without_a_date_parser(spark):
     assert "timestamp" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("probation", [1, 3])
+def test_probation_counts_clean_months_since_the_last_hit(spark, probation):
+    rng = random.Random(7)
+    rows, want = [], {}
+    for loan in range(60):
+        month = after = run = 0
+        last = None
+        for _ in range(rng.randint(1, 30)):
+            month += rng.choice([1, 1, 1, 1, 2, 5])
+            raw, s3 = rng.random() < 0.2, rng.random() < 0.1
+            clean = not (raw or s3)
+            if raw or s3 or (last is not None and month - last != 1):
+                after, run = raw and not s3, 0
+            run += clean
+            last = month
+            rows.append((loan, date(2000 + month // 12, month % 12 + 1, 1), raw, s3))
+            want[rows[-1][:2]] = (raw or (bool(after) and clean and run < probation)) and not s3
+    df = spark.createDataFrame(rows, "loan_id long, as_of_date date, sicr_raw_flag boolean, stage3_flag boolean").repartition(3)
+    out = staging.cure_probation(df, Staging(probation_months=probation))
+    assert {(r["loan_id"], r["as_of_date"]): r["sicr_flag"] for r in out.collect()} == want and out.columns == [*df.columns, "sicr_flag"]
+
+
 def test_field_sketches_merge_over_years(spark):
     rows = [(2000 + i % 3, i % 500, None, ("", f"c{i % 7}")[i % 4 // 2] if i % 2 else None) for i in range(3000)]
     df = spark.createDataFrame(rows, "_source_year int, a long, b double, c string").repartition(4)
